@@ -91,6 +91,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def rolling(values: np.ndarray, n: int, base: int) -> np.ndarray:
     """Rabin-Karp hashes, modulo 2**64 with an odd base, of all runs of n values, across row borders too."""
     if len(values) < n:

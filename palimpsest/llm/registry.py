@@ -5,6 +5,9 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op9_token_orc": "token_orc",
+    "op10_best_fit_packing": "packing",
+    "op3_ngram_join": "ngram_join",
     "op6_substring_dedup": "substring_dedup",
 }
 _SQL: dict[str, str] = {}

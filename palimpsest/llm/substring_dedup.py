@@ -17,7 +17,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, list_array, prune_by_ids, rolling, split_words, stored, table, text_chunks, window_starts, word_hashes
+from .common import drop_stored, list_array, prune_by_ids, rolling, sorted_unique, split_words, stored, table, text_chunks, window_starts, word_hashes
 
 WINDOW = 35
 ANCHOR = 8
@@ -44,7 +44,7 @@ def _scan(window: int, anchor: int):
         for batch, col in text_chunks(batches):
             flat, offsets = split_words(col)
             (words,) = word_hashes(flat, 1)
-            at = np.unique(_anchor_of(words, window_starts(offsets, window), window, anchor))
+            at = sorted_unique(_anchor_of(words, window_starts(offsets, window), window, anchor))
             runs = rolling(words, anchor, BASES[0])[at].view(np.int64) if len(at) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -68,7 +68,7 @@ def _windows(window: int, anchor: int):
             first, second = word_hashes(flat, 1, 2)
             starts = window_starts(offsets, window)
             anchors = _anchor_of(first, starts, window, anchor)
-            at = np.unique(anchors)
+            at = sorted_unique(anchors)
             wanted = batch.column(2)
             counts = np.diff(wanted.offsets.to_numpy())
             ordinal = wanted.flatten().to_numpy() + np.repeat(np.searchsorted(at, offsets[:-1]), counts)
