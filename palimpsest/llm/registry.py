@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from . import licenses
+
 _QUERIES = {
+    "op7_html_text": "html_text",
+    "op8_nearest": "nearest",
+    "op5_license_scan": "licenses",
+    "op1_lm_scoring": "language_model",
+    "op2_quality_classifier": "quality",
+    "op4_decontaminate": "decontaminate",
     "op9_token_orc": "token_orc",
     "op10_best_fit_packing": "packing",
     "op3_ngram_join": "ngram_join",
     "op6_substring_dedup": "substring_dedup",
 }
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str] = {"op5_license_scan": licenses.SQL}
 
 
 def queries() -> dict:
