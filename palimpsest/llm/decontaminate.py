@@ -1,6 +1,6 @@
 """Benchmark decontamination: q-gram lemma filtering in diagonal bands, verified by banded alignment.
 
-Texts and items are compared as bytes with ASCII letters in lower case and all white space as spaces. An item of
+Texts and items are compared as bytes with ASCII and Latin-1 letters in lower case and all white space as spaces. An item of
 m bytes that lies in a text with at most k edits shares at least T = m - q + 1 - k q of its q-grams with it, on
 diagonals (place in the text less place in the item) that differ by at most k. Stretches of a text where enough
 positions hold a q-gram of any item are kept; in them, shared q-grams are counted for each item in overlapping
@@ -36,6 +36,15 @@ def _fold() -> np.ndarray:
 _FOLD = _fold()
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII and Latin-1 letters in lower case and white space as spaces; no byte moves."""
+    out = _FOLD[data]
+    capital = np.zeros(len(data), bool)
+    capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[capital] += 0x20
+    return out
+
+
 def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
     """The hash of the q bytes at every place."""
     if len(data) < q:
@@ -56,7 +65,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [i for i, _ in rows]
-        self.data = [_FOLD[np.frombuffer(t.strip().encode(), np.uint8)] for _, t in rows]
+        self.data = [fold(np.frombuffer(t.strip().encode(), np.uint8)) for _, t in rows]
         self.size = np.array([len(x) for x in self.data], np.int64)
         self.edits = np.array([edits_allowed(int(m)) for m in self.size], np.int64)
         self.needed = np.maximum(self.size - Q + 1 - self.edits * Q, 1)
@@ -175,7 +184,7 @@ def _scan(shared):
         items = shared.value
         for batch, col in text_chunks(batches):
             data, edges = _bytes_of(col)
-            rows = list(items.search(_FOLD[data], edges))
+            rows = list(items.search(fold(data), edges))
             ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([items.ids[r[1]] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())],
