@@ -167,13 +167,13 @@ def doc_pairs(spark, sf_dir):
     return pairs_of(spark, sf_dir)[0]
 
 
-PAIR_SETS = ", t as (select doc_id, list_distinct(" + letters("coalesce(text, '')") + ") as t from documents), p as (select a_id, b_id, x.t as ta, y.t as tb, len(list_intersect(x.t, y.t)) as both from pairs join t x on x.doc_id = a_id join t y on y.doc_id = b_id)"
+PAIR_SETS = ", t as (select doc_id, list_distinct(" + letters("coalesce(text, '')") + ") as t from documents), p as (select a_id, b_id, x.t as ta, y.t as tb, len(list_intersect(x.t, y.t)) as met from pairs join t x on x.doc_id = a_id join t y on y.doc_id = b_id)"
 
 
 @query(
-    f"with {PAIRS}{PAIR_SETS} select a_id, b_id, round(case when len(ta) + len(tb) = 0 then 1.0 else both / (len(ta) + len(tb) - both) end, 6) as jaccard,"
-    " round(case when least(len(ta), len(tb)) = 0 then 0.0 else both / least(len(ta), len(tb)) end, 6) as overlap,"
-    " least(len(ta), len(tb)) >= 40 and both / greatest(least(len(ta), len(tb)), 1) >= 0.55 as stamped_variant from p"
+    f"with {PAIRS}{PAIR_SETS} select a_id, b_id, round(case when len(ta) + len(tb) = 0 then 1.0 else met / (len(ta) + len(tb) - met) end, 6) as jaccard,"
+    " round(case when least(len(ta), len(tb)) = 0 then 0.0 else met / least(len(ta), len(tb)) end, 6) as overlap,"
+    " least(len(ta), len(tb)) >= 40 and met / greatest(least(len(ta), len(tb)), 1) >= 0.55 as stamped_variant from p"
 )
 def pair_similarity(spark, sf_dir):
     return similarity.pair_similarity(pairs_of(spark, sf_dir)[0], docs_of(spark, sf_dir))
@@ -267,8 +267,8 @@ def _words(c: str) -> str:
 MOVES = (
     f"with {SIDES}, gone as (select a_id, b_id, i, {_words('line_a')} as ta, len({tok('line_a')}) as wa from a where not exists (select 1 from b where b.a_id = a.a_id and b.b_id = a.b_id and hb = ha) and len({tok('line_a')}) >= 6)"
     f", come as (select a_id, b_id, j, {_words('line_b')} as tb, len({tok('line_b')}) as wb from b where not exists (select 1 from a where b.a_id = a.a_id and b.b_id = a.b_id and hb = ha) and len({tok('line_b')}) >= 6)"
-    ", met as (select a_id, b_id, i, j, len(list_intersect(ta, tb)) as both, len(ta) as na, len(tb) as nb from gone join come using (a_id, b_id) where least(wa, wb) / greatest(wa, wb) >= 0.9)"
-    ", cand as (select a_id, b_id, i, j, round(both / (na + nb - both), 6) as similarity from met where both > 0 and round(both / (na + nb - both), 6) >= 0.5)"
+    ", met as (select a_id, b_id, i, j, len(list_intersect(ta, tb)) as shared_words, len(ta) as na, len(tb) as nb from gone join come using (a_id, b_id) where least(wa, wb) / greatest(wa, wb) >= 0.9)"
+    ", cand as (select a_id, b_id, i, j, round(shared_words / (na + nb - shared_words), 6) as similarity from met where shared_words > 0 and round(shared_words / (na + nb - shared_words), 6) >= 0.5)"
 )
 
 
