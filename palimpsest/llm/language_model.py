@@ -24,23 +24,36 @@ from pyspark.sql import functions as F
 
 from .common import split_words, stored, table, text_chunks
 
-VOCABULARY = 2048
+VOCABULARY = 1024
 CLASS_WORDS = 32
-TAILS = 63
-HIDDEN = 24
+TAILS = 31
+HIDDEN = 16
 STEPS = 8
-LANES = 128
+LANES = 512
 SCORE_LANES = 512
+LONGEST_WINDOW = 256
+SEGMENT = 512
+SCORE_BYTES = 7 << 20
 HOT = 1 << 16
 FAN = 16
 RATE = 0.08
 FIRST_ROUND = 8
+LARGE = 60.0
 END = "\n"  # never part of a word
 
 CLASSES = VOCABULARY // CLASS_WORDS + TAILS + 1
 INPUTS = VOCABULARY + TAILS + 1
 
 
+def _exponents(logits: np.ndarray, bias: np.ndarray, rows: np.ndarray, aims: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The aims' logits, all exponentials (in place of the logits) and their sums; beyond LARGE a logit counts as LARGE."""
+    logits += bias
+    np.minimum(logits, LARGE, out=logits)
+    aim = logits[rows, aims]
+    np.exp(logits, out=logits)
+    return aim, logits, logits @ np.ones(logits.shape[1], logits.dtype)
+
+
 class Model:
     """A GRU over words and classes. Inputs are rows of gate-sized embeddings; all weights are 32-bit."""
 
@@ -91,35 +104,28 @@ class Model:
     def outputs(self, h: np.ndarray, kinds: np.ndarray, words: np.ndarray, learn: bool) -> tuple[np.ndarray, dict | None]:
         """Natural log-probabilities of the targets after states h; kinds: their classes, words: their own ids or -1."""
         w = self.w
-        logits = h @ w["class_w"] + w["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(axis=1, keepdims=True)
         rows = np.arange(len(h))
-        logp = (logits[rows, kinds] - np.log(total[:, 0])).astype(np.float64)
+        aim, p, total = _exponents(h @ w["class_w"], w["class_b"], rows, kinds)
+        logp = (aim - np.log(total)).astype(np.float64)
         grads = None
         if learn:
-            p /= total
+            p *= (1 / total)[:, None]
             p[rows, kinds] -= 1
-            grads = {"class_w": h.T @ p, "class_b": p.sum(axis=0), "h": p @ w["class_w"].T, "word_w": np.zeros_like(w["word_w"]), "word_b": np.zeros_like(w["word_b"])}
+            grads = {"class_w": h.T @ p, "class_b": np.ones(len(p), p.dtype) @ p, "h": p @ w["class_w"].T, "word_w": np.zeros_like(w["word_w"]), "word_b": np.zeros_like(w["word_b"])}
         own = np.flatnonzero(words >= 0)
         own = own[np.argsort(kinds[own], kind="stable")]
         starts = np.searchsorted(kinds[own], np.arange(VOCABULARY // CLASS_WORDS + 1))
         for c in np.flatnonzero(np.diff(starts)):
             at = own[starts[c] : starts[c + 1]]
             g = h[at]
-            s = g @ w["word_w"][c] + w["word_b"][c]
-            s -= s.max(axis=1, keepdims=True)
-            e = np.exp(s)
-            sums = e.sum(axis=1, keepdims=True)
-            inner = words[at] % CLASS_WORDS
-            k = np.arange(len(at))
-            logp[at] += s[k, inner] - np.log(sums[:, 0])
+            inner, k = words[at] % CLASS_WORDS, np.arange(len(at))
+            aim, e, sums = _exponents(g @ w["word_w"][c], w["word_b"][c], k, inner)
+            logp[at] += aim - np.log(sums)
             if learn:
-                e /= sums
+                e *= (1 / sums)[:, None]
                 e[k, inner] -= 1
                 grads["word_w"][c] = g.T @ e
-                grads["word_b"][c] = e.sum(axis=0)
+                grads["word_b"][c] = np.ones(len(e), e.dtype) @ e
                 grads["h"][at] += e @ w["word_w"][c].T
         return logp, grads
 
@@ -188,7 +194,7 @@ class Lexicon:
         self.words = pa.array([w for w, _ in hot], pa.large_string())
         self.hot_id = np.array([self.own.get(w, -1) for w, _ in hot], np.int64)
         self.hot_count = np.array([c for _, c in hot], np.int64)
-        self.tail = {t: i for i, (t, _, _) in enumerate(tails[:TAILS])}
+        self.tails = pa.array([t for t, _, _ in tails[:TAILS] if t], pa.large_string())
         mass = np.zeros(TAILS + 1)
         kinds = np.zeros(TAILS + 1)
         for i, (_, c, k) in enumerate(tails):
@@ -202,8 +208,9 @@ class Lexicon:
         self.word_mass = word_mass
         self.class_mass = np.concatenate((word_mass.reshape(-1, CLASS_WORDS).sum(axis=1), mass))
 
-    def tail_of(self, words: list[str]) -> np.ndarray:
-        return np.array([self.tail.get(w[-2:], TAILS) for w in words], np.int64)
+    def tail_of(self, words: pa.Array) -> np.ndarray:
+        at = pc.index_in(pc.utf8_slice_codeunits(words, start=-2), value_set=self.tails)
+        return pc.fill_null(at, TAILS).to_numpy(zero_copy_only=False)
 
     def number(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every word: its own id or -1, its class, and its training count or -1 where only a join can tell."""
@@ -214,7 +221,7 @@ class Lexicon:
         count = np.where(at >= 0, self.hot_count[at] if len(self.hot_count) else -1, -1)
         kind = np.where(own >= 0, own // CLASS_WORDS, 0)
         rare = np.flatnonzero(own < 0)
-        kind[rare] = self.first_tail + self.tail_of(coded.dictionary.take(pa.array(rare)).to_pylist())
+        kind[rare] = self.first_tail + self.tail_of(coded.dictionary.take(pa.array(rare)))
         code = coded.indices.to_numpy(zero_copy_only=False)
         return own[code], kind[code], count[code]
 
@@ -224,7 +231,7 @@ def windows(lengths: np.ndarray, lanes: int, steps: int) -> Iterator[tuple[np.nd
 
     Yields (at, fresh): at[t, lane] is the position in the rows' joined tokens, or -1; fresh marks lanes whose row
     begins with this window. A row starts at a window's first step, so its state begins at zero there. Longest rows
-    first, and lanes without a row left are dropped.
+    first; lanes without a row left are dropped, and windows grow longer as lanes get few.
     """
     first = np.cumsum(lengths) - lengths
     waiting = np.argsort(-lengths, kind="stable").tolist()[::-1]
@@ -242,10 +249,11 @@ def windows(lengths: np.ndarray, lanes: int, steps: int) -> Iterator[tuple[np.nd
         if not len(place):
             return
         fresh = lane < 0
-        t = np.arange(steps)[:, None]
+        now = int(min(max(steps, steps * lanes // len(place)), LONGEST_WINDOW, max(left.max(), 1)))
+        t = np.arange(now)[:, None]
         yield np.where(t < left, place + t, -1), np.where(fresh, -1, lane)
         lane = np.arange(len(place))
-        place, left = place + steps, left - steps
+        place, left = place + now, left - now
 
 
 def _tokens(col: pa.Array, lex: Lexicon):
@@ -255,7 +263,8 @@ def _tokens(col: pa.Array, lex: Lexicon):
     ends = offsets[1:]
     own, kind = np.insert(own, ends, 0), np.insert(kind, ends, 0)
     count = np.insert(count, ends, lex.count.get(END, 0))
-    code = np.where(own >= 0, own, VOCABULARY + kind - lex.first_tail)
+    own, kind, count = own.astype(np.int32), kind.astype(np.int32), count.astype(np.int64)
+    code = np.where(own >= 0, own, VOCABULARY + kind - lex.first_tail).astype(np.int32)
     lengths = np.diff(offsets) + 1
     inputs = np.empty_like(code)
     if len(code):
@@ -278,7 +287,11 @@ def _train(lexicon, weights):
         for _, col in text_chunks(batches):
             _, _, own, kind, _, inputs, lengths = _tokens(col, lex)
             n += len(own)
-            _walk(lengths, LANES, STEPS, lambda at, live, state: learner.step(inputs[at], kind[at], own[at], live, state))
+            # long texts are learnt in segments, each from an empty state, so that lanes stay full
+            whole, part = np.divmod(lengths, SEGMENT)
+            pieces = np.repeat(np.full(2 * len(lengths), SEGMENT), np.column_stack((whole, part > 0)).ravel())
+            pieces[(np.cumsum(whole + (part > 0)) - 1)[part > 0]] = part[part > 0]
+            _walk(pieces, LANES, STEPS, lambda at, live, state: learner.step(inputs[at], kind[at], own[at], live, state))
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(n)]), pa.array([learner.model.pack()], pa.binary())], names=["replica", "n", "weights"])
 
@@ -314,12 +327,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([words, pa.array(np.append(n, len(offsets) - 1))], names=["word", "c"])
 
 
+def _hottest(counts: DataFrame) -> list[tuple[str, int]]:
+    """The most frequent words, HOT at most: those from the least count on that leaves so few."""
+    level = F.floor(F.log2("c") * 32).cast("int")
+    least, total = None, 0
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # 32 rows for each doubling
+        total += r["n"]
+        if total > HOT:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    rows = counts.where(level >= least).collect()
+    return sorted(((r["word"], r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def _score(lexicon, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, model = lexicon.value, Model.unpack(weights.value)
         unit = np.log10(lex.n + lex.v + 1)
         tails = np.log10(lex.tail_total)
-        for batch, col in text_chunks(batches):
+        for batch, col in text_chunks(batches, max_bytes=SCORE_BYTES):
             flat, offsets, own, kind, count, inputs, lengths = _tokens(col, lex)
             logp = np.zeros(len(own))
 
@@ -364,7 +392,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     train = src.where(~held_out())
     counts = stored(train.mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0"), "lm-counts")
     n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
-    hot = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HOT).collect()]
+    hot = _hottest(counts)
     if END not in dict(hot):
         hot += [(r["word"], r["c"]) for r in counts.where(F.col("word") == END).collect()]
     own = set(Lexicon(hot, [], n, v).own)
