@@ -13,16 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table, text_chunks
+from .common import table, text_chunks
 from .quality import _bytes_of
 
 Q = 8
 EDIT_SHARE = 0.06
 BLOCK_BYTES = 4 << 20
-SIEVE_BITS = 20
+SIEVE_BITS = 22
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
 
 
@@ -45,14 +46,17 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def grams(data: np.ndarray, q: int = Q) -> np.ndarray:
-    """The hash of the q bytes at every place."""
-    if len(data) < q:
+def grams(data: np.ndarray) -> np.ndarray:
+    """The Q = 8 bytes at every place as one number."""
+    if len(data) < Q:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(data) - q + 1, np.uint64)
-    for j in range(q):
-        out = (out << np.uint64(8)) | data[j : j + len(out)]
-    return mix64(out)
+    two = (data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]
+    four = (two[:-2].astype(np.uint32) << np.uint32(16)) | two[2:]
+    return (four[:-4].astype(np.uint64) << np.uint64(32)) | four[4:]
+
+
+def slots(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIEVE_BITS)
 
 
 def edits_allowed(m: int, q: int = Q, share: float = EDIT_SHARE) -> int:
@@ -76,7 +80,7 @@ class Items:
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.place = keys[order], item[order], place[order]
         self.sieve = np.zeros(1 << SIEVE_BITS, bool)
-        self.sieve[self.keys >> np.uint64(64 - SIEVE_BITS)] = True
+        self.sieve[slots(self.keys)] = True
         usable = self.size >= Q
         # an occurrence spans m + k bytes at most; of its parts as long as the shortest item, one has this many hits
         self.reach = int((self.size + self.edits).max()) if len(rows) else 0
@@ -89,21 +93,18 @@ class Items:
         keys = grams(data)
         if not len(keys) or not self.window:
             return
-        at = np.flatnonzero(self.sieve[keys >> np.uint64(64 - SIEVE_BITS)])
+        # dense stretches: hits with enough others within a window of them, and all hits within an item's reach
+        hit = self.sieve[slots(keys)]
+        upto = np.concatenate((np.zeros(1, np.int32), np.cumsum(hit, dtype=np.int32)))
+        at = np.flatnonzero(hit)
+        core = at[upto[np.minimum(at + self.window, len(keys))] - upto[np.maximum(at - self.window, 0)] >= self.least]
+        at = at[np.searchsorted(core, at + self.reach, side="right") > np.searchsorted(core, at - self.reach)]
         low = np.searchsorted(self.keys, keys[at], side="left")
-        hit = (low < len(self.keys)) & (self.keys[np.minimum(low, len(self.keys) - 1)] == keys[at])
-        at, low = at[hit], low[hit]
+        same = self.keys[np.minimum(low, len(self.keys) - 1)] == keys[at]
+        at, low = at[same], low[same]
         row = np.searchsorted(edges, at, side="right") - 1
         inside = at + Q <= edges[row + 1]
         at, low, row = at[inside], low[inside], row[inside]
-        if not len(at):
-            return
-        # dense stretches: hits with enough others within a window of them, and all hits within an item's reach
-        begin = np.maximum(at - self.window, edges[row])
-        ahead = np.minimum(at + self.window, edges[row + 1])
-        core = at[np.searchsorted(at, ahead) - np.searchsorted(at, begin) >= self.least]
-        dense = np.searchsorted(core, at + self.reach, side="right") > np.searchsorted(core, at - self.reach)
-        at, low, row = at[dense], low[dense], row[dense]
         if not len(at):
             return
         many = np.searchsorted(self.keys, keys[at], side="right") - low
@@ -144,39 +145,30 @@ class Items:
 def banded(item: np.ndarray, text: np.ndarray, k: int, first: int) -> tuple[int, int, int] | None:
     """The best alignment of item inside text with at most k edits, on diagonals from first - k to first + 3 k + 1.
 
-    Returns (edits, start, end); of equal ones the first to end. Only the band's cells are computed.
+    Returns (edits, start, end); of equal ones that on the first diagonal. For each number of edits in turn, every
+    diagonal of the band gets the furthest place in the item that is reached: one edit from itself or a neighbour,
+    then on over equal bytes. Places beside the text differ from every byte.
     """
-    low, width = first - k, 4 * k + 2
-    big = 1 << 20
-    place = np.arange(width) + low
-    cost = np.where((place >= 0) & (place <= len(text)), 0, big)
-    start = place.copy()
-    steps = np.arange(width)
-    for i in range(1, len(item) + 1):
-        j = place + i  # the text's prefix at each diagonal
-        ok = (j >= 1) & (j <= len(text))
-        same = np.zeros(width, bool)
-        same[ok] = text[j[ok] - 1] == item[i - 1]
-        diagonal = np.where(ok, cost + ~same, big)
-        # a letter of the item that the text lacks: from the next diagonal
-        up = np.append(cost[1:], big) + 1
-        take = up < diagonal
-        now = np.where(take, up, diagonal)
-        from_ = np.where(take, np.append(start[1:], 0), start)
-        now[(j < 0) | (j > len(text))] = big
-        # letters that the item lacks: from diagonals before, one edit each
-        reach = np.minimum.accumulate((now - steps) * width + steps)
-        source = reach % width
-        value = reach // width + steps
-        better = value < now
-        cost = np.where(better, value, now)
-        start = np.where(better, from_[source], from_)
-        if cost.min() > k:
-            return None
-    j = place + len(item)
-    cost = np.where((j >= 0) & (j <= len(text)), cost, big)
-    at = int(np.argmin(cost))
-    return (int(cost[at]), int(start[at]), int(j[at])) if cost[at] <= k else None
+    m, n, low, width = len(item), len(text), first - k, 4 * k + 2
+    left, right = max(0, -low), max(0, low + width + m - n)
+    padded = np.concatenate((np.full(left, 256, np.uint16), text, np.full(right, 256, np.uint16)))
+    differ = sliding_window_view(padded, m)[low + left : low + left + width] != item
+    places = np.where(differ, np.arange(m, dtype=np.int32), np.int32(m))
+    following = np.full((width, m + 1), m, np.int32)
+    following[:, :m] = np.minimum.accumulate(places[:, ::-1], axis=1)[:, ::-1]
+    rows = np.arange(width)
+    reach, start = following[:, 0], low + rows
+    for edits in range(k + 1):
+        done = np.flatnonzero(reach >= m)
+        if len(done):
+            return edits, max(0, int(start[done[0]])), min(n, m + low + int(done[0]))
+        changed = reach + 1
+        added, begun_a = np.append(-1, reach[:-1]), np.append(0, start[:-1])
+        lacking, begun_l = np.append(reach[1:] + 1, -1), np.append(start[1:], 0)
+        best = np.maximum(changed, np.maximum(added, lacking))
+        start = np.where(best == changed, start, np.where(best == added, begun_a, begun_l))
+        reach = following[rows, np.minimum(best, m)]
+    return None
 
 
 def _scan(shared):
