@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 ID_BITS = 1 << 26
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +34,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    The shuffles behind the table are not needed once it is written, so Spark may delete their files then.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_path = path
     return back

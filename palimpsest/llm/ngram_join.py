@@ -1,15 +1,16 @@
 """N-gram Jaccard join: documents whose word-shingle sets are similar, found by T-occurrence search (DivideSkip).
 
 Plan, with sizes n and threshold t = num/den:
-1. Each text becomes its set of hashed shingles. Equal sets form one class and are represented by one row.
-2. Two linked sets share a shingle among the first n - ceil(t n) + 1 of each, in one order of all shingles (long
-   shingles, which are rare, first). Every class posts those.
-3. Each shingle's smallest poster is its leader; every poster is held against its leaders exactly, which joins
-   large groups of near copies in a number of rows that grows with the group, not with its square.
-4. Shingles whose posters are all connected by then are done. The posters of every other shingle go, with their
-   whole sets, to a T-occurrence search: the inverted lists of a set's shingles are merged with a heap when short
-   and probed by binary search when long, and sets reaching the needed overlap are links. Posters that share the
-   same shingles are searched once; groups over GROUP rows are searched in blocks against each other.
+1. Each text becomes its set of hashed shingles. Equal sets form one class and are represented by one row, with a
+   parity bitmap of about 2 n bits, from which an upper bound of any two sets' overlap follows.
+2. In one order of all shingles (long shingles, which are rare, first) two linked sets share at least k of the first
+   n - ceil(t n) + k of each; k grows with n. Every class posts those.
+3. Each shingle's smallest poster is its leader; every poster is held exactly against the leader of most of its
+   shingles, which joins large groups of near copies in one row for each, not in all pairs.
+4. Shingles whose posters are all connected by then are done. The posters of every other shingle go to a
+   T-occurrence search over the lists of their posted shingles: short lists are merged with a heap, long ones probed
+   by binary search. Sets found on k lists, not connected, and near enough by their bitmaps are compared as a whole.
+   Posters that share the same shingles are searched once; groups over GROUP rows in blocks against each other.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,9 @@ from pyspark.sql import functions as F
 from .common import components, drop_stored, list_array, mix64, prune_by_ids, split_words, stored, table, text_chunks, window_starts, word_hashes
 
 GROUP = 512
+HOT = 64
+MOST_HOT = 100_000
+SCAN = "doc_id long, n_shingles long, s1 long, s2 long, posted array<long>, bits binary"
 
 
 def _shingles(col: pa.Array, n: int, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -56,25 +61,54 @@ def _shingles(col: pa.Array, n: int, lower: bool = True) -> Iterator[tuple[np.nd
             yield np.empty(0, np.uint64), np.empty(0, np.int64)
 
 
+def shared_least(n: int) -> int:
+    """k: how many posted shingles a set of n shares with any linked one that is not smaller."""
+    return 1 + n // 40
+
+
 def _prefix(hashes: np.ndarray, length: np.ndarray, num: int, den: int, last: np.ndarray) -> np.ndarray:
     """The shingles that a set posts: the first in the order; those in `last` come at its end."""
     n = len(hashes)
     if not n:
         return hashes
-    keep = n - -(-num * n // den) + 1
+    keep = n - -(-num * n // den) + shared_least(n)
     late = np.isin(hashes, last) if len(last) else np.zeros(n, bool)
     return hashes[np.lexsort((hashes, -length, late))[:keep]]
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Parities of how many of a set's hashes fall on each bit; 64 bits or more, a power of two from 2 n on."""
+    size = max(64, 1 << int(2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    return np.packbits(np.bincount((mix64(hashes) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
+
+
+def most_shared(a: np.ndarray, b: np.ndarray, n: int, m: int) -> int:
+    """No two sets of n and m with these bitmaps share more: bits that differ stand for shingles that only one has."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return (n + m - int(np.bitwise_count(a ^ b).sum())) // 2
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, n: int, m: int, num: int, den: int) -> bool:
+    if num * max(n, m) > den * min(n, m):
+        return False
+    most = most_shared(a, b, n, m)
+    return den * most >= num * (n + m - most)
+
+
 def _scan(n: int, num: int, den: int, last: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, col in text_chunks(batches):
-            size, one, two, posted = [], [], [], []
+            size, one, two, posted, bits = [], [], [], [], []
             for hashes, length in _shingles(col, n):
                 size.append(len(hashes))
-                one.append(np.sum(mix64(hashes), dtype=np.uint64))
-                two.append(np.sum(mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64))
+                mixed = mix64(hashes)
+                one.append(np.sum(mixed, dtype=np.uint64))
+                two.append(np.sum(mix64(mixed ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64))
                 posted.append(_prefix(hashes, length, num, den, last))
+                bits.append(bitmap(hashes))
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in posted])))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -83,8 +117,9 @@ def _scan(n: int, num: int, den: int, last: np.ndarray):
                     pa.array(np.array(one, np.uint64).view(np.int64)),
                     pa.array(np.array(two, np.uint64).view(np.int64)),
                     list_array(np.concatenate(posted).view(np.int64), offsets, pa.int64()),
+                    pa.array(bits, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "s1", "s2", "posted"],
+                names=["doc_id", "n_shingles", "s1", "s2", "posted", "bits"],
             )
 
     return run
@@ -100,6 +135,19 @@ def _sets(n: int):
     return run
 
 
+def _near(num: int, den: int):
+    """Rows a, b, n, m, bits_a, bits_b whose bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            as_bytes = lambda x: np.frombuffer(x.as_buffer(), np.uint8)
+            n, m = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            good = [_may_link(as_bytes(x), as_bytes(y), p, q, num, den) for x, y, p, q in zip(batch.column(4), batch.column(5), n, m)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def t_occurrence(lists: list[list[int]], needed: int, mu: float = 0.01) -> list[tuple[int, int]]:
     """DivideSkip: (id, count) of the ids that occur in at least `needed` of the sorted lists.
 
@@ -145,50 +193,36 @@ def t_occurrence(lists: list[list[int]], needed: int, mu: float = 0.01) -> list[
 
 
 def _search(num: int, den: int):
-    """Links within one group (or between two of its blocks): rows id, comp, side, items."""
+    """Pairs to compare within one group, or between two of its blocks: rows id, comp, n_shingles, posted, bits."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids = group["id"].to_pylist()
-        comp = dict(zip(ids, group["comp"].to_pylist()))
-        sides = set(group["side"].to_pylist())
-        items = group["items"].combine_chunks()
-        offsets, values = items.offsets.to_numpy(), items.flatten().to_numpy()
-        offsets = offsets - offsets[0]
-        size = np.diff(offsets)
-        owner = np.repeat(np.arange(len(ids)), size)
-        order = np.lexsort((owner, values))
-        values, owner = values[order], owner[order]
-        cuts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True])))
-        widths = np.diff(cuts)
-        shared = widths > 1  # a list of one set can't link it with another
-        mine: list[list[int]] = [[] for _ in ids]
-        lists = []
-        for a, w in zip(cuts[:-1][shared].tolist(), widths[shared].tolist()):
-            x = owner[a : a + w].tolist()
-            for d in x:
-                mine[d].append(len(lists))
-            lists.append(x)
-        side = group["side"].to_pylist()
-        root = {c: c for c in comp.values()}
-
-        def top(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
+        ids, comp, size = group["id"].to_pylist(), group["comp"].to_pylist(), group["n_shingles"].to_pylist()
         out_a, out_b = [], []
-        for d in range(len(ids)):
-            if len(sides) > 1 and side[d] != min(sides):
-                continue
-            needed = -(-num * int(size[d]) // den)
-            # an overlap of num * n / den is needed, whatever the other's size
-            for other, count in t_occurrence([lists[k] for k in mine[d]], needed):
-                if other == d or top(comp[ids[d]]) == top(comp[ids[other]]):
-                    continue
-                if den * count >= num * (int(size[d]) + int(size[other]) - count):
-                    out_a.append(ids[d])
-                    out_b.append(ids[other])
-                    root[top(comp[ids[d]])] = top(comp[ids[other]])
+        # two unconnected sets are not both in the group's largest component, so the others' searches find all links
+        largest = Counter(comp).most_common(1)[0][0]
+        asking = [d for d, c in enumerate(comp) if c != largest]
+        if asking:
+            posted = group["posted"].combine_chunks()
+            offsets, values = posted.offsets.to_numpy(), posted.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
+            order = np.lexsort((owner, values))
+            values, owner = values[order], owner[order]
+            cuts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True])))
+            widths = np.diff(cuts)
+            shared = widths > 1  # a list of one set can't link it with another
+            lists = [owner[a : a + w].tolist() for a, w in zip(cuts[:-1][shared], widths[shared])]
+            mine: dict[int, list[list[int]]] = {d: [] for d in asking}
+            for x in lists:
+                for d in x:
+                    if d in mine:
+                        mine[d].append(x)
+            bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in group["bits"]]
+            needed = shared_least(min(size))
+            for d in asking:
+                for other, _ in t_occurrence(mine[d], needed):
+                    if comp[d] != comp[other] and (comp[other] == largest or d < other) and _may_link(bits[d], bits[other], size[d], size[other], num, den):
+                        out_a.append(ids[d])
+                        out_b.append(ids[other])
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return run
@@ -203,55 +237,105 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, grou
     nothing and is its own component; a text of fewer than n words is one shingle; equal sets are linked.
     """
     src = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, posted array<long>"
     none = np.empty(0, np.uint64)
-    scan = stored(src.mapInArrow(_scan(n, num, den, none), schema), "ngram-scan")
+    scan = stored(src.mapInArrow(_scan(n, num, den, none), SCAN), "ngram-scan")
     key = ["n_shingles", "s1", "s2"]
     classes = stored(scan.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")), "ngram-classes")
-    reps = scan.select("doc_id", "n_shingles", "posted").join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    posts = reps.select(F.col("doc_id").alias("id"), "n_shingles", F.explode("posted").alias("shingle"))
-    led = posts.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("shingle", "leader")
-    posts = stored(posts.join(led, "shingle"), "ngram-posts")  # of shingles that at least two classes post
-    sets = stored(
-        prune_by_ids(src, posts.select(F.col("id").alias("doc_id")), "doc_id")
-        .join(posts.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .mapInArrow(_sets(n), "id long, items array<long>"),
-        "ngram-sets",
-    )
-    size = posts.select("id", "n_shingles").distinct()
-    pairs = posts.where("id <> leader").select("id", "leader", "n_shingles").distinct()
-    pairs = pairs.join(size.select(F.col("id").alias("leader"), F.col("n_shingles").alias("m")), "leader")
-    pairs = pairs.where(f"{num} * greatest(m, n_shingles) <= {den} * least(m, n_shingles)")
-    pairs = pairs.join(sets, "id").join(sets.select(F.col("id").alias("leader"), F.col("items").alias("theirs")), "leader")
-    pairs = pairs.withColumn("both", F.size(F.array_intersect("items", "theirs")))
-    links = stored(pairs.where(f"{den} * both >= {num} * (m + n_shingles - both)").select(F.col("id").alias("a"), F.col("leader").alias("b")), "ngram-links")
-    comp = stored(components(links), "ngram-components")
-    found = stored(_residual_links(posts, sets, comp, num, den, group), "ngram-residual")
+    reps = scan.select(F.col("doc_id").alias("id"), "n_shingles", "posted", "bits").join(classes.select("id"), "id", "left_semi")
+    reps = stored(reps, "ngram-posted")
+    scan = scan.drop("posted", "bits")
+    posts = _met(reps, num, den)
+    links = _leader_links(src, reps, posts, n, num, den)
+    hot = _frequent(src, _open_groups(posts, components(links)), posts, n)
+    if len(hot):
+        # passages that many unlike documents share: their shingles go last in the order, for all documents
+        last = np.sort(np.array(hot, np.int64).view(np.uint64))
+        shared = docs.sparkSession.createDataFrame([(h,) for h in hot], "shingle long")
+        moved = reps.select("id", F.explode("posted").alias("shingle")).join(F.broadcast(shared), "shingle", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+        moved = stored(moved, "ngram-moved")
+        again = prune_by_ids(src, moved, "doc_id").join(moved, "doc_id", "left_semi").mapInArrow(_scan(n, num, den, last), SCAN)
+        again = again.select(F.col("doc_id").alias("id"), "n_shingles", "posted", "bits")
+        reps = stored(reps.join(moved.withColumnRenamed("doc_id", "id"), "id", "left_anti").union(again), "ngram-posted")
+        posts = _met(reps, num, den)
+        links = stored(links.union(_leader_links(src, reps, posts, n, num, den)), "ngram-links")
+    found = _residual_links(src, reps, posts, stored(components(links), "ngram-components"), n, num, den, group)
     comp = components(links.union(found))
     named = classes.join(comp, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     return scan.select("doc_id", *key).join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _residual_links(posts: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int, group: int) -> DataFrame:
-    """Links among posters of a shingle that are not connected yet, by T-occurrence search."""
-    step = math.log(den / num)
-    posts = posts.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    posts = posts.select("shingle", "id", "comp", F.floor(F.log(F.col("n_shingles")) / step - 1e-9).cast("int").alias("band"))
+def _met(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(shingle, band, id, n_shingles, leader, m): postings of shingles that at least two classes of near sizes post."""
+    posts = reps.select("id", "n_shingles", F.explode("posted").alias("shingle"))
+    met = posts.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
     # sizes of linked sets differ by a factor of den / num at most: they lie in one band or in neighbouring ones
-    posts = posts.select("shingle", "id", "comp", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    keyed = posts.groupBy("shingle", "band").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("who2")
-    ).where("low < high")
+    band = F.floor(F.log(F.col("n_shingles")) / math.log(den / num) - 1e-9).cast("int")
+    posts = posts.join(met, "shingle", "left_semi").select("shingle", "id", "n_shingles", F.explode(F.array(band, band + 1)).alias("band"))
+    posts = stored(posts, "ngram-met")
+    led = posts.groupBy("shingle", "band").agg(F.count("*").alias("n"), F.min(F.struct("id", "n_shingles")).alias("l")).where("n > 1")
+    led = led.select("shingle", "band", F.col("l.id").alias("leader"), F.col("l.n_shingles").alias("m"))
+    out = stored(posts.join(led, ["shingle", "band"]), "ngram-posts")
+    drop_stored(posts)
+    return out
+
+
+def _sets_of(src: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, items): the whole sets of the documents with these doc_ids."""
+    return stored(prune_by_ids(src, ids, "doc_id").join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, items array<long>"), "ngram-sets")
+
+
+def _verified(src: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b) those that link, by their whole sets."""
+    needed = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ngram-needed")
+    sets = _sets_of(src, needed, n)
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("mine")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("theirs")), "b")
+    both = both.withColumn("both", F.size(F.array_intersect("mine", "theirs")))
+    return stored(both.where(f"{den} * both >= {num} * (size(mine) + size(theirs) - both)").select("a", "b"), "ngram-links")
+
+
+def _leader_links(src: DataFrame, reps: DataFrame, posts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between posters and the leader of near size that most of their shingles have."""
+    near = posts.where(f"id <> leader and {num} * greatest(m, n_shingles) <= {den} * least(m, n_shingles)").groupBy("id", "leader").agg(F.count("*").alias("votes"))
+    chosen = near.groupBy("id").agg(F.max(F.struct("votes", (-F.col("leader")).alias("l"))).alias("v")).select(F.col("id").alias("a"), (-F.col("v.l")).alias("b"))
+    look = chosen.join(reps.select(F.col("id").alias("a"), "n_shingles", F.col("bits").alias("bits_a")), "a")
+    look = look.join(reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("bits").alias("bits_b")), "b")
+    pairs = stored(look.select("a", "b", "n_shingles", "m", "bits_a", "bits_b").mapInArrow(_near(num, den), "a long, b long"), "ngram-pairs")
+    return _verified(src, pairs, n, num, den)
+
+
+def _open_groups(posts: DataFrame, comp: DataFrame) -> DataFrame:
+    """(shingle, band, n, who, who2) of the shingles whose posters are not all connected yet."""
+    posts = posts.join(comp, "id", "left").select("shingle", "band", "id", F.coalesce("component", "id").alias("comp"))
+    who = [F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("who2")]
+    return posts.groupBy("shingle", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), *who).where("low < high")
+
+
+def _frequent(src: DataFrame, open_groups: DataFrame, posts: DataFrame, n: int) -> list[int]:
+    """Shingles frequent among the posters of large open groups, most frequent first, MOST_HOT at most.
+
+    They only change the order in which sets post shingles, which any order makes exact.
+    """
+    large = stored(open_groups.where(F.col("n") > HOT).select("shingle", "band"), "ngram-large")
+    if not large.take(1):
+        return []
+    held = stored(posts.join(large, ["shingle", "band"], "left_semi").select(F.col("id").alias("doc_id")).distinct(), "ngram-held")
+    counts = _sets_of(src, held, n).select(F.explode("items").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    return [r["shingle"] for r in counts.where(F.col("n") > HOT).orderBy(F.desc("n"), "shingle").limit(MOST_HOT).collect()]
+
+
+def _residual_links(src: DataFrame, reps: DataFrame, posts: DataFrame, comp: DataFrame, n: int, num: int, den: int, group: int) -> DataFrame:
+    """Links among posters of a shingle and band that are not connected yet, by T-occurrence search."""
+    keyed = _open_groups(posts, comp)
     once = keyed.groupBy("who", "who2", "n", "band").agg(F.min("shingle").alias("shingle")).select("shingle", "band", "n")  # the same posters: searched once
-    live = posts.join(once, ["shingle", "band"])
+    live = posts.select("shingle", "band", "id").join(once, ["shingle", "band"]).join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
     blocks = F.ceil(F.col("n") / group).cast("int")
     live = live.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    live = live.select(
-        "shingle", "band", "id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side")
-    )
-    live = live.join(sets, "id")
-    return live.groupBy("shingle", "band", "i", "j").applyInArrow(_search(num, den), "a long, b long").distinct()
+    live = live.select("shingle", "band", "id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    live = live.join(reps, "id").select("shingle", "band", "i", "j", "id", "comp", "n_shingles", "posted", "bits")
+    pairs = live.groupBy("shingle", "band", "i", "j").applyInArrow(_search(num, den), "a long, b long")
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-pairs")
+    return _verified(src, pairs, n, num, den)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
