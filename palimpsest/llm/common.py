@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 ID_BITS = 1 << 26
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -64,12 +64,13 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", max_byt
         n = batch.num_rows
         if not n:
             continue
-        col = pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
-        sizes = pc.binary_length(col).to_numpy(zero_copy_only=False)
+        col = batch.column(batch.schema.get_field_index(column))
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = (np.cumsum(sizes) - sizes) // max_bytes
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
         for a, b in zip(cuts, cuts[1:]):
-            yield batch.slice(a, b - a), col.slice(a, b - a)
+            # a copy: kernels go wrong on casts of slices
+            yield batch.slice(a, b - a), pc.fill_null(pa.concat_arrays([col.slice(a, b - a)]).cast(pa.large_string()), "")
 
 
 def split_words(col: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:

@@ -4,7 +4,8 @@ Plan, with sizes n and threshold t = num/den:
 1. Each text becomes its set of hashed shingles. Equal sets form one class and are represented by one row, with a
    parity bitmap of about 2 n bits, from which an upper bound of any two sets' overlap follows.
 2. In one order of all shingles (long shingles, which are rare, first) two linked sets share at least k of the first
-   n - ceil(t n) + k of each; k grows with n. Every class posts those.
+   n - ceil(t n) + k of each; k grows with n. Every class posts those, and meets others at all but the k - 1 of
+   them that are posted most often.
 3. Each shingle's smallest poster is its leader; every poster is held exactly against the leader of most of its
    shingles, which joins large groups of near copies in one row for each, not in all pairs.
 4. Shingles whose posters are all connected by then are done. The posters of every other shingle go to a
@@ -24,12 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, drop_stored, list_array, mix64, prune_by_ids, split_words, stored, table, text_chunks, window_starts, word_hashes
 
 GROUP = 512
+RESERVE = 20
 HOT = 64
 MOST_HOT = 100_000
 SCAN = "doc_id long, n_shingles long, s1 long, s2 long, posted array<long>, bits binary"
@@ -63,7 +65,7 @@ def _shingles(col: pa.Array, n: int, lower: bool = True) -> Iterator[tuple[np.nd
 
 def shared_least(n: int) -> int:
     """k: how many posted shingles a set of n shares with any linked one that is not smaller."""
-    return 1 + n // 40
+    return 1 + n // RESERVE
 
 
 def _prefix(hashes: np.ndarray, length: np.ndarray, num: int, den: int, last: np.ndarray) -> np.ndarray:
@@ -72,7 +74,7 @@ def _prefix(hashes: np.ndarray, length: np.ndarray, num: int, den: int, last: np
     if not n:
         return hashes
     keep = n - -(-num * n // den) + shared_least(n)
-    late = np.isin(hashes, last) if len(last) else np.zeros(n, bool)
+    late = last[np.minimum(np.searchsorted(last, hashes), len(last) - 1)] == hashes if len(last) else np.zeros(n, bool)
     return hashes[np.lexsort((hashes, -length, late))[:keep]]
 
 
@@ -192,6 +194,24 @@ def t_occurrence(lists: list[list[int]], needed: int, mu: float = 0.01) -> list[
     return found
 
 
+def _by_bitmaps(bits: list[bytes], size: np.ndarray, comp: np.ndarray, largest: int, num: int, den: int) -> dict[int, set[int]]:
+    """For each row outside the largest component the unconnected rows whose bitmaps allow a link; each pair once."""
+    least, folded = min(map(len, bits)), []
+    for x in bits:
+        a = np.frombuffer(x, np.uint8)
+        while len(a) > least:
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        folded.append(a)
+    table, rows, out = np.stack(folded).view(np.uint64), np.arange(len(bits)), {}
+    for d in np.flatnonzero(comp != largest).tolist():
+        most = (size + size[d] - np.bitwise_count(table ^ table[d]).sum(axis=1, dtype=np.int64)) // 2
+        good = (den * most >= num * (size + size[d] - most)) & (num * np.maximum(size, size[d]) <= den * np.minimum(size, size[d]))
+        good &= (comp != comp[d]) & ((comp == largest) | (rows > d))
+        if good.any():
+            out[d] = set(np.flatnonzero(good).tolist())
+    return out
+
+
 def _search(num: int, den: int):
     """Pairs to compare within one group, or between two of its blocks: rows id, comp, n_shingles, posted, bits."""
 
@@ -200,7 +220,8 @@ def _search(num: int, den: int):
         out_a, out_b = [], []
         # two unconnected sets are not both in the group's largest component, so the others' searches find all links
         largest = Counter(comp).most_common(1)[0][0]
-        asking = [d for d, c in enumerate(comp) if c != largest]
+        near = _by_bitmaps([x.as_py() for x in group["bits"]], np.array(size), np.array(comp), largest, num, den)
+        asking = sorted(near)
         if asking:
             posted = group["posted"].combine_chunks()
             offsets, values = posted.offsets.to_numpy(), posted.flatten().to_numpy()
@@ -216,11 +237,10 @@ def _search(num: int, den: int):
                 for d in x:
                     if d in mine:
                         mine[d].append(x)
-            bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in group["bits"]]
             needed = shared_least(min(size))
             for d in asking:
                 for other, _ in t_occurrence(mine[d], needed):
-                    if comp[d] != comp[other] and (comp[other] == largest or d < other) and _may_link(bits[d], bits[other], size[d], size[other], num, den):
+                    if other in near[d]:
                         out_a.append(ids[d])
                         out_b.append(ids[other])
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
@@ -267,10 +287,13 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, grou
 def _met(reps: DataFrame, num: int, den: int) -> DataFrame:
     """(shingle, band, id, n_shingles, leader, m): postings of shingles that at least two classes of near sizes post."""
     posts = reps.select("id", "n_shingles", F.explode("posted").alias("shingle"))
-    met = posts.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    met = posts.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    # linked sets share k posted shingles or more, so one besides the k - 1 that are most often posted, in one order for all
+    often = Window.partitionBy("id").orderBy(F.desc("n"), "shingle")
+    posts = posts.join(met, "shingle").withColumn("r", F.row_number().over(often)).where(F.col("r") > F.floor(F.col("n_shingles") / RESERVE)).drop("n", "r")
     # sizes of linked sets differ by a factor of den / num at most: they lie in one band or in neighbouring ones
     band = F.floor(F.log(F.col("n_shingles")) / math.log(den / num) - 1e-9).cast("int")
-    posts = posts.join(met, "shingle", "left_semi").select("shingle", "id", "n_shingles", F.explode(F.array(band, band + 1)).alias("band"))
+    posts = posts.select("shingle", "id", "n_shingles", F.explode(F.array(band, band + 1)).alias("band"))
     posts = stored(posts, "ngram-met")
     led = posts.groupBy("shingle", "band").agg(F.count("*").alias("n"), F.min(F.struct("id", "n_shingles")).alias("l")).where("n > 1")
     led = led.select("shingle", "band", F.col("l.id").alias("leader"), F.col("l.n_shingles").alias("m"))
