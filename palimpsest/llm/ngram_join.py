@@ -19,7 +19,6 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -212,42 +211,69 @@ def _by_bitmaps(bits: list[bytes], size: np.ndarray, comp: np.ndarray, largest:
     return out
 
 
+def _pairs_to_compare(ids: list[int], comp: np.ndarray, size: np.ndarray, posted: list[np.ndarray], bits: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Unconnected pairs of one group (or of two of its blocks) that share enough posted shingles and may link."""
+    names, counts = np.unique(comp, return_counts=True)
+    # two unconnected sets are not both in the group's largest component, so the others' searches find all links
+    near = _by_bitmaps(bits, size, comp, int(names[counts.argmax()]), num, den)
+    if not near:
+        return []
+    owner = np.repeat(np.arange(len(ids)), [len(p) for p in posted])
+    values = np.concatenate(posted)
+    order = np.lexsort((owner, values))
+    values, owner = values[order], owner[order]
+    cuts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True])))
+    widths = np.diff(cuts)
+    shared = widths > 1  # a list of one set can't link it with another
+    mine: dict[int, list[list[int]]] = {d: [] for d in near}
+    for a, w in zip(cuts[:-1][shared].tolist(), widths[shared].tolist()):
+        x = owner[a : a + w].tolist()
+        for d in x:
+            if d in mine:
+                mine[d].append(x)
+    needed = shared_least(int(size.min()))
+    return [(ids[d], ids[other]) for d in near for other, _ in t_occurrence(mine[d], needed) if other in near[d]]
+
+
 def _search(num: int, den: int):
-    """Pairs to compare within one group, or between two of its blocks: rows id, comp, n_shingles, posted, bits."""
-
-    def run(group: pa.Table) -> pa.Table:
-        ids, comp, size = group["id"].to_pylist(), group["comp"].to_pylist(), group["n_shingles"].to_pylist()
-        out_a, out_b = [], []
-        # two unconnected sets are not both in the group's largest component, so the others' searches find all links
-        largest = Counter(comp).most_common(1)[0][0]
-        near = _by_bitmaps([x.as_py() for x in group["bits"]], np.array(size), np.array(comp), largest, num, den)
-        asking = sorted(near)
-        if asking:
-            posted = group["posted"].combine_chunks()
-            offsets, values = posted.offsets.to_numpy(), posted.flatten().to_numpy()
-            owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
-            order = np.lexsort((owner, values))
-            values, owner = values[order], owner[order]
-            cuts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True])))
-            widths = np.diff(cuts)
-            shared = widths > 1  # a list of one set can't link it with another
-            lists = [owner[a : a + w].tolist() for a, w in zip(cuts[:-1][shared], widths[shared])]
-            mine: dict[int, list[list[int]]] = {d: [] for d in asking}
-            for x in lists:
-                for d in x:
-                    if d in mine:
-                        mine[d].append(x)
-            needed = shared_least(min(size))
-            for d in asking:
-                for other, _ in t_occurrence(mine[d], needed):
-                    if other in near[d]:
-                        out_a.append(ids[d])
-                        out_b.append(ids[other])
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+    """Rows sorted by group: shingle, band, i, j, id, comp, n_shingles, posted, bits; a group may span batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])]).combine_chunks()
+            cuts = _group_cuts(now)
+            rest = now.slice(cuts[-2])
+            yield _compared(now.slice(0, cuts[-2]), cuts[:-1], num, den)
+        if rest is not None and rest.num_rows:
+            yield _compared(rest, [0, rest.num_rows], num, den)
 
     return run
 
 
+def _group_cuts(rows: pa.Table) -> list[int]:
+    keys = [rows[c].to_numpy() for c in ("shingle", "band", "i", "j")]
+    new = np.zeros(rows.num_rows, bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return [0, *np.flatnonzero(new).tolist(), rows.num_rows]
+
+
+def _compared(rows: pa.Table, cuts: list[int], num: int, den: int) -> pa.RecordBatch:
+    out = []
+    if rows.num_rows:
+        ids, comp, size, bits = rows["id"].to_pylist(), rows["comp"].to_numpy(), rows["n_shingles"].to_numpy(), rows["bits"].to_pylist()
+        lists = rows["posted"].combine_chunks()
+        at, values = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+        at = at - at[0]
+        posted = [values[x:y] for x, y in zip(at, at[1:])]
+        for a, b in zip(cuts, cuts[1:]):
+            out += _pairs_to_compare(ids[a:b], comp[a:b], size[a:b], posted[a:b], bits[a:b], num, den)
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
 def similar_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, group: int = GROUP) -> DataFrame:
     """Per document: doc_id, n_shingles (its set's size) and component_id.
 
@@ -356,7 +382,8 @@ def _residual_links(src: DataFrame, reps: DataFrame, posts: DataFrame, comp: Dat
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     live = live.select("shingle", "band", "id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     live = live.join(reps, "id").select("shingle", "band", "i", "j", "id", "comp", "n_shingles", "posted", "bits")
-    pairs = live.groupBy("shingle", "band", "i", "j").applyInArrow(_search(num, den), "a long, b long")
+    key = ["shingle", "band", "i", "j"]
+    pairs = live.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(num, den), "a long, b long")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-pairs")
     return _verified(src, pairs, n, num, den)
 
