@@ -62,6 +62,7 @@ RULES = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = "§"
+PARAGRAPH = "\x1e"
 
 
 def _known(text: Column) -> Column:
@@ -73,6 +74,12 @@ def _known(text: Column) -> Column:
     return F.concat(F.lit(SEPARATOR), F.array_join(named, SEPARATOR), F.lit(SEPARATOR))
 
 
+def _unwrapped(text: Column) -> Column:
+    """Lines of a paragraph joined; only empty lines still end one."""
+    marked = F.regexp_replace(F.regexp_replace(text, r"\n[ \t\r]*\n", PARAGRAPH), r"[\r\n]+", " ")
+    return F.replace(marked, F.lit(PARAGRAPH), F.lit("\n"))
+
+
 def _ruled(ids: Column) -> list[tuple[str, Column]]:
     """Each rule's licence and whether it is in ids once the rules before it have used up theirs."""
     found = []
@@ -91,7 +98,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     names = sorted({name for name, _ in RULES})
-    cut = docs.select("doc_id", _known(text).alias("ids"), _known(F.regexp_replace(text, "[\r\n]+", " ")).alias("wrapped"))
+    cut = docs.select("doc_id", _known(text).alias("ids"), _known(_unwrapped(text)).alias("wrapped"))
     hits: dict[str, list[Column]] = {n: [] for n in names}
     for column in ("ids", "wrapped"):
         for name, found in _ruled(F.col(column)):
@@ -112,7 +119,8 @@ def _sql() -> str:
         f"'{SEPARATOR}' || coalesce(array_to_string(list_transform(list_filter(list_transform(string_split(regexp_replace({text}, '([.!?;:])[ \\t\\r\\f\\n]+', '\\1' || chr(10), 'g'), chr(10)), "
         f"lambda s: trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> ''), lambda s: coalesce((MAP {{{keys}}})[s], '?')), '{SEPARATOR}'), '') || '{SEPARATOR}'"
     )
-    steps = [f"k0 as (select doc_id, {ids("coalesce(text, '')")} as i0, {ids("regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g')")} as w0 from documents)"]
+    unwrapped = "replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\n[ \\t\\r]*\\n', chr(30), 'g'), '[\\r\\n]+', ' ', 'g'), chr(30), chr(10))"
+    steps = [f"k0 as (select doc_id, {ids("coalesce(text, '')")} as i0, {ids(unwrapped)} as w0 from documents)"]
     for k, (_, parts) in enumerate(RULES):
         p = SEPARATOR + SEPARATOR.join(parts) + SEPARATOR
         steps.append(f"k{k + 1} as (select *, contains(i{k}, '{p}') or contains(w{k}, '{p}') as f{k}, replace(i{k}, '{p}', '{SEPARATOR}#{SEPARATOR}') as i{k + 1}, replace(w{k}, '{p}', '{SEPARATOR}#{SEPARATOR}') as w{k + 1} from k{k})")
