@@ -112,7 +112,8 @@ class Items:
         item, row = self.item[index], np.repeat(row, many)
         diagonal = np.repeat(at, many) - self.place[index] - edges[row]
         step = self.edits[item] + 1
-        span = 1 << 40
+        # bands are not negative; row, item and band are one number, so its room is that of the bands really present
+        span = int(((diagonal + self.size[item]) // step).max()) + 2
         found = []
         for shift in (0, 1):  # bands of width 2 k + 2 that overlap by half
             band = (diagonal + self.size[item]) // step + shift

@@ -238,6 +238,16 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(docs_of(spark, texts), table.limit(0)).count() == 0
 
 
+def test_decontaminate_many_items_times_many_rows(spark):
+    # row * len(items) + item goes far beyond 2 ** 23
+    rng = random.Random(8)
+    items = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(40)).strip() for _ in range(9000)]
+    texts = [f"so {items[(7 * k) % 9000]} it is" if k % 3 else "nothing here" for k in range(3000)]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"], r["start"]) for r in decontaminate.find_leaks(docs_of(spark, texts).coalesce(1), table).collect()}
+    assert got == {(k, (7 * k) % 9000, 0, 3) for k in range(3000) if k % 3}
+
+
 # --- op5
 
 
