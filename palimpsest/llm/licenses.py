@@ -60,17 +60,39 @@ RULES = [
     ("CC0-1.0", ["cc0_ref"]),
 ]
 
+# Sentences of notices as the splitter yields them; the SQL, which is kept as it is, does not have them.
+NOTICES = {
+    "gpl_program": "this program is free software",
+    "gpl_terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl3_either": "either version 3 of the license or at your option any later version",
+    "gpl2_either": "either version 2 of the license or at your option any later version",
+    "gpl3_terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2_terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+}
+
+# The notices' rules, tried after RULES.
+NOTICE_RULES = [
+    ("GPL-3.0-or-later", ["gpl_program", "gpl3_terms"]),
+    ("GPL-3.0-or-later", ["gpl_program", "gpl_terms", "gpl3_either"]),
+    ("GPL-2.0-or-later", ["gpl_program", "gpl2_terms"]),
+    ("GPL-2.0-or-later", ["gpl_program", "gpl_terms", "gpl2_either"]),
+]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = "§"
 PARAGRAPH = "\x1e"
 
 
 def _known(text: Column) -> Column:
-    """Identifiers of the known sentences of a text in order, as '§a§b§'; unknown ones between them leave '?'."""
-    keys = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
+    """Identifiers of the known sentences of a text in order, as '§a§b§'; unknown ones between them leave '?'.
+
+    The number of a list's item is no sentence, nor part of one.
+    """
+    keys = F.create_map(*[F.lit(x) for name, sentence in (SENTENCES | NOTICES).items() for x in (sentence, name)])
     cut = F.split(F.regexp_replace(text, r"([.!?;:])[ \t\r\f\n]+", "$1\n"), "\n")
     normal = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
-    named = F.transform(F.filter(normal, lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(keys, s), F.lit("?")))
+    bare = F.transform(normal, lambda s: F.regexp_replace(s, "^[0-9]{1,3}( |$)", ""))
+    named = F.transform(F.filter(bare, lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(keys, s), F.lit("?")))
     return F.concat(F.lit(SEPARATOR), F.array_join(named, SEPARATOR), F.lit(SEPARATOR))
 
 
@@ -83,7 +105,7 @@ def _unwrapped(text: Column) -> Column:
 def _ruled(ids: Column) -> list[tuple[str, Column]]:
     """Each rule's licence and whether it is in ids once the rules before it have used up theirs."""
     found = []
-    for name, parts in RULES:
+    for name, parts in RULES + NOTICE_RULES:
         pattern = SEPARATOR + SEPARATOR.join(parts) + SEPARATOR
         found.append((name, F.contains(ids, F.lit(pattern))))
         ids = F.replace(ids, F.lit(pattern), F.lit(f"{SEPARATOR}#{SEPARATOR}"))

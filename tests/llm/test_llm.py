@@ -259,6 +259,99 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs_of(spark, [])).count() == 0
 
 
+ORIGINALS = {
+    "MIT": """MIT License
+
+Copyright (c) 2026 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.
+""",
+    "Apache-2.0": """   Copyright 2026 A. Person
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+     http://www.apache.org/licenses/LICENSE-2.0
+""",
+    "BSD-2-Clause": """Copyright (c) 2026, A. Person
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+""",
+    "GPL-3.0-or-later": """Copyright (C) 2026  A. Person
+
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful.
+""",
+    "GPL-2.0-or-later": """Copyright (C) 2026  A. Person
+
+    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful.
+""",
+    "ISC": """ISC License
+
+Copyright (c) 2026 A. Person
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "GPL-3.0-only": "This work is licensed under the GNU General\nPublic License, version 3.\n",
+    "CC-BY-NC-4.0": "Licensed under\nCC BY-NC 4.0.\n",
+    "CC-BY-4.0": "Licensed under\nCC BY 4.0.\n",
+    "CC-BY-SA-4.0": "Licensed under\nCC BY-SA 4.0.\n",
+    "CC0-1.0": "Licensed under\nCC0 1.0.\n",
+}
+ORIGINALS["BSD-3-Clause"] = ORIGINALS["BSD-2-Clause"].replace(
+    "THIS SOFTWARE",
+    """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE""",
+)
+
+
+def test_licenses_in_their_original_wrapped_texts(spark):
+    assert set(ORIGINALS) == {name for name, _ in licenses.RULES}
+    gpl3, gpl2, bsd = ORIGINALS["GPL-3.0-or-later"], ORIGINALS["GPL-2.0-or-later"], ORIGINALS["BSD-3-Clause"]
+    more = [("GPL-3.0-or-later", gpl3.replace("Foundation,", "Foundation;")), ("GPL-2.0-or-later", gpl2.replace("Foundation;", "Foundation,")), ("BSD-3-Clause", re.sub(r"(\d)\. ", r"\1) ", bsd)), ("BSD-3-Clause", re.sub(r"\d\. ", "* ", bsd))]
+    cases = [*ORIGINALS.items(), *more]
+    got = [r["licenses"] for r in licenses.scan_licenses(docs_of(spark, [t for _, t in cases])).orderBy("doc_id").collect()]
+    assert got == [n for n, _ in cases]
+
+
 # --- op6
 
 
