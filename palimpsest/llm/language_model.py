@@ -7,8 +7,8 @@ class, history) for its own words; within the other classes words have add-one u
 
 Training covers every training text once, in two rounds: each task trains a replica from the round's common start
 by truncated backpropagation over windows of STEPS words in LANES texts side by side; replicas are averaged,
-weighted by their words, in a tree of groups of FAN. In scoring the state is carried across windows, so a text has
-its whole likelihood. Counts of words beyond the HOT most frequent come by a join.
+weighted by their words, in a tree of groups of FAN. In training and scoring the state is carried across windows, so a
+text has its whole likelihood. Counts of words beyond the HOT most frequent come by a join.
 """
 
 from __future__ import annotations
@@ -24,15 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import split_words, stored, table, text_chunks
 
-VOCABULARY = 1024
+VOCABULARY = 2048
 CLASS_WORDS = 32
-TAILS = 31
-HIDDEN = 16
+TAILS = 63
+HIDDEN = 24
 STEPS = 8
 LANES = 512
 SCORE_LANES = 512
 LONGEST_WINDOW = 256
-SEGMENT = 512
 SCORE_BYTES = 7 << 20
 HOT = 1 << 16
 FAN = 16
@@ -287,11 +286,7 @@ def _train(lexicon, weights):
         for _, col in text_chunks(batches):
             _, _, own, kind, _, inputs, lengths = _tokens(col, lex)
             n += len(own)
-            # long texts are learnt in segments, each from an empty state, so that lanes stay full
-            whole, part = np.divmod(lengths, SEGMENT)
-            pieces = np.repeat(np.full(2 * len(lengths), SEGMENT), np.column_stack((whole, part > 0)).ravel())
-            pieces[(np.cumsum(whole + (part > 0)) - 1)[part > 0]] = part[part > 0]
-            _walk(pieces, LANES, STEPS, lambda at, live, state: learner.step(inputs[at], kind[at], own[at], live, state))
+            _walk(lengths, LANES, STEPS, lambda at, live, state: learner.step(inputs[at], kind[at], own[at], live, state))
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(n)]), pa.array([learner.model.pack()], pa.binary())], names=["replica", "n", "weights"])
 

@@ -127,6 +127,19 @@ def test_language_model_windows_cover_every_token():
     assert sorted(seen) == list(range(lengths.sum()))
 
 
+def test_language_model_trains_long_texts_in_one_carried_state(monkeypatch):
+    assert (language_model.VOCABULARY, language_model.TAILS, language_model.HIDDEN) == (2048, 63, 24)
+    starts, real = [], language_model.Learner.step
+    monkeypatch.setattr(language_model.Learner, "step", lambda self, *args: (starts.append(args[-1].copy()), real(self, *args))[1])
+    monkeypatch.setattr(language_model, "TaskContext", type("Here", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    lex = language_model.Lexicon([("w", 2000), ("\n", 1)], [("", 0, 0)] * (language_model.TAILS + 1), 2001, 2)
+    boxed = lambda x: type("Box", (), {"value": x})
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["w " * 2000]})
+    rows = list(language_model._train(boxed(lex), boxed(language_model.Model.start(lex.class_mass, lex.word_mass).pack()))([batch]))
+    assert len(rows) == 1 and len(starts) > 1
+    assert all(len(x) == 1 and (k == 0 or x.any()) for k, x in enumerate(starts))
+
+
 def test_language_model_empty(spark):
     assert language_model.score_texts(docs_of(spark, [])).count() == 0
     r = language_model.score_texts(docs_of(spark, [None])).collect()
