@@ -284,7 +284,7 @@ def move_best(spark, sf_dir):
 
 @query(None)
 def moves(spark, sf_dir):
-    return similarity.assign_moves(similarity.move_candidates(*pairs_of(spark, sf_dir)))
+    return similarity.detect_moves(*pairs_of(spark, sf_dir))
 
 
 # --- ordered differences, revisions, accept and reject
