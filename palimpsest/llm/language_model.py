@@ -378,8 +378,8 @@ def held_out():
 def score_texts(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    The model learns from the rows that are not held out. docs needs doc_id (unique; rows without one take no part)
-    and text; other columns are ignored. A null or empty text is its end alone. Without training texts the counts
+    The model learns from the rows that are not held out. docs needs doc_id (rows without one take no part) and
+    text; other columns are ignored. Repeated rows each teach and are each scored. A null or empty text is its end alone. Without training texts the counts
     are zero and the model is its starting point.
     """
     spark = docs.sparkSession
@@ -404,14 +404,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     for part in (train.where(early), train.where(~early)):
         replicas = part.mapInArrow(_train(lexicon, spark.sparkContext.broadcast(weights)), "replica long, n double, weights binary")
         weights = averaged(replicas, weights)
-    scored = stored(
-        src.mapInArrow(_score(lexicon, spark.sparkContext.broadcast(weights)), "doc_id long, n_tokens long, n_known long, base double, score double, open array<string>"),
-        "lm-scored",
-    )
+    scored = src.mapInArrow(_score(lexicon, spark.sparkContext.broadcast(weights)), "doc_id long, n_tokens long, n_known long, base double, score double, open array<string>")
+    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")  # doc_ids can repeat; a written row's number stays
     # words beyond the most frequent: what a known one adds to both sums
-    more = scored.select("doc_id", F.explode("open").alias("word")).join(counts, "word")
-    more = more.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 1)).alias("add"))
-    out = scored.drop("open").join(more, F.col("doc_id") == F.col("id"), "left")
+    more = scored.select("row", F.explode("open").alias("word")).join(counts, "word")
+    more = more.groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 1)).alias("add"))
+    out = scored.drop("open").join(more, "row", "left")
     add = F.coalesce("add", F.lit(0.0))
     return out.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

@@ -393,6 +393,13 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five words, 0.8): the one with the smallest doc_id."""
-    kept = similar_groups(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near copies stays (five words, 0.8): the one with the smallest doc_id.
+
+    Of repeated rows (the same doc_id and text) one stays.
+    """
+    kept = similar_groups(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = stored(kept, "ngram-kept")
+    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi").select(*docs.columns)
+    again = kept.where("n > 1").select("doc_id")
+    several = prune_by_ids(docs, again, "doc_id").join(again, "doc_id", "left_semi").select(*docs.columns)
+    return once.union(several.dropDuplicates(["doc_id", "text"]))

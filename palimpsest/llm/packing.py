@@ -164,11 +164,11 @@ def evolve(length: np.ndarray, capacity: int, seed: int, arrived: list[np.ndarra
 
 
 def _epoch(capacity: int, epoch: int, last: bool):
-    """Rows of an island: doc_id, piece, length, packings (one bin number for each packing that arrived)."""
+    """Rows of an island: doc_id, piece, key, length, packings (one bin number for each packing that arrived)."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         shard, island = (int(k.as_py()) for k in key)
-        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("key", "ascending")])
         length = group["length"].to_numpy()
         packings = group["packings"].combine_chunks()
         width = len(packings[0])
@@ -184,6 +184,7 @@ def _epoch(capacity: int, epoch: int, last: bool):
                 "island": pa.array(np.full(len(length), island, np.int32)),
                 "doc_id": group["doc_id"],
                 "piece": group["piece"],
+                "key": group["key"],
                 "length": group["length"],
                 "packings": pa.ListArray.from_arrays(pa.array((np.arange(len(length) + 1) * len(out)).astype(np.int32)), pa.array(flat, pa.int32())),
                 "bins": pa.array(np.full(len(length), -bins, np.int32)),
@@ -194,54 +195,55 @@ def _epoch(capacity: int, epoch: int, last: bool):
     return run
 
 
-ISLAND_SCHEMA = "shard long, island int, doc_id long, piece int, length long, packings array<int>, bins int, score double"
+ISLAND_SCHEMA = "shard long, island int, doc_id long, piece int, key long, length long, packings array<int>, bins int, score double"
 
 
 def _pack(pieces: DataFrame, shards: int, capacity: int) -> DataFrame:
-    """(shard, doc_id, piece, length, bin): the best packing of any island of each shard."""
+    """(shard, doc_id, piece, key, length, bin): the best packing of any island of each shard."""
     shard = F.pmod(F.xxhash64("doc_id", "piece", F.lit(shards)), F.lit(shards))
-    now = pieces.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "doc_id", "piece", "length")
+    now = pieces.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "doc_id", "piece", "key", "length")
     now = now.withColumn("packings", F.array().cast("array<int>"))
     for epoch in range(EPOCHS):
         now = stored(now.groupBy("shard", "island").applyInArrow(_epoch(capacity, epoch, epoch == EPOCHS - 1), ISLAND_SCHEMA), "packing-epoch")
         if epoch < EPOCHS - 1:
             # an island keeps its best and gets its neighbour's
-            here = now.select("shard", "island", "doc_id", "piece", "length", F.col("packings")[0].alias("own"))
-            come = now.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "doc_id", "piece", F.col("packings")[0].alias("elite"))
-            now = here.join(come, ["shard", "island", "doc_id", "piece"]).withColumn("packings", F.array("own", "elite")).drop("own", "elite")
+            here = now.select("shard", "island", "doc_id", "piece", "key", "length", F.col("packings")[0].alias("own"))
+            come = now.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "key", F.col("packings")[0].alias("elite"))
+            now = here.join(come, ["shard", "island", "key"]).withColumn("packings", F.array("own", "elite")).drop("own", "elite")
     best = now.groupBy("shard").agg(F.min(F.struct("bins", -F.col("score"), "island")).alias("b")).select("shard", F.col("b.island").alias("island"))
-    return now.join(best, ["shard", "island"]).select("shard", "doc_id", "piece", "length", F.col("packings")[0].alias("bin"))
+    return now.join(best, ["shard", "island"]).select("shard", "doc_id", "piece", "key", "length", F.col("packings")[0].alias("bin"))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32; (doc_id, piece) is unique).
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32). Repeated rows are each packed.
 
     Pieces of exactly capacity are sequences of their own. An empty table gives an empty result; the order of equal
-    pieces is that of (doc_id, piece). The least-filled bins of all shards are packed a second time together.
+    pieces is that of (doc_id, piece), then that in which they are written. The least-filled bins of all shards are packed a second time together.
     """
-    pieces = stored(pieces, "packing-pieces")
+    columns = pieces.columns
+    pieces = stored(pieces.withColumn("key", F.monotonically_increasing_id()), "packing-pieces")  # a written row's number stays
     whole = pieces.where(F.col("length") >= capacity)
-    parts = pieces.where(F.col("length") < capacity).select("doc_id", "piece", "length")
+    parts = pieces.where(F.col("length") < capacity).select("doc_id", "piece", "key", "length")
     n = parts.count()
     first = stored(_pack(parts, max(1, -(-n // shard)), capacity), "packing-first")
     fill = first.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
     loose = F.col("fill") < WELL_FILLED * capacity
-    again = stored(first.join(fill.where(loose), ["shard", "bin"]).select("doc_id", "piece", "length"), "packing-loose")
+    again = stored(first.join(fill.where(loose), ["shard", "bin"]).select("doc_id", "piece", "key", "length"), "packing-loose")
     n = again.count()
     second = _pack(again, max(1, -(-n // (4 * shard))), capacity)
     kept = first.join(fill.where(~loose), ["shard", "bin"])
     number = lambda kind: (F.col("shard") * (1 << 32) + F.col("bin")) * 4 + kind
-    placed = kept.select("doc_id", "piece", "length", number(0).alias("sequence_id")).union(second.select("doc_id", "piece", "length", number(1).alias("sequence_id")))
+    placed = kept.select("doc_id", "piece", "key", "length", number(0).alias("sequence_id")).union(second.select("doc_id", "piece", "key", "length", number(1).alias("sequence_id")))
     inside = F.sum("length").over(_before())
-    placed = placed.select("doc_id", "piece", "sequence_id", F.coalesce(inside, F.lit(0)).alias("offset"))
-    alone = whole.select("*", (F.monotonically_increasing_id() * 4 + 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return pieces.join(placed, ["doc_id", "piece"]).select(*pieces.columns, "sequence_id", "offset").union(alone)
+    placed = placed.select("key", "sequence_id", F.coalesce(inside, F.lit(0)).alias("offset"))
+    alone = whole.select(*columns, (F.monotonically_increasing_id() * 4 + 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return pieces.join(placed, "key").select(*columns, "sequence_id", "offset").union(alone)
 
 
 def _before():
     from pyspark.sql import Window
 
-    return Window.partitionBy("sequence_id").orderBy("doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy("sequence_id").orderBy("doc_id", "piece", "key").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

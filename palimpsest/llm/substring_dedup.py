@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_stored, list_array, prune_by_ids, rolling, sorted_unique, split_words, stored, table, text_chunks, window_starts, word_hashes
@@ -22,9 +22,15 @@ from .common import drop_stored, list_array, prune_by_ids, rolling, sorted_uniqu
 WINDOW = 35
 ANCHOR = 8
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+KEY = ["doc_id", "text_key"]
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
+def _text_key(text: Column) -> Column:
+    """With the doc_id it names a row; only repeated rows, which all fare alike, have the same."""
+    return F.xxhash64(text.cast("string"))
+
+
 def _anchor_of(words: np.ndarray, starts: np.ndarray, window: int, anchor: int) -> np.ndarray:
     """For each window start, the word position of its anchor."""
     if not len(starts):
@@ -52,8 +58,9 @@ def _scan(window: int, anchor: int):
                     pa.array(np.diff(offsets)),
                     pa.array([hashlib.sha256(s.encode()).hexdigest() for s in _joined(flat, offsets)]),
                     list_array(runs, np.searchsorted(at, offsets), pa.int64()),
+                    batch.column(2),
                 ],
-                names=["doc_id", "n_words", "sha", "anchors"],
+                names=["doc_id", "n_words", "sha", "anchors", "text_key"],
             )
 
     return run
@@ -81,8 +88,8 @@ def _windows(window: int, anchor: int):
             for i in range(0, len(starts), 1 << 17):
                 s = slice(i, i + (1 << 17))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[s].view(np.int64)), pa.array(b[s].view(np.int64)), batch.column(0).take(pa.array(row[s])), pa.array((starts[s] - offsets[row[s]]).astype(np.int32))],
-                    names=["h1", "h2", "doc_id", "pos"],
+                    [pa.array(a[s].view(np.int64)), pa.array(b[s].view(np.int64)), batch.column(0).take(pa.array(row[s])), pa.array((starts[s] - offsets[row[s]]).astype(np.int32)), batch.column(3).take(pa.array(row[s]))],
+                    names=["h1", "h2", "doc_id", "pos", "text_key"],
                 )
 
     return run
@@ -109,8 +116,9 @@ def _cut(window: int):
                     pa.array(np.diff(offsets) - np.diff(kept)),
                     pa.array([hashlib.sha256(s.encode()).hexdigest() for s in texts]),
                     pa.array(texts, pa.string()),
+                    batch.column(3),
                 ],
-                names=["doc_id", "n_removed", "kept_sha256", "kept_text"],
+                names=["doc_id", "n_removed", "kept_sha256", "kept_text", "text_key"],
             )
 
     return run
@@ -119,47 +127,49 @@ def _cut(window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
     """Finds and cuts the words covered by windows of `window` words that start more than once in docs.
 
-    docs needs doc_id (unique; rows without one take no part) and text; other columns are ignored. Returns
-    (summary, cut). summary: doc_id, n_words, n_removed, kept_sha256 for every row; cut: doc_id, kept_text for
-    the rows that lost words. A null or empty text has no words; texts shorter than the window lose nothing;
-    an empty table gives empty results. Rows with the same words are all removed if they hold a window.
+    docs needs doc_id (rows without one take no part) and text; other columns are ignored. Returns (summary, cut).
+    summary: doc_id, n_words, n_removed, kept_sha256 for every row; cut: doc_id, text_key, kept_text, once for the
+    rows that lost words and are alike in doc_id and text. A null or empty text has no words; texts shorter than the
+    window lose nothing; an empty table gives empty results. Rows with the same words, repeated rows among them, are
+    all removed if they hold a window.
     """
-    src = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
-    scan = stored(src.mapInArrow(_scan(window, anchor), "doc_id long, n_words long, sha string, anchors array<long>"), "substring-scan")
-    classes = scan.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    src = docs.select("doc_id", F.col("text").cast("string").alias("text"), _text_key(F.col("text")).alias("text_key")).where(F.col("doc_id").isNotNull())
+    scan = stored(src.mapInArrow(_scan(window, anchor), "doc_id long, n_words long, sha string, anchors array<long>, text_key long"), "substring-scan")
+    classes = scan.groupBy("sha").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("copies"))
     copied = stored(
-        scan.select("doc_id", "sha", "n_words").join(classes.select("sha", "copies"), "sha").where(f"copies > 1 and n_words >= {window}").select("doc_id"),
+        scan.select(*KEY, "sha", "n_words").join(classes.select("sha", "copies"), "sha").where(f"copies > 1 and n_words >= {window}").select(*KEY),
         "substring-copied",
     )
-    first = classes.where("copies > 1").select("doc_id")
+    first = classes.where("copies > 1").select("first.*")
     # of texts with the same words, all but the first are settled and take no further part
-    rest = scan.select("doc_id", "anchors").join(copied.join(first, "doc_id", "left_anti"), "doc_id", "left_anti")
-    occurrences = stored(rest.select("doc_id", F.posexplode("anchors").alias("pos", "h")), "substring-anchors")
+    rest = scan.select(*KEY, "anchors").join(copied.join(first, KEY, "left_anti"), KEY, "left_anti")
+    occurrences = stored(rest.select(*KEY, F.posexplode("anchors").alias("pos", "h")), "substring-anchors")
     repeated = occurrences.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     wanted = stored(
-        occurrences.join(repeated, "h").groupBy("doc_id").agg(F.collect_list("pos").alias("wanted")), "substring-wanted"
+        occurrences.join(repeated, "h").groupBy(*KEY).agg(F.collect_set("pos").alias("wanted")), "substring-wanted"
     )
     drop_stored(occurrences)
-    near = prune_by_ids(src, wanted.select("doc_id"), "doc_id").join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    windows = stored(near.mapInArrow(_windows(window, anchor), "h1 long, h2 long, doc_id long, pos int"), "substring-windows")
+    near = prune_by_ids(src, wanted.select("doc_id"), "doc_id").join(wanted, KEY).select("doc_id", "text", "wanted", "text_key")
+    windows = stored(near.mapInArrow(_windows(window, anchor), "h1 long, h2 long, doc_id long, pos int, text_key long"), "substring-windows")
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     starts = stored(
-        windows.join(twice, ["h1", "h2"]).join(copied, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_list("pos").alias("starts")),
+        windows.join(twice, ["h1", "h2"]).join(copied, KEY, "left_anti").groupBy(*KEY).agg(F.collect_list("pos").alias("starts")),
         "substring-starts",
     )
     drop_stored(windows, wanted)
-    hit = prune_by_ids(src, starts.select("doc_id"), "doc_id").join(starts, "doc_id").select("doc_id", "text", "starts")
-    cut = stored(hit.mapInArrow(_cut(window), "doc_id long, n_removed long, kept_sha256 string, kept_text string"), "substring-cut")
-    gone = copied.select("doc_id", F.lit(None).cast("long").alias("n_removed"), F.lit(EMPTY_SHA256).alias("kept_sha256"))
-    changed = cut.select("doc_id", "n_removed", "kept_sha256").union(gone)
-    changed = changed.select("doc_id", F.coalesce("n_removed", F.lit(-1)).alias("lost"), F.col("kept_sha256").alias("new_sha"))
-    summary = scan.select("doc_id", "n_words", "sha").join(changed, "doc_id", "left").select(
+    hit = prune_by_ids(src, starts.select("doc_id"), "doc_id").join(starts, KEY).select("doc_id", "text", "starts", "text_key")
+    cut = stored(hit.mapInArrow(_cut(window), "doc_id long, n_removed long, kept_sha256 string, kept_text string, text_key long"), "substring-cut")
+    once = copied.distinct()
+    gone = once.select(*KEY, F.lit(None).cast("long").alias("n_removed"), F.lit(EMPTY_SHA256).alias("kept_sha256"))
+    changed = cut.select(*KEY, "n_removed", "kept_sha256").union(gone)
+    changed = changed.select(*KEY, F.coalesce("n_removed", F.lit(-1)).alias("lost"), F.col("kept_sha256").alias("new_sha"))
+    summary = scan.select(*KEY, "n_words", "sha").join(changed, KEY, "left").select(
         "doc_id",
         "n_words",
         F.expr("case when lost is null then 0 when lost < 0 then n_words else lost end").alias("n_removed"),
         F.coalesce("new_sha", "sha").alias("kept_sha256"),
     )
-    return summary, cut.select("doc_id", "kept_text").union(copied.select("doc_id", F.lit("").alias("kept_text")))
+    return summary, cut.select(*KEY, "kept_text").union(once.select(*KEY, F.lit("").alias("kept_text")))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,8 +179,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; a document without any word left goes, all others keep their columns."""
     _, cut = remove_repeats(docs)
-    joined = docs.join(cut.withColumnRenamed("doc_id", "__id"), docs["doc_id"] == F.col("__id"), "left")
-    text = F.coalesce(F.col("kept_text"), docs["text"])
-    gone = F.col("kept_text").isNotNull() & (F.length("kept_text") == 0)
+    cut = cut.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("kept_text").alias("__kept"))
+    joined = docs.join(cut, (docs["doc_id"] == F.col("__id")) & (_text_key(docs["text"]) == F.col("__key")), "left")
+    text = F.coalesce(F.col("__kept"), docs["text"])
+    gone = F.col("__kept").isNotNull() & (F.length("__kept") == 0)
     out = [text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     return joined.where(~gone).select(*out)

@@ -560,3 +560,69 @@ def test_pipeline(spark, sf):
             assert not any(x in " ".join(t.lower().split()) for t in after.values() for x in items)
     packed = corpus_pipeline.run(spark, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(after)
+
+
+# --- repeated rows
+
+
+def repeated(spark, texts, times=2):
+    df = docs_of(spark, texts)
+    for _ in range(times - 1):
+        df = df.union(docs_of(spark, texts))
+    return df
+
+
+def test_language_model_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "HOT", 20)  # most words come by the join
+    rows = language_model.score_texts(repeated(spark, TEXTS[8:20])).collect()
+    out = {}
+    for r in rows:
+        out.setdefault(r["doc_id"], []).append(r)
+    assert len(rows) == 24 and all(len(x) == 2 for x in out.values())
+    tokens = [WORD.findall(lower(t)) + ["\n"] for t in TEXTS[8:20]]
+    c = collections.Counter(w for i, ws in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v = 2 * sum(c.values()), len(c)
+    for i, ws in enumerate(tokens):
+        for r in out[i]:
+            assert (r["n_tokens"], r["n_known"]) == (len(ws), sum(c[w] > 0 for w in ws))
+            assert r["base_score"] == pytest.approx(sum(np.log10((2 * c[w] + 1) / (n + v + 1)) for w in ws))
+
+
+def test_substring_dedup_repeated_rows(spark):
+    texts = TEXTS[:12] + TEXTS[-8:]
+    summary, cut = substring_dedup.remove_repeats(repeated(spark, texts, 3))
+    want = cut_by_force(texts * 3, 35)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in summary.collect())
+    assert got == sorted((i % len(texts), *x) for i, x in want.items())
+    stage = substring_dedup.substring_stage(spark, repeated(spark, texts, 3), "").collect()
+    left = [i % len(texts) for i, x in want.items() if not (x[1] and x[1] == x[0])]
+    assert sorted(r["doc_id"] for r in stage) == sorted(left)
+
+
+def test_packing_repeated_rows(spark):
+    rows = packing.pack(packing.cut_pieces(repeated(spark, TEXTS, 3)), shard=50).collect()
+    once = [(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packing.cut_pieces(docs_of(spark, TEXTS)).collect()]
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(once * 3)
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held in bins.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_stages_with_repeated_rows(spark, sf):
+    import corpus_pipeline
+
+    docs = common.table(spark, sf, "documents")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: collections.Counter(r["doc_id"] for r in df.select("doc_id").collect())
+    near = ids(stages["n-gram Jaccard join"](spark, docs.union(docs), sf))
+    assert near == ids(stages["n-gram Jaccard join"](spark, docs, sf)) and set(near.values()) == {1}
+    leaks = stages["benchmark decontamination"]
+    assert ids(leaks(spark, docs.union(docs), sf)) == {i: 2 * n for i, n in ids(leaks(spark, docs, sf)).items()}
+    good = stages["quality classifier"](spark, docs.union(docs), sf)
+    assert set(ids(good).values()) == {2}
