@@ -10,11 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 3 << 20
-ID_BITS = 1 << 26
+MOST_BITS = 1 << 27
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -130,34 +130,52 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), pa.int32()), pa.array(values, kind))
 
 
-def prune_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """df's rows whose key may be in ids: a bitmap of ID_BITS bits (8 MB, whatever the data's size) goes to the tasks.
+def id_slot(key: str, bits: int, seed: int = 0) -> Column:
+    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(bits))
 
-    Some other rows can stay, so an exact join has to follow; it then shuffles little more than what it needs.
-    """
+
+def bitmap_size(n: int) -> int:
+    """Bits for n ids: a power of two, 8 for each or more, as long as that is no more than MOST_BITS (16 MB)."""
+    return min(MOST_BITS, max(1 << 18, 1 << int(8 * n).bit_length()))
+
+
+def id_bitmap(ids: DataFrame, key: str, bits: int, seed: int = 0) -> np.ndarray:
+    """The slots of ids as a bitmap of that many bits; what comes to the driver has at most its size."""
     per = 32768
-    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(ID_BITS))
+    slot = id_slot(key, bits, seed)
     rows = (
         ids.select(slot.alias("slot"))
         .groupBy(F.floor(F.col("slot") / per).cast("int").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.pmod(F.col("slot"), F.lit(per))).alias("bits"))
         .collect()
     )
-    bits = np.zeros(ID_BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in rows:
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        bits[r["bucket"] * per // 8 : r["bucket"] * per // 8 + len(part)] = part
-    shared = df.sparkSession.sparkContext.broadcast(bits)
+        out[r["bucket"] * per // 8 : r["bucket"] * per // 8 + len(part)] = part
+    return out
+
+
+def in_bitmap(table_bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return ((table_bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def prune_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """df's rows whose key may be in ids: a bitmap goes to the tasks, 16 MB at most whatever the data's size.
+
+    Some other rows can stay, so an exact join has to follow; it then shuffles little more than what it needs. With
+    more ids than a bitmap tells apart more of them stay, all in the end.
+    """
+    bits = bitmap_size(ids.count())
+    shared = df.sparkSession.sparkContext.broadcast(id_bitmap(ids, key, bits))
     schema = df.schema
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_bits = shared.value
         for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            hit = (table_bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(hit.astype(bool)))
+            hit = in_bitmap(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(hit))
 
-    return df.where(F.col(key).isNotNull()).withColumn("__slot", slot).mapInArrow(kept, schema)
+    return df.where(F.col(key).isNotNull()).withColumn("__slot", id_slot(key, bits)).mapInArrow(kept, schema)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -3,15 +3,16 @@
 Plan, with sizes n and threshold t = num/den:
 1. Each text becomes its set of hashed shingles. Equal sets form one class and are represented by one row, with a
    parity bitmap of about 2 n bits, from which an upper bound of any two sets' overlap follows.
-2. In one order of all shingles (long shingles, which are rare, first) two linked sets share at least k of the first
-   n - ceil(t n) + k of each; k grows with n. Every class posts those, and meets others at all but the k - 1 of
-   them that are posted most often.
-3. Each shingle's smallest poster is its leader; every poster is held exactly against the leader of most of its
-   shingles, which joins large groups of near copies in one row for each, not in all pairs.
-4. Shingles whose posters are all connected by then are done. The posters of every other shingle go to a
-   T-occurrence search over the lists of their posted shingles: short lists are merged with a heap, long ones probed
-   by binary search. Sets found on k lists, not connected, and near enough by their bitmaps are compared as a whole.
-   Posters that share the same shingles are searched once; groups over GROUP rows in blocks against each other.
+2. In how many classes each shingle is, is counted: chunks of sets send their distinct shingles to buckets of hashes,
+   which send back those of several classes with their counts. That gives one order for all sets, rarest first.
+3. Two linked sets share, of the first n - ceil(t n) + k shingles of each, at least k (k grows with n), the first of
+   them among the first n - ceil(t n) + 1, its keys. The inverted lists are those of the keys, by sizes that can link.
+4. Posters of a list of over GROUP sets are first held exactly against the list's smallest one, its leader, which
+   joins large groups of near copies in one row for each, not in all pairs.
+5. Every list whose posters are not all connected goes to a T-occurrence search over the posted shingles: short lists
+   are merged with a heap, long ones probed by binary search. Sets found on k lists, not connected, and near enough
+   by their bitmaps are compared as a whole. Lists with the same posters are searched once; those of over GROUP sets
+   are split by ids, and only the sets outside the leader's component are looked up in every part.
 """
 
 from __future__ import annotations
@@ -23,60 +24,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop_stored, list_array, mix64, prune_by_ids, split_words, stored, table, text_chunks, window_starts, word_hashes
+from .common import bitmap_size, components, drop_stored, id_bitmap, id_slot, in_bitmap, list_array, mix64, prune_by_ids, sorted_unique, split_words, stored, table, text_chunks, window_starts, word_hashes
 
-GROUP = 512
+GROUP = 64
+PAIRS = 4096
 RESERVE = 20
-HOT = 64
-MOST_HOT = 100_000
-SCAN = "doc_id long, n_shingles long, s1 long, s2 long, posted array<long>, bits binary"
+SCAN = "doc_id long, n_shingles long, s1 long, s2 long, items binary, bits binary"
+DEAL_SHINGLES = 400_000
+BUCKET_SHINGLES = 1_000_000
+OWNERS_SENT = 16
+BLOCK = "chunk long, bucket int, hashes binary, held binary, sent binary, owners binary, ids binary, sizes binary, often binary, often_held binary, often_owners binary"
+COUNTED = "chunk long, hashes binary, ranks binary, sent binary, owners binary, ids binary, sizes binary, often binary, often_held binary, often_owners binary"
+POSTED = "id long, n_shingles long, n_keys int, posted array<long>"
 
 
-def _shingles(col: pa.Array, n: int, lower: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each row its distinct shingle hashes and, for the order, the letters in each shingle."""
+def _shingles(col: pa.Array, n: int, lower: bool = True) -> Iterator[np.ndarray]:
+    """For each row its distinct shingle hashes in order."""
     flat, offsets = split_words(col, lower)
     (words,) = word_hashes(flat, 3)
-    sizes = pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
     starts = window_starts(offsets, n)
-    mixed, length = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
+    mixed = np.zeros(len(starts), np.uint64)
     for j in range(n):
         if len(starts):
             mixed = mix64(mixed * np.uint64(0x9E3779B97F4A7C15) + words[starts + j])
-            length += sizes[starts + j]
     at = np.concatenate(([0], np.cumsum(np.maximum(np.diff(offsets) - n + 1, 0))))
     for i in range(len(offsets) - 1):
         a, b = offsets[i], offsets[i + 1]
         if b - a >= n:
-            hashes, first = np.unique(mixed[at[i] : at[i + 1]], return_index=True)
-            yield hashes, length[at[i] : at[i + 1]][first]
+            yield sorted_unique(mixed[at[i] : at[i + 1]])
         elif b > a:  # fewer words than a shingle has: the whole sequence, told apart by its length
             whole = np.full(1, b - a, np.uint64)
             for w in words[a:b]:
                 whole = mix64(whole * np.uint64(0x9E3779B97F4A7C15) + w)
-            yield whole, sizes[a:b].sum(keepdims=True)
+            yield whole
         else:
-            yield np.empty(0, np.uint64), np.empty(0, np.int64)
+            yield np.empty(0, np.uint64)
 
 
-def shared_least(n: int) -> int:
+def shared_least(n):
     """k: how many posted shingles a set of n shares with any linked one that is not smaller."""
     return 1 + n // RESERVE
 
 
-def _prefix(hashes: np.ndarray, length: np.ndarray, num: int, den: int, last: np.ndarray) -> np.ndarray:
-    """The shingles that a set posts: the first in the order; those in `last` come at its end."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    keep = n - -(-num * n // den) + shared_least(n)
-    late = last[np.minimum(np.searchsorted(last, hashes), len(last) - 1)] == hashes if len(last) else np.zeros(n, bool)
-    return hashes[np.lexsort((hashes, -length, late))[:keep]]
-
-
 def bitmap(hashes: np.ndarray) -> bytes:
     """Parities of how many of a set's hashes fall on each bit; 64 bits or more, a power of two from 2 n on."""
     size = max(64, 1 << int(2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
@@ -99,39 +91,139 @@ def _may_link(a: np.ndarray, b: np.ndarray, n: int, m: int, num: int, den: int)
     return den * most >= num * (n + m - most)
 
 
-def _scan(n: int, num: int, den: int, last: np.ndarray):
+def _scan(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, col in text_chunks(batches):
-            size, one, two, posted, bits = [], [], [], [], []
-            for hashes, length in _shingles(col, n):
+            size, one, two, items, bits = [], [], [], [], []
+            for hashes in _shingles(col, n):
                 size.append(len(hashes))
                 mixed = mix64(hashes)
                 one.append(np.sum(mixed, dtype=np.uint64))
                 two.append(np.sum(mix64(mixed ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64))
-                posted.append(_prefix(hashes, length, num, den, last))
+                items.append(hashes.tobytes())
                 bits.append(bitmap(hashes))
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in posted])))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(size, pa.int64()),
                     pa.array(np.array(one, np.uint64).view(np.int64)),
                     pa.array(np.array(two, np.uint64).view(np.int64)),
-                    list_array(np.concatenate(posted).view(np.int64), offsets, pa.int64()),
+                    pa.array(items, pa.binary()),
                     pa.array(bits, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "s1", "s2", "posted", "bits"],
+                names=["doc_id", "n_shingles", "s1", "s2", "items", "bits"],
             )
 
     return run
 
 
-def _sets(n: int):
+def _numbers(col: pa.Array | pa.ChunkedArray, kind) -> np.ndarray:
+    """All numbers of a column of packed numbers, row after row."""
+    return np.frombuffer(b"".join(x for x in col.to_pylist() if x), kind)
+
+
+def _deal(buckets: int, out, back):
+    """Rows id, n_shingles, items, slot, again -> blocks (without rows in the bitmap `out` but not in `back`): the distinct shingles of a chunk of sets, dealt to buckets by ranges of hashes.
+
+    A block holds the shingles in order, in how many of the chunk's sets each is, and in which (by ordinal). Where
+    those are over OWNERS_SENT they stay out of the block, which so has a bounded size for each chunk, and travel
+    with one block of the chunk to where its sets are put together again, as do the sets' ids and sizes.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, col in text_chunks(batches):
-            sets = [hashes for hashes, _ in _shingles(col, n)]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(np.concatenate(sets).view(np.int64), offsets, pa.int64())], names=["id", "items"])
+        for batch in batches:
+            batch = batch.filter(pa.array(~in_bitmap(out.value, batch.column(3).to_numpy()) | in_bitmap(back.value, batch.column(4).to_numpy())))
+            n = batch.column(1).to_numpy().astype(np.int64)
+            part = (np.cumsum(n) - n) // DEAL_SHINGLES
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    yield _blocks(batch.slice(a, b - a), n[a:b], buckets)
+
+    return run
+
+
+def _blocks(rows: pa.RecordBatch, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    values = _numbers(rows.column(2), np.uint64)
+    owner = np.repeat(np.arange(len(n), dtype=np.uint16), n)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    held = np.diff(np.append(at, len(values)))
+    distinct = values[at]
+    here = held > OWNERS_SENT
+    often = np.repeat(here, held)
+    sent = np.where(here, 0, held)
+    bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    some = owner[~often]
+    upto = np.concatenate(([0], np.cumsum(sent)))
+    packed = {"hashes": [], "held": [], "sent": [], "owners": []}
+    for a, b in zip(cuts, cuts[1:]):
+        packed["hashes"].append(distinct[a:b].tobytes())
+        packed["held"].append(held[a:b].astype(np.uint32).tobytes())
+        packed["sent"].append(sent[a:b].astype(np.uint8).tobytes())
+        packed["owners"].append(some[upto[a] : upto[b]].tobytes())
+    rest = [None] * (len(cuts) - 2)
+    ids = rows.column(0).to_numpy()
+    head = [ids.tobytes(), n.astype(np.uint32).tobytes(), distinct[here].tobytes(), held[here].astype(np.uint32).tobytes(), owner[often].tobytes()]
+    count = len(cuts) - 1
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(count, ids[0])), pa.array(bucket[cuts[:-1]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in packed.values()), *(pa.array([x, *rest], pa.binary()) for x in head)],
+        names=[x.split()[0] for x in BLOCK.split(", ")],
+    )
+
+
+def _count(group: pa.Table) -> pa.Table:
+    """A bucket's blocks with the rank of each shingle's count over all sets; shingles of a single set are left out."""
+    hashes, held = _numbers(group["hashes"], np.uint64), _numbers(group["held"], np.uint32)
+    sent, owners = _numbers(group["sent"], np.uint8), _numbers(group["owners"], np.uint16)
+    distinct, which = np.unique(hashes, return_inverse=True)
+    count = np.bincount(which, weights=held)
+    ranks = np.minimum(np.floor(4 * np.log2(count)), 255).astype(np.uint8)[which]
+    keep = count[which] > 1
+    keep_owner = np.repeat(keep, sent)
+    size = np.array([len(x) // 8 for x in group["hashes"].to_pylist()])
+    edges = np.concatenate(([0], np.cumsum(size)))
+    upto = np.concatenate(([0], np.cumsum(sent, dtype=np.int64)))
+    out = {"hashes": [], "ranks": [], "sent": [], "owners": []}
+    for a, b in zip(edges, edges[1:]):
+        k = keep[a:b]
+        out["hashes"].append(hashes[a:b][k].tobytes())
+        out["ranks"].append(ranks[a:b][k].tobytes())
+        out["sent"].append(sent[a:b][k].tobytes())
+        out["owners"].append(owners[upto[a] : upto[b]][keep_owner[upto[a] : upto[b]]].tobytes())
+    head = [x.split()[0] for x in COUNTED.split(", ")[5:]]
+    return pa.table({"chunk": group["chunk"]} | {k: pa.array(x, pa.binary()) for k, x in out.items()} | {k: group[k] for k in head})
+
+
+def _post(num: int, den: int):
+    """The blocks of a chunk -> of each of its sets the first shingles in the order of all: by count, then by hash."""
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, n = _numbers(group["ids"], np.int64), _numbers(group["sizes"], np.uint32).astype(np.int64)
+        hashes, ranks = _numbers(group["hashes"], np.uint64), _numbers(group["ranks"], np.uint8)
+        sent, owners = _numbers(group["sent"], np.uint8), _numbers(group["owners"], np.uint16)
+        often, often_held, often_owners = (_numbers(group[c], k) for c, k in (("often", np.uint64), ("often_held", np.uint32), ("often_owners", np.uint16)))
+        late = np.flatnonzero(sent == 0)
+        late = late[np.argsort(hashes[late])]
+        rank_of = ranks[late]  # in the order of `often`, which are these shingles
+        h = np.concatenate((np.repeat(hashes, sent), np.repeat(often, often_held)))
+        r = np.concatenate((np.repeat(ranks, sent), np.repeat(rank_of, often_held)))
+        o = np.concatenate((owners, often_owners)).astype(np.int64)
+        order = np.lexsort((h, r, o))
+        h, o = h[order], o[order]
+        many = np.bincount(o, minlength=len(n))
+        first = np.cumsum(many) - many
+        place = np.arange(len(o)) - first[o] + (n - many)[o]  # shingles of no other set come before
+        keys = n - -(-num * n // den) + 1
+        keep = place < (keys + shared_least(n) - 1)[o]
+        n_keys = np.bincount(o[place < keys[o]], minlength=len(n))
+        h, o = h[keep], o[keep]
+        row = np.flatnonzero(n_keys > 0)
+        good = n_keys[o] > 0
+        lists = list_array(h[good].view(np.int64), np.concatenate(([0], np.cumsum(np.bincount(o[good], minlength=len(n))[row]))), pa.int64())
+        return pa.table({"id": ids[row], "n_shingles": n[row], "n_keys": n_keys[row].astype(np.int32), "posted": lists})
 
     return run
 
@@ -149,6 +241,21 @@ def _near(num: int, den: int):
     return run
 
 
+def _linked(num: int, den: int):
+    """Rows a, b, mine, theirs (whole sets, in order) that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(den * both >= num * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def t_occurrence(lists: list[list[int]], needed: int, mu: float = 0.01) -> list[tuple[int, int]]:
     """DivideSkip: (id, count) of the ids that occur in at least `needed` of the sorted lists.
 
@@ -193,50 +300,33 @@ def t_occurrence(lists: list[list[int]], needed: int, mu: float = 0.01) -> list[
     return found
 
 
-def _by_bitmaps(bits: list[bytes], size: np.ndarray, comp: np.ndarray, largest: int, num: int, den: int) -> dict[int, set[int]]:
-    """For each row outside the largest component the unconnected rows whose bitmaps allow a link; each pair once."""
-    least, folded = min(map(len, bits)), []
-    for x in bits:
-        a = np.frombuffer(x, np.uint8)
-        while len(a) > least:
-            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-        folded.append(a)
-    table, rows, out = np.stack(folded).view(np.uint64), np.arange(len(bits)), {}
-    for d in np.flatnonzero(comp != largest).tolist():
-        most = (size + size[d] - np.bitwise_count(table ^ table[d]).sum(axis=1, dtype=np.int64)) // 2
-        good = (den * most >= num * (size + size[d] - most)) & (num * np.maximum(size, size[d]) <= den * np.minimum(size, size[d]))
-        good &= (comp != comp[d]) & ((comp == largest) | (rows > d))
-        if good.any():
-            out[d] = set(np.flatnonzero(good).tolist())
-    return out
-
-
-def _pairs_to_compare(ids: list[int], comp: np.ndarray, size: np.ndarray, posted: list[np.ndarray], bits: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
-    """Unconnected pairs of one group (or of two of its blocks) that share enough posted shingles and may link."""
-    names, counts = np.unique(comp, return_counts=True)
-    # two unconnected sets are not both in the group's largest component, so the others' searches find all links
-    near = _by_bitmaps(bits, size, comp, int(names[counts.argmax()]), num, den)
-    if not near:
+def _pairs_to_compare(ids: list[int], listed: np.ndarray, comp: np.ndarray, base: int, size: np.ndarray, posted: list[np.ndarray], bits: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Unconnected pairs of a query (a set outside the component `base`) and a listed set that may link."""
+    asks = np.flatnonzero(comp != base)
+    there = np.flatnonzero(listed)
+    if not len(asks) or not len(there):
         return []
-    owner = np.repeat(np.arange(len(ids)), [len(p) for p in posted])
-    values = np.concatenate(posted)
+    lengths = np.array([len(p) for p in posted])
+    owner = np.repeat(there, lengths[there])
+    values = np.concatenate([posted[i] for i in there])
     order = np.lexsort((owner, values))
-    values, owner = values[order], owner[order]
-    cuts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True])))
-    widths = np.diff(cuts)
-    shared = widths > 1  # a list of one set can't link it with another
-    mine: dict[int, list[list[int]]] = {d: [] for d in near}
-    for a, w in zip(cuts[:-1][shared].tolist(), widths[shared].tolist()):
-        x = owner[a : a + w].tolist()
-        for d in x:
-            if d in mine:
-                mine[d].append(x)
-    needed = shared_least(int(size.min()))
-    return [(ids[d], ids[other]) for d in near for other, _ in t_occurrence(mine[d], needed) if other in near[d]]
+    values, owner = values[order], owner[order].tolist()
+    wanted = np.concatenate([posted[i] for i in asks])
+    low, high = np.searchsorted(values, wanted, side="left").tolist(), np.searchsorted(values, wanted, side="right").tolist()
+    as_bits = [np.frombuffer(x, np.uint8) for x in bits]
+    out, at = [], 0
+    for d in asks.tolist():
+        # a list that holds the query alone can't link it with another set
+        lists = [owner[x:y] for x, y in zip(low[at : at + lengths[d]], high[at : at + lengths[d]]) if y - x > (1 if listed[d] else 0)]
+        at += lengths[d]
+        for other, _ in t_occurrence(lists, shared_least(int(size[d] * num // den))):
+            if comp[other] != comp[d] and (other > d or comp[other] == base or not listed[d]) and _may_link(as_bits[d], as_bits[other], int(size[d]), int(size[other]), num, den):
+                out.append((ids[d], ids[other]))
+    return out
 
 
 def _search(num: int, den: int):
-    """Rows sorted by group: shingle, band, i, j, id, comp, n_shingles, posted, bits; a group may span batches."""
+    """Rows sorted by group: shingle, band, part, id, listed, comp, base, n_shingles, posted, bits; a group may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -254,7 +344,7 @@ def _search(num: int, den: int):
 
 
 def _group_cuts(rows: pa.Table) -> list[int]:
-    keys = [rows[c].to_numpy() for c in ("shingle", "band", "i", "j")]
+    keys = [rows[c].to_numpy() for c in ("shingle", "band", "part")]
     new = np.zeros(rows.num_rows, bool)
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
@@ -264,128 +354,138 @@ def _group_cuts(rows: pa.Table) -> list[int]:
 def _compared(rows: pa.Table, cuts: list[int], num: int, den: int) -> pa.RecordBatch:
     out = []
     if rows.num_rows:
-        ids, comp, size, bits = rows["id"].to_pylist(), rows["comp"].to_numpy(), rows["n_shingles"].to_numpy(), rows["bits"].to_pylist()
+        ids, bits = rows["id"].to_pylist(), rows["bits"].to_pylist()
+        listed, comp, base, size = (rows[c].to_numpy() for c in ("listed", "comp", "base", "n_shingles"))
         lists = rows["posted"].combine_chunks()
         at, values = lists.offsets.to_numpy(), lists.flatten().to_numpy()
         at = at - at[0]
         posted = [values[x:y] for x, y in zip(at, at[1:])]
         for a, b in zip(cuts, cuts[1:]):
-            out += _pairs_to_compare(ids[a:b], comp[a:b], size[a:b], posted[a:b], bits[a:b], num, den)
+            out += _pairs_to_compare(ids[a:b], listed[a:b], comp[a:b], int(base[a]), size[a:b], posted[a:b], bits[a:b], num, den)
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
 def similar_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, group: int = GROUP) -> DataFrame:
-    """Per document: doc_id, n_shingles (its set's size) and component_id.
+    """Per row of docs: doc_id, n_shingles (its set's size) and component_id.
 
     Documents link when den * intersection >= num * union of their sets of n-word shingles of ASCII-lower-cased
-    words; component_id is the smallest doc_id reachable by links. docs needs doc_id (unique; rows without one
-    take no part) and text; other columns are ignored. A null, empty or blank text has an empty set, links with
-    nothing and is its own component; a text of fewer than n words is one shingle; equal sets are linked.
+    words; component_id is the smallest doc_id reachable by links. docs needs doc_id (rows without one take no part)
+    and text; other columns are ignored. A null, empty or blank text has an empty set, links with nothing and is its
+    own component; a text of fewer than n words is one shingle; equal sets are linked. Rows that repeat a doc_id are
+    each given; an empty table gives an empty result.
     """
     src = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
-    none = np.empty(0, np.uint64)
-    scan = stored(src.mapInArrow(_scan(n, num, den, none), SCAN), "ngram-scan")
+    # a written row's number stays; it names the row, as doc_ids may repeat
+    scan = stored(src.mapInArrow(_scan(n), SCAN).withColumn("row", F.monotonically_increasing_id()), "ngram-scan")
     key = ["n_shingles", "s1", "s2"]
-    classes = stored(scan.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("id")), "ngram-classes")
-    reps = scan.select(F.col("doc_id").alias("id"), "n_shingles", "posted", "bits").join(classes.select("id"), "id", "left_semi")
-    reps = stored(reps, "ngram-posted")
-    scan = scan.drop("posted", "bits")
-    posts = _met(reps, num, den)
-    links = _leader_links(src, reps, posts, n, num, den)
-    hot = _frequent(src, _open_groups(posts, components(links)), posts, n)
-    if len(hot):
-        # passages that many unlike documents share: their shingles go last in the order, for all documents
-        last = np.sort(np.array(hot, np.int64).view(np.uint64))
-        shared = docs.sparkSession.createDataFrame([(h,) for h in hot], "shingle long")
-        moved = reps.select("id", F.explode("posted").alias("shingle")).join(F.broadcast(shared), "shingle", "left_semi").select(F.col("id").alias("doc_id")).distinct()
-        moved = stored(moved, "ngram-moved")
-        again = prune_by_ids(src, moved, "doc_id").join(moved, "doc_id", "left_semi").mapInArrow(_scan(n, num, den, last), SCAN)
-        again = again.select(F.col("doc_id").alias("id"), "n_shingles", "posted", "bits")
-        reps = stored(reps.join(moved.withColumnRenamed("doc_id", "id"), "id", "left_anti").union(again), "ngram-posted")
-        posts = _met(reps, num, den)
-        links = stored(links.union(_leader_links(src, reps, posts, n, num, den)), "ngram-links")
-    found = _residual_links(src, reps, posts, stored(components(links), "ngram-components"), n, num, den, group)
-    comp = components(links.union(found))
-    named = classes.join(comp, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
-    return scan.select("doc_id", *key).join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _met(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """(shingle, band, id, n_shingles, leader, m): postings of shingles that at least two classes of near sizes post."""
-    posts = reps.select("id", "n_shingles", F.explode("posted").alias("shingle"))
-    met = posts.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    # linked sets share k posted shingles or more, so one besides the k - 1 that are most often posted, in one order for all
-    often = Window.partitionBy("id").orderBy(F.desc("n"), "shingle")
-    posts = posts.join(met, "shingle").withColumn("r", F.row_number().over(often)).where(F.col("r") > F.floor(F.col("n_shingles") / RESERVE)).drop("n", "r")
+    first = F.min(F.struct("doc_id", "row"))
+    classes = stored(scan.where("n_shingles > 0").groupBy(*key).agg(first.alias("f")).select(*key, F.col("f.doc_id").alias("doc_id"), F.col("f.row").alias("id")), "ngram-classes")
+    named = stored(scan.select("doc_id", *key, "row"), "ngram-named")
+    written, scan = scan, scan.select(F.col("row").alias("id"), "n_shingles", "items", "bits")
+    posted = _posted(scan, named, classes, num, den)
+    bits = prune_by_ids(scan.select("id", "bits"), posted.select("id"), "id")
+    reps = stored(posted.join(bits, "id"), "ngram-reps")
+    lists = _lists(reps, num, den)
+    links = _leader_links(scan, reps, lists, num, den, group)
+    comp = stored(components(links), "ngram-components")
+    found = _searched_links(scan, reps, lists, comp, num, den, group)
+    comp = stored(components(links.union(found)), "ngram-components")
+    met = stored(classes.select(*key, "doc_id", "id").join(comp, "id"), "ngram-met")
+    least = met.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = stored(classes.join(met.join(least, "component").select("id", "component_id"), "id", "left").select(*key, F.coalesce("component_id", "doc_id").alias("component_id")), "ngram-named")
+    drop_stored(written, posted, reps, lists, links, found, comp, met, classes)
+    return named.join(of_class, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _posted(scan: DataFrame, named: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, n_shingles, n_keys, posted): the first shingles of each class that shares one of its keys with another."""
+    total, ids = classes.agg(F.sum("n_shingles"), F.count("*")).first()
+    buckets = max(1, -(-int(total or 0) // BUCKET_SHINGLES))
+    # Rows beside the classes' own ones are to stay out, or copies would count: a row stays if it is not in a bitmap of
+    # these, or is in a second one of the classes' own rows that the first one takes for others. Where bitmaps are too
+    # small for the data, more copies come along, which changes the order and the work, not the result.
+    own = classes.select("id")
+    others = named.where("n_shingles > 0").select(F.col("row").alias("id")).join(own, "id", "left_anti")
+    bits = bitmap_size(ids)
+    context = scan.sparkSession.sparkContext
+    first = context.broadcast(id_bitmap(others, "id", bits))
+    unsure = own.withColumn("slot", id_slot("id", bits)).mapInArrow(_hit(first), "id long")
+    second = context.broadcast(id_bitmap(unsure, "id", bits, 1))
+    sets = scan.where("n_shingles > 0").select("id", "n_shingles", "items", id_slot("id", bits).alias("slot"), id_slot("id", bits, 1).alias("again"))
+    blocks = sets.mapInArrow(_deal(buckets, first, second), BLOCK)
+    counted = stored(blocks.groupBy("bucket").applyInArrow(_count, COUNTED), "ngram-counted")
+    out = stored(counted.groupBy("chunk").applyInArrow(_post(num, den), POSTED), "ngram-posted")
+    drop_stored(counted)
+    return out
+
+
+def _hit(bits):
+    """Rows id, slot -> the ids whose slot is in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([0]).filter(pa.array(in_bitmap(bits.value, batch.column(1).to_numpy())))
+
+    return run
+
+
+def _lists(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(shingle, band, id, n_shingles, n, leader, m): the inverted lists of keys with two sets or more of near sizes."""
+    posts = reps.select("id", "n_shingles", F.explode(F.slice("posted", F.lit(1), F.col("n_keys"))).alias("shingle"))
     # sizes of linked sets differ by a factor of den / num at most: they lie in one band or in neighbouring ones
     band = F.floor(F.log(F.col("n_shingles")) / math.log(den / num) - 1e-9).cast("int")
-    posts = posts.select("shingle", "id", "n_shingles", F.explode(F.array(band, band + 1)).alias("band"))
-    posts = stored(posts, "ngram-met")
+    posts = stored(posts.select("shingle", "id", "n_shingles", F.explode(F.array(band, band + 1)).alias("band")), "ngram-posts")
     led = posts.groupBy("shingle", "band").agg(F.count("*").alias("n"), F.min(F.struct("id", "n_shingles")).alias("l")).where("n > 1")
-    led = led.select("shingle", "band", F.col("l.id").alias("leader"), F.col("l.n_shingles").alias("m"))
-    out = stored(posts.join(led, ["shingle", "band"]), "ngram-posts")
+    led = led.select("shingle", "band", "n", F.col("l.id").alias("leader"), F.col("l.n_shingles").alias("m"))
+    out = stored(posts.join(led, ["shingle", "band"]), "ngram-lists")
     drop_stored(posts)
     return out
 
 
-def _sets_of(src: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, items): the whole sets of the documents with these doc_ids."""
-    return stored(prune_by_ids(src, ids, "doc_id").join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, items array<long>"), "ngram-sets")
+def _with_set(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
+    """Joins the sets of one end of pairs; an end of many pairs has its set copied to as many parts as they need."""
+    parts = pairs.groupBy(end).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+    copies = sets.select(F.col("id").alias(end), F.col("items").alias(name)).join(parts, end).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    other = "b" if end == "a" else "a"
+    return pairs.join(parts.where("parts > 1"), end, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts").join(copies, [end, "part"]).drop("part")
 
 
-def _verified(src: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _verified(scan: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Of the pairs (a, b) those that link, by their whole sets."""
-    needed = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ngram-needed")
-    sets = _sets_of(src, needed, n)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("mine")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("theirs")), "b")
-    both = both.withColumn("both", F.size(F.array_intersect("mine", "theirs")))
-    return stored(both.where(f"{den} * both >= {num} * (size(mine) + size(theirs) - both)").select("a", "b"), "ngram-links")
+    needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ngram-needed")
+    sets = stored(prune_by_ids(scan.select("id", "items"), needed, "id").join(needed, "id", "left_semi"), "ngram-sets")
+    both = _with_set(_with_set(pairs, sets, "b", "theirs"), sets, "a", "mine").select("a", "b", "mine", "theirs")
+    out = stored(both.mapInArrow(_linked(num, den), "a long, b long"), "ngram-links")
+    drop_stored(needed, sets, pairs)
+    return out
 
 
-def _leader_links(src: DataFrame, reps: DataFrame, posts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between posters and the leader of near size that most of their shingles have."""
-    near = posts.where(f"id <> leader and {num} * greatest(m, n_shingles) <= {den} * least(m, n_shingles)").groupBy("id", "leader").agg(F.count("*").alias("votes"))
+def _leader_links(scan: DataFrame, reps: DataFrame, lists: DataFrame, num: int, den: int, group: int) -> DataFrame:
+    """Links (a, b) between posters of large lists and the leader of near size that most of their lists have."""
+    near = lists.where(f"n > {group} and id <> leader and {num} * greatest(m, n_shingles) <= {den} * least(m, n_shingles)").groupBy("id", "leader").agg(F.count("*").alias("votes"))
     chosen = near.groupBy("id").agg(F.max(F.struct("votes", (-F.col("leader")).alias("l"))).alias("v")).select(F.col("id").alias("a"), (-F.col("v.l")).alias("b"))
     look = chosen.join(reps.select(F.col("id").alias("a"), "n_shingles", F.col("bits").alias("bits_a")), "a")
     look = look.join(reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("bits").alias("bits_b")), "b")
     pairs = stored(look.select("a", "b", "n_shingles", "m", "bits_a", "bits_b").mapInArrow(_near(num, den), "a long, b long"), "ngram-pairs")
-    return _verified(src, pairs, n, num, den)
+    return _verified(scan, pairs, num, den)
 
 
-def _open_groups(posts: DataFrame, comp: DataFrame) -> DataFrame:
-    """(shingle, band, n, who, who2) of the shingles whose posters are not all connected yet."""
-    posts = posts.join(comp, "id", "left").select("shingle", "band", "id", F.coalesce("component", "id").alias("comp"))
+def _searched_links(scan: DataFrame, reps: DataFrame, lists: DataFrame, comp: DataFrame, num: int, den: int, group: int) -> DataFrame:
+    """Links among posters of a list that are not connected yet, by T-occurrence search."""
+    rows = lists.join(comp, "id", "left").select("shingle", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
     who = [F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("who2")]
-    return posts.groupBy("shingle", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), *who).where("low < high")
-
-
-def _frequent(src: DataFrame, open_groups: DataFrame, posts: DataFrame, n: int) -> list[int]:
-    """Shingles frequent among the posters of large open groups, most frequent first, MOST_HOT at most.
-
-    They only change the order in which sets post shingles, which any order makes exact.
-    """
-    large = stored(open_groups.where(F.col("n") > HOT).select("shingle", "band"), "ngram-large")
-    if not large.take(1):
-        return []
-    held = stored(posts.join(large, ["shingle", "band"], "left_semi").select(F.col("id").alias("doc_id")).distinct(), "ngram-held")
-    counts = _sets_of(src, held, n).select(F.explode("items").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
-    return [r["shingle"] for r in counts.where(F.col("n") > HOT).orderBy(F.desc("n"), "shingle").limit(MOST_HOT).collect()]
-
-
-def _residual_links(src: DataFrame, reps: DataFrame, posts: DataFrame, comp: DataFrame, n: int, num: int, den: int, group: int) -> DataFrame:
-    """Links among posters of a shingle and band that are not connected yet, by T-occurrence search."""
-    keyed = _open_groups(posts, comp)
-    once = keyed.groupBy("who", "who2", "n", "band").agg(F.min("shingle").alias("shingle")).select("shingle", "band", "n")  # the same posters: searched once
-    live = posts.select("shingle", "band", "id").join(once, ["shingle", "band"]).join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    blocks = F.ceil(F.col("n") / group).cast("int")
-    live = live.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    live = live.select("shingle", "band", "id", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    live = live.join(reps, "id").select("shingle", "band", "i", "j", "id", "comp", "n_shingles", "posted", "bits")
-    key = ["shingle", "band", "i", "j"]
+    open_ = rows.groupBy("shingle", "band", "n").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "id").alias("base"), *who).where("low < high")
+    once = open_.groupBy("who", "who2", "n", "band").agg(F.min(F.struct("shingle", "base")).alias("l")).select("l.shingle", "band", "n", "l.base")  # the same posters: searched once
+    live = rows.drop("n").join(once, ["shingle", "band"]).withColumn("parts", F.ceil(F.col("n") / group).cast("int"))
+    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
+    live = live.withColumn("own", mine).withColumn("part", F.explode(F.when(F.col("comp") == F.col("base"), F.array("own")).otherwise(everywhere)))
+    live = live.select("shingle", "band", "part", "id", (F.col("part") == F.col("own")).alias("listed"), "comp", "base")
+    live = live.join(reps, "id").select("shingle", "band", "part", "id", "listed", "comp", "base", "n_shingles", "posted", "bits")
+    key = ["shingle", "band", "part"]
     pairs = live.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(num, den), "a long, b long")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-pairs")
-    return _verified(src, pairs, n, num, den)
+    return _verified(scan, pairs, num, den)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,11 +495,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, 0.8): the one with the smallest doc_id.
 
-    Of repeated rows (the same doc_id and text) one stays.
+    Of rows with the same doc_id one stays. Rows without a doc_id, which no link can name, stay. Null, empty and
+    blank texts are near copies of nothing and stay; an empty table gives an empty one; other columns pass unchanged.
     """
     kept = similar_groups(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = stored(kept, "ngram-kept")
     once = docs.join(kept.where("n = 1"), "doc_id", "left_semi").select(*docs.columns)
     again = kept.where("n > 1").select("doc_id")
     several = prune_by_ids(docs, again, "doc_id").join(again, "doc_id", "left_semi").select(*docs.columns)
-    return once.union(several.dropDuplicates(["doc_id", "text"]))
+    return once.union(several.dropDuplicates(["doc_id"])).union(docs.where("doc_id is null"))

@@ -193,12 +193,38 @@ def test_ngram_join(spark, n, num, den):
     assert got == by_force(TEXTS, n, num, den)
 
 
-def test_ngram_join_hot_passages_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HOT", 3)
+def test_ngram_join_large_lists_in_parts(spark, monkeypatch):
+    # small chunks, buckets and parts; most shingles travel beside the blocks
+    for name, value in (("DEAL_SHINGLES", 700), ("BUCKET_SHINGLES", 500), ("OWNERS_SENT", 1), ("PAIRS", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(docs_of(spark, TEXTS), 3, 3, 5, group=2).collect()}
     assert got == by_force(TEXTS, 3, 3, 5)
 
 
+def test_ngram_join_passage_that_unlike_texts_share(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) + " " + passage for _ in range(5000)]
+    src = docs_of(spark, texts).select("doc_id", "text")
+    assert {r["component_id"] for r in ngram_join.similar_groups(src, 3, 9, 10).collect()} == set(range(5000))
+    scan = src.mapInArrow(ngram_join._scan(3), ngram_join.SCAN).withColumn("row", F.col("doc_id"))
+    key = ["n_shingles", "s1", "s2"]
+    classes = scan.groupBy(*key).agg(F.min("doc_id").alias("id"))
+    posted = ngram_join._posted(scan.withColumnRenamed("doc_id", "id"), scan.select("doc_id", *key, "row"), classes, 9, 10)
+    assert posted.count() == 0  # what they share comes last in the order, so none of them is in a list
+
+
+def test_ngram_join_repeated_ids_with_other_texts(spark):
+    texts = TEXTS[8:30]
+    df = docs_of(spark, texts).union(docs_of(spark, texts[3:] + texts[:3]))
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(df, 3, 9, 10).collect())
+    force = by_force(texts + texts[3:] + texts[:3], 3, 9, 10)
+    least = {}
+    for i, (_, c) in force.items():
+        least[c] = min(least.get(c, i % len(texts)), i % len(texts))
+    assert got == collections.Counter((i % len(texts), n, least[c]) if n else (i % len(texts), 0, i % len(texts)) for i, (n, c) in force.items())
+
+
 def test_t_occurrence():
     rng = random.Random(1)
     for _ in range(200):
