@@ -30,12 +30,13 @@ TAILS = 63
 HIDDEN = 24
 STEPS = 8
 LANES = 512
-SCORE_LANES = 512
+SCORE_LANES = 1024
 LONGEST_WINDOW = 256
-SCORE_BYTES = 7 << 20
+TEXT_BYTES = 7 << 20
 HOT = 1 << 16
 FAN = 16
 RATE = 0.08
+BLOCK = 1024
 FIRST_ROUND = 8
 LARGE = 60.0
 END = "\n"  # never part of a word
@@ -44,13 +45,20 @@ CLASSES = VOCABULARY // CLASS_WORDS + TAILS + 1
 INPUTS = VOCABULARY + TAILS + 1
 
 
-def _exponents(logits: np.ndarray, bias: np.ndarray, rows: np.ndarray, aims: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The aims' logits, all exponentials (in place of the logits) and their sums; beyond LARGE a logit counts as LARGE."""
-    logits += bias
-    np.minimum(logits, LARGE, out=logits)
-    aim = logits[rows, aims]
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """h with a column of ones, so that a bias is one more row of weights."""
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
+
+
+def _exponents(logits: np.ndarray, aims: np.ndarray, far: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The aims' logits and the sums of all exponentials, which take the logits' place; beyond LARGE a logit counts as LARGE."""
+    if far:
+        np.minimum(logits, LARGE, out=logits)
+    aim = np.take(logits.ravel(), np.arange(len(logits)) * logits.shape[1] + aims)
     np.exp(logits, out=logits)
-    return aim, logits, logits @ np.ones(logits.shape[1], logits.dtype)
+    return aim, logits @ np.ones(logits.shape[1], logits.dtype)
 
 
 class Model:
@@ -84,72 +92,109 @@ class Model:
             at += size
         return Model(w)
 
-    def run(self, inputs: np.ndarray, state: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States before each step (steps, lanes, hidden) and after the last one, which is returned as the next start."""
-        h, n = state, HIDDEN
-        x = self.w["embed"][inputs] + self.w["gate_bias"]
-        states, tape = np.empty((*inputs.shape, n), np.float32), []
-        for t in range(len(inputs)):
-            a = h @ self.w["recur"]
-            zr = 0.5 + 0.5 * np.tanh(0.5 * (x[t, :, : 2 * n] + a[:, : 2 * n]))
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(x[t, :, 2 * n :] + r * a[:, 2 * n :])
-            new = c + z * (h - c)
-            if keep:
-                tape.append((h, z, r, c, a[:, 2 * n :]))
-            h = states[t] = new
-        return states, tape
+    def run(self, inputs: np.ndarray, state: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
+        """States after each step (steps, lanes, hidden), the last of which is the next start, and what backward() needs."""
+        n, (steps, lanes), kind = HIDDEN, inputs.shape, state.dtype
+        gates, inner = np.ascontiguousarray(self.w["recur"][:, : 2 * n]), np.ascontiguousarray(self.w["recur"][:, 2 * n :])
+        states = np.empty((steps + 1, lanes, n), kind)
+        states[0] = state
+        kept = steps if keep else 1
+        zr, cs, passed = np.empty((kept, lanes, 2 * n), kind), np.empty((kept, lanes, n), kind), np.empty((kept, lanes, n), kind)
+        for t in range(steps):
+            h, i = states[t], t if keep else 0
+            x = np.take(self.w["embed"], inputs[t], axis=0)
+            x += self.w["gate_bias"]
+            u = np.matmul(h, gates, out=zr[i])
+            u += x[:, : 2 * n]
+            u *= 0.5
+            np.tanh(u, out=u)
+            u *= 0.5
+            u += 0.5
+            a = np.matmul(h, inner, out=passed[i])
+            c = np.multiply(u[:, n:], a, out=cs[i])
+            c += x[:, 2 * n :]
+            np.tanh(c, out=c)
+            new = np.subtract(h, c, out=states[t + 1])
+            new *= u[:, :n]
+            new += c
+        return states[1:], (states, zr, cs, passed)
 
     def outputs(self, h: np.ndarray, kinds: np.ndarray, words: np.ndarray, learn: bool) -> tuple[np.ndarray, dict | None]:
         """Natural log-probabilities of the targets after states h; kinds: their classes, words: their own ids or -1."""
-        w = self.w
-        rows = np.arange(len(h))
-        aim, p, total = _exponents(h @ w["class_w"], w["class_b"], rows, kinds)
-        logp = (aim - np.log(total)).astype(np.float64)
-        grads = None
-        if learn:
-            p *= (1 / total)[:, None]
-            p[rows, kinds] -= 1
-            grads = {"class_w": h.T @ p, "class_b": np.ones(len(p), p.dtype) @ p, "h": p @ w["class_w"].T, "word_w": np.zeros_like(w["word_w"]), "word_b": np.zeros_like(w["word_b"])}
+        w, n = self.w, HIDDEN
+        class_w = np.concatenate((w["class_w"], w["class_b"][None]))
+        word_w = np.concatenate((w["word_w"], w["word_b"][:, None]), axis=1)
+        # states lie between -1 and 1, so the weights bound the logits
+        far = bool(np.abs(class_w).sum(axis=0).max() > LARGE or np.abs(word_w).sum(axis=1).max() > LARGE)
+        ones = _with_one(h)
+        logp = np.empty(len(h))
+        grads = {"class": np.zeros_like(class_w), "word": np.zeros_like(word_w), "h": np.empty_like(h)} if learn else None
+        block = np.empty((min(len(h), BLOCK), CLASSES), h.dtype)
+        for i in range(0, len(h), BLOCK):
+            g, aims = ones[i : i + BLOCK], kinds[i : i + BLOCK]
+            p = np.matmul(g, class_w, out=block[: len(g)])
+            aim, total = _exponents(p, aims, far)
+            logp[i : i + BLOCK] = aim - np.log(total)
+            if learn:  # the sums divide the narrow side of each product
+                p.ravel()[np.arange(len(g)) * CLASSES + aims] -= total
+                share = (1 / total)[:, None]
+                grads["class"] += (g * share).T @ p
+                np.multiply(p @ w["class_w"].T, share, out=grads["h"][i : i + BLOCK])
         own = np.flatnonzero(words >= 0)
-        own = own[np.argsort(kinds[own], kind="stable")]
+        own = own[np.argsort(kinds[own].astype(np.int16), kind="stable")]
         starts = np.searchsorted(kinds[own], np.arange(VOCABULARY // CLASS_WORDS + 1))
-        for c in np.flatnonzero(np.diff(starts)):
-            at = own[starts[c] : starts[c + 1]]
-            g = h[at]
-            inner, k = words[at] % CLASS_WORDS, np.arange(len(at))
-            aim, e, sums = _exponents(g @ w["word_w"][c], w["word_b"][c], k, inner)
-            logp[at] += aim - np.log(sums)
-            if learn:
-                e *= (1 / sums)[:, None]
-                e[k, inner] -= 1
-                grads["word_w"][c] = g.T @ e
-                grads["word_b"][c] = np.ones(len(e), e.dtype) @ e
-                grads["h"][at] += e @ w["word_w"][c].T
-        return logp, grads
-
-    def backward(self, inputs: np.ndarray, tape: list, into: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:
+        parts = [(c, slice(starts[c], starts[c + 1])) for c in np.flatnonzero(np.diff(starts)).tolist()]
+        g, e, inner = ones[own], np.empty((len(own), CLASS_WORDS), h.dtype), words[own] % CLASS_WORDS
+        for c, s in parts:
+            np.matmul(g[s], word_w[c], out=e[s])
+        aim, total = _exponents(e, inner, far)
+        logp[own] += aim - np.log(total)
+        if not learn:
+            return logp, None
+        e.ravel()[np.arange(len(own)) * CLASS_WORDS + inner] -= total
+        share = (1 / total)[:, None]
+        g *= share
+        back = np.empty((len(own), n), h.dtype)
+        for c, s in parts:
+            np.matmul(g[s].T, e[s], out=grads["word"][c])
+            np.matmul(e[s], w["word_w"][c].T, out=back[s])
+        back *= share
+        grads["h"][own] += back
+        return logp, {"class_w": grads["class"][:-1], "class_b": grads["class"][-1], "word_w": grads["word"][:, :-1], "word_b": grads["word"][:, -1], "h": grads["h"]}
+
+    def backward(self, inputs: np.ndarray, tape: tuple, into: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of a window: into holds those of the states; the start state is not followed further back."""
         n = HIDDEN
+        states, zr, cs, passed = tape
         recur = self.w["recur"].T.copy()
-        gx = np.empty((*inputs.shape, 3 * n), np.float32)
-        g_recur = np.zeros_like(self.w["recur"])
-        gh = np.zeros_like(tape[0][0])
+        # those of the gates' inputs; the last third once as the recurrent part has it and once as the input has it
+        ga, gc = np.empty((*inputs.shape, 3 * n), states.dtype), np.empty((*inputs.shape, n), states.dtype)
+        gh, work = np.zeros_like(states[0]), np.empty_like(states[0])
         for t in range(len(inputs) - 1, -1, -1):
-            h, z, r, c, a = tape[t]
-            gh = gh + into[t]
-            gc = gh * (1 - z) * (1 - c * c)
-            gz = gh * (h - c) * z * (1 - z)
-            gr = gc * a * r * (1 - r)
-            ga = np.concatenate((gz, gr, gc * r), axis=1)
-            gx[t, :, : 2 * n], gx[t, :, 2 * n :] = ga[:, : 2 * n], gc
-            g_recur += h.T @ ga
-            gh = gh * z + ga @ recur
-        gx *= live[:, :, None]
-        flat, ids = gx.reshape(-1, 3 * n), inputs.ravel()
-        order = np.argsort(ids, kind="stable")
-        cut = np.flatnonzero(np.concatenate(([True], np.diff(ids[order]) > 0)))
-        return {"recur": g_recur, "gate_bias": flat.sum(axis=0), "rows": ids[order][cut], "embed": np.add.reduceat(flat[order], cut)}
+            h, z, r, c = states[t], zr[t][:, :n], zr[t][:, n:], cs[t]
+            gh += into[t]
+            keep = np.multiply(gh, z)
+            g = np.multiply(c, c, out=gc[t])
+            np.subtract(1, g, out=g)
+            gh -= keep
+            g *= gh  # gh (1 - z) (1 - c c)
+            gz = np.subtract(h, c, out=work)
+            gz *= gh
+            np.multiply(gz, z, out=ga[t, :, :n])
+            gr = np.multiply(g, passed[t], out=work)
+            gr *= r
+            np.multiply(gr, np.subtract(1, r), out=ga[t, :, n : 2 * n])
+            np.multiply(g, r, out=ga[t, :, 2 * n :])
+            gh = np.matmul(ga[t], recur, out=gh)
+            gh += keep
+        g_recur = states[:-1].reshape(-1, n).T @ ga.reshape(-1, 3 * n)
+        ga[:, :, 2 * n :] = gc
+        flat, ids = ga.reshape(-1, 3 * n), np.where(live, inputs, INPUTS).ravel().astype(np.int16)
+        order = np.argsort(ids, kind="stable")[: int(live.sum())]
+        flat, ids = np.take(flat, order, axis=0), ids[order]
+        cut = np.flatnonzero(np.concatenate((ids[:1] == ids[:1], ids[1:] != ids[:-1])))
+        embed = np.add.reduceat(flat, cut)
+        return {"recur": g_recur, "gate_bias": embed.sum(axis=0), "rows": ids[cut].astype(np.int64), "embed": embed}
 
 
 class Learner:
@@ -283,7 +328,7 @@ def _walk(lengths: np.ndarray, lanes: int, steps: int, visit) -> None:
 def _train(lexicon, weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, learner, n = lexicon.value, Learner(Model.unpack(weights.value)), 0
-        for _, col in text_chunks(batches):
+        for _, col in text_chunks(batches, max_bytes=TEXT_BYTES):
             _, _, own, kind, _, inputs, lengths = _tokens(col, lex)
             n += len(own)
             _walk(lengths, LANES, STEPS, lambda at, live, state: learner.step(inputs[at], kind[at], own[at], live, state))
@@ -314,7 +359,7 @@ def averaged(replicas: DataFrame, fallback: bytes) -> bytes:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, col in text_chunks(batches):
+    for _, col in text_chunks(batches, max_bytes=TEXT_BYTES):
         flat, offsets = split_words(col, lower=True)
         coded = flat.dictionary_encode()
         n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
@@ -342,7 +387,7 @@ def _score(lexicon, weights):
         lex, model = lexicon.value, Model.unpack(weights.value)
         unit = np.log10(lex.n + lex.v + 1)
         tails = np.log10(lex.tail_total)
-        for batch, col in text_chunks(batches, max_bytes=SCORE_BYTES):
+        for batch, col in text_chunks(batches, max_bytes=TEXT_BYTES):
             flat, offsets, own, kind, count, inputs, lengths = _tokens(col, lex)
             logp = np.zeros(len(own))
 
