@@ -130,22 +130,16 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), pa.int32()), pa.array(values, kind))
 
 
-def id_slot(key: str, bits: int, seed: int = 0) -> Column:
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(bits))
-
-
 def bitmap_size(n: int) -> int:
     """Bits for n ids: a power of two, 8 for each or more, as long as that is no more than MOST_BITS (16 MB)."""
     return min(MOST_BITS, max(1 << 18, 1 << int(8 * n).bit_length()))
 
 
-def id_bitmap(ids: DataFrame, key: str, bits: int, seed: int = 0) -> np.ndarray:
-    """The slots of ids as a bitmap of that many bits; what comes to the driver has at most its size."""
+def slot_bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of slots (numbers below bits, in a column slot); what comes to the driver has at most its size."""
     per = 32768
-    slot = id_slot(key, bits, seed)
     rows = (
-        ids.select(slot.alias("slot"))
-        .groupBy(F.floor(F.col("slot") / per).cast("int").alias("bucket"))
+        slots.groupBy(F.floor(F.col("slot") / per).cast("int").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.pmod(F.col("slot"), F.lit(per))).alias("bits"))
         .collect()
     )
@@ -167,7 +161,8 @@ def prune_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     more ids than a bitmap tells apart more of them stay, all in the end.
     """
     bits = bitmap_size(ids.count())
-    shared = df.sparkSession.sparkContext.broadcast(id_bitmap(ids, key, bits))
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    shared = df.sparkSession.sparkContext.broadcast(slot_bitmap(ids.select(slot.alias("slot")), bits))
     schema = df.schema
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +170,7 @@ def prune_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
             hit = in_bitmap(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(hit))
 
-    return df.where(F.col(key).isNotNull()).withColumn("__slot", id_slot(key, bits)).mapInArrow(kept, schema)
+    return df.where(F.col(key).isNotNull()).withColumn("__slot", slot).mapInArrow(kept, schema)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

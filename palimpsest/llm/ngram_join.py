@@ -24,21 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_size, components, drop_stored, id_bitmap, id_slot, in_bitmap, list_array, mix64, prune_by_ids, sorted_unique, split_words, stored, table, text_chunks, window_starts, word_hashes
+from .common import bitmap_size, components, drop_stored, in_bitmap, list_array, mix64, prune_by_ids, slot_bitmap, sorted_unique, split_words, stored, table, text_chunks, window_starts, word_hashes
 
 GROUP = 64
 PAIRS = 4096
 RESERVE = 20
-SCAN = "doc_id long, n_shingles long, s1 long, s2 long, items binary, bits binary"
+KEY = ["n_shingles", "s1", "s2"]  # names a set
+SCAN = "doc_id long, n_shingles long, s1 long, s2 long"
+SETS = f"{SCAN}, items binary, bits binary"
 DEAL_SHINGLES = 400_000
 BUCKET_SHINGLES = 1_000_000
 OWNERS_SENT = 16
-BLOCK = "chunk long, bucket int, hashes binary, held binary, sent binary, owners binary, ids binary, sizes binary, often binary, often_held binary, often_owners binary"
-COUNTED = "chunk long, hashes binary, ranks binary, sent binary, owners binary, ids binary, sizes binary, often binary, often_held binary, often_owners binary"
-POSTED = "id long, n_shingles long, n_keys int, posted array<long>"
+HEAD = "doc_ids binary, sizes binary, ones binary, twos binary, often binary, often_held binary, often_owners binary"
+BLOCK = f"chunk long, bucket int, hashes binary, held binary, sent binary, owners binary, {HEAD}"
+COUNTED = f"chunk long, hashes binary, ranks binary, sent binary, owners binary, {HEAD}"
+POSTED = f"{SCAN}, n_keys int, posted array<long>"
+names = lambda schema: [x.split()[0] for x in schema.split(", ")]
 
 
 def _shingles(col: pa.Array, n: int, lower: bool = True) -> Iterator[np.ndarray]:
@@ -91,61 +96,84 @@ def _may_link(a: np.ndarray, b: np.ndarray, n: int, m: int, num: int, den: int)
     return den * most >= num * (n + m - most)
 
 
+def _named(hashes: np.ndarray) -> tuple[int, int, int]:
+    """What names a set: its size and two sums over its hashes."""
+    mixed = mix64(hashes)
+    return len(hashes), int(np.sum(mixed, dtype=np.uint64).view(np.int64)), int(np.sum(mix64(mixed ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64).view(np.int64))
+
+
 def _scan(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, col in text_chunks(batches):
-            size, one, two, items, bits = [], [], [], [], []
-            for hashes in _shingles(col, n):
-                size.append(len(hashes))
-                mixed = mix64(hashes)
-                one.append(np.sum(mixed, dtype=np.uint64))
-                two.append(np.sum(mix64(mixed ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64))
-                items.append(hashes.tobytes())
-                bits.append(bitmap(hashes))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(size, pa.int64()),
-                    pa.array(np.array(one, np.uint64).view(np.int64)),
-                    pa.array(np.array(two, np.uint64).view(np.int64)),
-                    pa.array(items, pa.binary()),
-                    pa.array(bits, pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "s1", "s2", "items", "bits"],
-            )
+            known = np.array([_named(x) for x in _shingles(col, n)], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(known[:, i]) for i in range(3))], names=names(SCAN))
+
+    return run
+
+
+def _sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, col in text_chunks(batches):
+            sets = list(_shingles(col, n))
+            known = np.array([_named(x) for x in sets], np.int64).reshape(-1, 3)
+            columns = [*(pa.array(known[:, i]) for i in range(3)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([bitmap(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names(SETS))
 
     return run
 
 
-def _numbers(col: pa.Array | pa.ChunkedArray, kind) -> np.ndarray:
+def _numbers(col: pa.ChunkedArray, kind) -> np.ndarray:
     """All numbers of a column of packed numbers, row after row."""
     return np.frombuffer(b"".join(x for x in col.to_pylist() if x), kind)
 
 
-def _deal(buckets: int, out, back):
-    """Rows id, n_shingles, items, slot, again -> blocks (without rows in the bitmap `out` but not in `back`): the distinct shingles of a chunk of sets, dealt to buckets by ranges of hashes.
+def _six(values: np.ndarray) -> np.ndarray:
+    """Numbers below 2**48 as rows of six bytes."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
 
-    A block holds the shingles in order, in how many of the chunk's sets each is, and in which (by ordinal). Where
-    those are over OWNERS_SENT they stay out of the block, which so has a bounded size for each chunk, and travel
-    with one block of the chunk to where its sets are put together again, as do the sets' ids and sizes.
+
+def _from_six(col: pa.ChunkedArray) -> np.ndarray:
+    packed = _numbers(col, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(packed), 8), np.uint8)
+    out[:, :6] = packed
+    return out.view("<u8").ravel()
+
+
+def _deal(n: int, buckets: int, out, back):
+    """Rows doc_id, text -> blocks: the distinct shingles of a chunk of sets, dealt to buckets by ranges of hashes.
+
+    Sets whose slot is in the bitmap `out`, but not in `back`, stay out. A block holds the first 48 bits of the
+    shingles' hashes in order (equal ones of unlike shingles would only add to a count), in how many of the chunk's
+    sets each is, and in which (by ordinal). Where those are over OWNERS_SENT they stay out of the block, which so has
+    a bounded size for each chunk, and travel with one block of the chunk to where its sets are put together again,
+    as do the names of the sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(~in_bitmap(out.value, batch.column(3).to_numpy()) | in_bitmap(back.value, batch.column(4).to_numpy())))
-            n = batch.column(1).to_numpy().astype(np.int64)
-            part = (np.cumsum(n) - n) // DEAL_SHINGLES
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]
-            for a, b in zip(cuts, cuts[1:]):
-                if b > a:
-                    yield _blocks(batch.slice(a, b - a), n[a:b], buckets)
+        first, made = TaskContext.get().partitionId() << 32, 0
+        for batch, col in text_chunks(batches):
+            sets = list(_shingles(col, n))
+            known = np.array([_named(x) for x in sets], np.int64).reshape(-1, 3)
+            ids = batch.column(0).to_numpy()
+            stays = (known[:, 0] > 0) & (~in_bitmap(out.value, _slots(ids, known[:, 1], len(out.value) * 8)) | in_bitmap(back.value, _slots(ids, known[:, 2], len(back.value) * 8)))
+            rows = np.flatnonzero(stays)
+            size = known[rows, 0]
+            part = (np.cumsum(size) - size) // DEAL_SHINGLES
+            for at in np.split(rows, np.flatnonzero(np.diff(part)) + 1):
+                if len(at):
+                    yield _blocks(first + made, [sets[i] for i in at.tolist()], ids[at], known[at], buckets)
+                    made += 1
 
     return run
 
 
-def _blocks(rows: pa.RecordBatch, n: np.ndarray, buckets: int) -> pa.RecordBatch:
-    values = _numbers(rows.column(2), np.uint64)
-    owner = np.repeat(np.arange(len(n), dtype=np.uint16), n)
+def _slots(ids: np.ndarray, sums: np.ndarray, bits: int) -> np.ndarray:
+    return (ids ^ sums) & (bits - 1)
+
+
+def _blocks(chunk: int, sets: list[np.ndarray], ids: np.ndarray, known: np.ndarray, buckets: int) -> pa.RecordBatch:
+    values = np.concatenate(sets) >> np.uint64(16)
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint16), known[:, 0])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
@@ -154,62 +182,56 @@ def _blocks(rows: pa.RecordBatch, n: np.ndarray, buckets: int) -> pa.RecordBatch
     here = held > OWNERS_SENT
     often = np.repeat(here, held)
     sent = np.where(here, 0, held)
-    bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bucket = ((distinct >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-    some = owner[~often]
+    some, six = owner[~often], _six(distinct)
     upto = np.concatenate(([0], np.cumsum(sent)))
-    packed = {"hashes": [], "held": [], "sent": [], "owners": []}
+    packed = [[], [], [], []]
     for a, b in zip(cuts, cuts[1:]):
-        packed["hashes"].append(distinct[a:b].tobytes())
-        packed["held"].append(held[a:b].astype(np.uint32).tobytes())
-        packed["sent"].append(sent[a:b].astype(np.uint8).tobytes())
-        packed["owners"].append(some[upto[a] : upto[b]].tobytes())
-    rest = [None] * (len(cuts) - 2)
-    ids = rows.column(0).to_numpy()
-    head = [ids.tobytes(), n.astype(np.uint32).tobytes(), distinct[here].tobytes(), held[here].astype(np.uint32).tobytes(), owner[often].tobytes()]
+        for into, x in zip(packed, (six[a:b], held[a:b].astype(np.uint32), sent[a:b].astype(np.uint8), some[upto[a] : upto[b]])):
+            into.append(x.tobytes())
+    head = [ids, known[:, 0], known[:, 1], known[:, 2], six[here], held[here].astype(np.uint32), owner[often]]
     count = len(cuts) - 1
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(count, ids[0])), pa.array(bucket[cuts[:-1]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in packed.values()), *(pa.array([x, *rest], pa.binary()) for x in head)],
-        names=[x.split()[0] for x in BLOCK.split(", ")],
+        [pa.array(np.full(count, chunk)), pa.array(bucket[cuts[:-1]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in packed), *(pa.array([x.tobytes(), *[None] * (count - 1)], pa.binary()) for x in head)],
+        names=names(BLOCK),
     )
 
 
 def _count(group: pa.Table) -> pa.Table:
     """A bucket's blocks with the rank of each shingle's count over all sets; shingles of a single set are left out."""
-    hashes, held = _numbers(group["hashes"], np.uint64), _numbers(group["held"], np.uint32)
+    hashes, held = _from_six(group["hashes"]), _numbers(group["held"], np.uint32)
     sent, owners = _numbers(group["sent"], np.uint8), _numbers(group["owners"], np.uint16)
-    distinct, which = np.unique(hashes, return_inverse=True)
+    _, which = np.unique(hashes, return_inverse=True)
     count = np.bincount(which, weights=held)
     ranks = np.minimum(np.floor(4 * np.log2(count)), 255).astype(np.uint8)[which]
     keep = count[which] > 1
     keep_owner = np.repeat(keep, sent)
-    size = np.array([len(x) // 8 for x in group["hashes"].to_pylist()])
-    edges = np.concatenate(([0], np.cumsum(size)))
+    edges = np.concatenate(([0], np.cumsum([len(x) // 6 for x in group["hashes"].to_pylist()])))
     upto = np.concatenate(([0], np.cumsum(sent, dtype=np.int64)))
+    six = _six(hashes)
     out = {"hashes": [], "ranks": [], "sent": [], "owners": []}
     for a, b in zip(edges, edges[1:]):
         k = keep[a:b]
-        out["hashes"].append(hashes[a:b][k].tobytes())
+        out["hashes"].append(six[a:b][k].tobytes())
         out["ranks"].append(ranks[a:b][k].tobytes())
         out["sent"].append(sent[a:b][k].tobytes())
         out["owners"].append(owners[upto[a] : upto[b]][keep_owner[upto[a] : upto[b]]].tobytes())
-    head = [x.split()[0] for x in COUNTED.split(", ")[5:]]
-    return pa.table({"chunk": group["chunk"]} | {k: pa.array(x, pa.binary()) for k, x in out.items()} | {k: group[k] for k in head})
+    return pa.table({"chunk": group["chunk"]} | {k: pa.array(x, pa.binary()) for k, x in out.items()} | {k: group[k] for k in names(HEAD)})
 
 
 def _post(num: int, den: int):
     """The blocks of a chunk -> of each of its sets the first shingles in the order of all: by count, then by hash."""
 
     def run(group: pa.Table) -> pa.Table:
-        ids, n = _numbers(group["ids"], np.int64), _numbers(group["sizes"], np.uint32).astype(np.int64)
-        hashes, ranks = _numbers(group["hashes"], np.uint64), _numbers(group["ranks"], np.uint8)
+        ids, n, one, two = (_numbers(group[c], np.int64) for c in ("doc_ids", "sizes", "ones", "twos"))
+        hashes, ranks = _from_six(group["hashes"]), _numbers(group["ranks"], np.uint8)
         sent, owners = _numbers(group["sent"], np.uint8), _numbers(group["owners"], np.uint16)
-        often, often_held, often_owners = (_numbers(group[c], k) for c, k in (("often", np.uint64), ("often_held", np.uint32), ("often_owners", np.uint16)))
+        often, often_held, often_owners = _from_six(group["often"]), _numbers(group["often_held"], np.uint32), _numbers(group["often_owners"], np.uint16)
         late = np.flatnonzero(sent == 0)
-        late = late[np.argsort(hashes[late])]
-        rank_of = ranks[late]  # in the order of `often`, which are these shingles
+        late = late[np.argsort(hashes[late])]  # in the order of `often`, which are these shingles
         h = np.concatenate((np.repeat(hashes, sent), np.repeat(often, often_held)))
-        r = np.concatenate((np.repeat(ranks, sent), np.repeat(rank_of, often_held)))
+        r = np.concatenate((np.repeat(ranks, sent), np.repeat(ranks[late], often_held)))
         o = np.concatenate((owners, often_owners)).astype(np.int64)
         order = np.lexsort((h, r, o))
         h, o = h[order], o[order]
@@ -223,7 +245,7 @@ def _post(num: int, den: int):
         row = np.flatnonzero(n_keys > 0)
         good = n_keys[o] > 0
         lists = list_array(h[good].view(np.int64), np.concatenate(([0], np.cumsum(np.bincount(o[good], minlength=len(n))[row]))), pa.int64())
-        return pa.table({"id": ids[row], "n_shingles": n[row], "n_keys": n_keys[row].astype(np.int32), "posted": lists})
+        return pa.table(dict(zip(names(POSTED), [ids[row], n[row], one[row], two[row], n_keys[row].astype(np.int32), lists])))
 
     return run
 
@@ -375,52 +397,52 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, grou
     each given; an empty table gives an empty result.
     """
     src = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
-    # a written row's number stays; it names the row, as doc_ids may repeat
-    scan = stored(src.mapInArrow(_scan(n), SCAN).withColumn("row", F.monotonically_increasing_id()), "ngram-scan")
-    key = ["n_shingles", "s1", "s2"]
-    first = F.min(F.struct("doc_id", "row"))
-    classes = stored(scan.where("n_shingles > 0").groupBy(*key).agg(first.alias("f")).select(*key, F.col("f.doc_id").alias("doc_id"), F.col("f.row").alias("id")), "ngram-classes")
-    named = stored(scan.select("doc_id", *key, "row"), "ngram-named")
-    written, scan = scan, scan.select(F.col("row").alias("id"), "n_shingles", "items", "bits")
-    posted = _posted(scan, named, classes, num, den)
-    bits = prune_by_ids(scan.select("id", "bits"), posted.select("id"), "id")
-    reps = stored(posted.join(bits, "id"), "ngram-reps")
-    lists = _lists(reps, num, den)
-    links = _leader_links(scan, reps, lists, num, den, group)
+    scan = stored(src.mapInArrow(_scan(n), SCAN), "ngram-scan")
+    classes = scan.where("n_shingles > 0").groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"))
+    # a class has a number of its own, as the smallest doc_id may name several; a written row's number stays
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "ngram-classes")
+    posted = _posted(src, scan, classes, n, num, den)
+    lists = _lists(posted, num, den)
+    met = classes.join(lists.select("id").distinct(), "id", "left_semi")
+    sets = prune_by_ids(src, met.select("doc_id"), "doc_id").mapInArrow(_sets(n), SETS).join(met, ["doc_id", *KEY]).dropDuplicates(["id"])
+    sets = stored(sets.select("id", "items", "bits"), "ngram-sets")
+    reps = stored(posted.join(sets.select("id", "bits"), "id"), "ngram-reps")
+    links = _leader_links(sets, reps, lists, num, den, group)
     comp = stored(components(links), "ngram-components")
-    found = _searched_links(scan, reps, lists, comp, num, den, group)
-    comp = stored(components(links.union(found)), "ngram-components")
-    met = stored(classes.select(*key, "doc_id", "id").join(comp, "id"), "ngram-met")
-    least = met.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = stored(classes.join(met.join(least, "component").select("id", "component_id"), "id", "left").select(*key, F.coalesce("component_id", "doc_id").alias("component_id")), "ngram-named")
-    drop_stored(written, posted, reps, lists, links, found, comp, met, classes)
-    return named.join(of_class, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = _searched_links(sets, reps, lists, comp, num, den, group)
+    drop_stored(comp, sets, reps, lists, posted)
+    comp = stored(classes.join(components(links.union(found)), "id"), "ngram-components")
+    least = comp.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = classes.join(comp.join(least, "component").select("id", "component_id"), "id", "left")
+    of_class = stored(of_class.select(*KEY, F.coalesce("component_id", "doc_id").alias("component_id")), "ngram-named")
+    drop_stored(links, found, comp, classes)
+    return scan.join(of_class, KEY, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _posted(scan: DataFrame, named: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+def _posted(src: DataFrame, scan: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(id, n_shingles, n_keys, posted): the first shingles of each class that shares one of its keys with another."""
-    total, ids = classes.agg(F.sum("n_shingles"), F.count("*")).first()
+    total, count = classes.agg(F.sum("n_shingles"), F.count("*")).first()
     buckets = max(1, -(-int(total or 0) // BUCKET_SHINGLES))
     # Rows beside the classes' own ones are to stay out, or copies would count: a row stays if it is not in a bitmap of
     # these, or is in a second one of the classes' own rows that the first one takes for others. Where bitmaps are too
     # small for the data, more copies come along, which changes the order and the work, not the result.
-    own = classes.select("id")
-    others = named.where("n_shingles > 0").select(F.col("row").alias("id")).join(own, "id", "left_anti")
-    bits = bitmap_size(ids)
-    context = scan.sparkSession.sparkContext
-    first = context.broadcast(id_bitmap(others, "id", bits))
-    unsure = own.withColumn("slot", id_slot("id", bits)).mapInArrow(_hit(first), "id long")
-    second = context.broadcast(id_bitmap(unsure, "id", bits, 1))
-    sets = scan.where("n_shingles > 0").select("id", "n_shingles", "items", id_slot("id", bits).alias("slot"), id_slot("id", bits, 1).alias("again"))
-    blocks = sets.mapInArrow(_deal(buckets, first, second), BLOCK)
+    bits = bitmap_size(count)
+    slot = lambda s: F.col("doc_id").bitwiseXOR(F.col(s)).bitwiseAND(F.lit(bits - 1)).alias("slot")
+    others = scan.where("n_shingles > 0").join(classes, ["doc_id", *KEY], "left_anti")
+    context = src.sparkSession.sparkContext
+    first = context.broadcast(slot_bitmap(others.select(slot("s1")), bits))
+    unsure = classes.select(slot("s2"), slot("s1").alias("look")).mapInArrow(_hit(first), "slot long")
+    second = context.broadcast(slot_bitmap(unsure, bits))
+    blocks = src.mapInArrow(_deal(n, buckets, first, second), BLOCK)
     counted = stored(blocks.groupBy("bucket").applyInArrow(_count, COUNTED), "ngram-counted")
-    out = stored(counted.groupBy("chunk").applyInArrow(_post(num, den), POSTED), "ngram-posted")
+    posted = counted.groupBy("chunk").applyInArrow(_post(num, den), POSTED)
+    out = stored(posted.join(classes, ["doc_id", *KEY]).select("id", "n_shingles", "n_keys", "posted").dropDuplicates(["id"]), "ngram-posted")
     drop_stored(counted)
     return out
 
 
 def _hit(bits):
-    """Rows id, slot -> the ids whose slot is in the bitmap."""
+    """Rows slot, look -> the slots of the rows whose look is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,9 +451,9 @@ def _hit(bits):
     return run
 
 
-def _lists(reps: DataFrame, num: int, den: int) -> DataFrame:
+def _lists(posted: DataFrame, num: int, den: int) -> DataFrame:
     """(shingle, band, id, n_shingles, n, leader, m): the inverted lists of keys with two sets or more of near sizes."""
-    posts = reps.select("id", "n_shingles", F.explode(F.slice("posted", F.lit(1), F.col("n_keys"))).alias("shingle"))
+    posts = posted.select("id", "n_shingles", F.explode(F.slice("posted", F.lit(1), F.col("n_keys"))).alias("shingle"))
     # sizes of linked sets differ by a factor of den / num at most: they lie in one band or in neighbouring ones
     band = F.floor(F.log(F.col("n_shingles")) / math.log(den / num) - 1e-9).cast("int")
     posts = stored(posts.select("shingle", "id", "n_shingles", F.explode(F.array(band, band + 1)).alias("band")), "ngram-posts")
@@ -450,27 +472,25 @@ def _with_set(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFra
     return pairs.join(parts.where("parts > 1"), end, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts").join(copies, [end, "part"]).drop("part")
 
 
-def _verified(scan: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Of the pairs (a, b) those that link, by their whole sets."""
-    needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ngram-needed")
-    sets = stored(prune_by_ids(scan.select("id", "items"), needed, "id").join(needed, "id", "left_semi"), "ngram-sets")
     both = _with_set(_with_set(pairs, sets, "b", "theirs"), sets, "a", "mine").select("a", "b", "mine", "theirs")
     out = stored(both.mapInArrow(_linked(num, den), "a long, b long"), "ngram-links")
-    drop_stored(needed, sets, pairs)
+    drop_stored(pairs)
     return out
 
 
-def _leader_links(scan: DataFrame, reps: DataFrame, lists: DataFrame, num: int, den: int, group: int) -> DataFrame:
+def _leader_links(sets: DataFrame, reps: DataFrame, lists: DataFrame, num: int, den: int, group: int) -> DataFrame:
     """Links (a, b) between posters of large lists and the leader of near size that most of their lists have."""
     near = lists.where(f"n > {group} and id <> leader and {num} * greatest(m, n_shingles) <= {den} * least(m, n_shingles)").groupBy("id", "leader").agg(F.count("*").alias("votes"))
     chosen = near.groupBy("id").agg(F.max(F.struct("votes", (-F.col("leader")).alias("l"))).alias("v")).select(F.col("id").alias("a"), (-F.col("v.l")).alias("b"))
     look = chosen.join(reps.select(F.col("id").alias("a"), "n_shingles", F.col("bits").alias("bits_a")), "a")
     look = look.join(reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("bits").alias("bits_b")), "b")
     pairs = stored(look.select("a", "b", "n_shingles", "m", "bits_a", "bits_b").mapInArrow(_near(num, den), "a long, b long"), "ngram-pairs")
-    return _verified(scan, pairs, num, den)
+    return _verified(sets, pairs, num, den)
 
 
-def _searched_links(scan: DataFrame, reps: DataFrame, lists: DataFrame, comp: DataFrame, num: int, den: int, group: int) -> DataFrame:
+def _searched_links(sets: DataFrame, reps: DataFrame, lists: DataFrame, comp: DataFrame, num: int, den: int, group: int) -> DataFrame:
     """Links among posters of a list that are not connected yet, by T-occurrence search."""
     rows = lists.join(comp, "id", "left").select("shingle", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
     who = [F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("who2")]
@@ -485,7 +505,7 @@ def _searched_links(scan: DataFrame, reps: DataFrame, lists: DataFrame, comp: Da
     key = ["shingle", "band", "part"]
     pairs = live.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(num, den), "a long, b long")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-pairs")
-    return _verified(scan, pairs, num, den)
+    return _verified(sets, pairs, num, den)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,10 +207,9 @@ def test_ngram_join_passage_that_unlike_texts_share(spark):
     texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) + " " + passage for _ in range(5000)]
     src = docs_of(spark, texts).select("doc_id", "text")
     assert {r["component_id"] for r in ngram_join.similar_groups(src, 3, 9, 10).collect()} == set(range(5000))
-    scan = src.mapInArrow(ngram_join._scan(3), ngram_join.SCAN).withColumn("row", F.col("doc_id"))
-    key = ["n_shingles", "s1", "s2"]
-    classes = scan.groupBy(*key).agg(F.min("doc_id").alias("id"))
-    posted = ngram_join._posted(scan.withColumnRenamed("doc_id", "id"), scan.select("doc_id", *key, "row"), classes, 9, 10)
+    scan = src.mapInArrow(ngram_join._scan(3), ngram_join.SCAN)
+    classes = scan.groupBy(*ngram_join.KEY).agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.col("doc_id"))
+    posted = ngram_join._posted(src, scan, classes, 3, 9, 10)
     assert posted.count() == 0  # what they share comes last in the order, so none of them is in a list
 
 
