@@ -36,7 +36,7 @@ TEXT_BYTES = 7 << 20
 HOT = 1 << 16
 FAN = 16
 RATE = 0.08
-BLOCK = 1024
+BLOCK = 256
 FIRST_ROUND = 8
 LARGE = 60.0
 END = "\n"  # never part of a word
@@ -100,9 +100,10 @@ class Model:
         states[0] = state
         kept = steps if keep else 1
         zr, cs, passed = np.empty((kept, lanes, 2 * n), kind), np.empty((kept, lanes, n), kind), np.empty((kept, lanes, n), kind)
+        x = np.empty((lanes, 3 * n), kind)
         for t in range(steps):
             h, i = states[t], t if keep else 0
-            x = np.take(self.w["embed"], inputs[t], axis=0)
+            x = np.take(self.w["embed"], inputs[t], axis=0, out=x, mode="clip")
             x += self.w["gate_bias"]
             u = np.matmul(h, gates, out=zr[i])
             u += x[:, : 2 * n]
@@ -143,23 +144,30 @@ class Model:
         own = np.flatnonzero(words >= 0)
         own = own[np.argsort(kinds[own].astype(np.int16), kind="stable")]
         starts = np.searchsorted(kinds[own], np.arange(VOCABULARY // CLASS_WORDS + 1))
-        parts = [(c, slice(starts[c], starts[c + 1])) for c in np.flatnonzero(np.diff(starts)).tolist()]
-        g, e, inner = ones[own], np.empty((len(own), CLASS_WORDS), h.dtype), words[own] % CLASS_WORDS
-        for c, s in parts:
-            np.matmul(g[s], word_w[c], out=e[s])
-        aim, total = _exponents(e, inner, far)
-        logp[own] += aim - np.log(total)
+        present, first = np.flatnonzero(np.diff(starts)), 0
+        while first < len(present):  # some classes at a time, of about BLOCK words or one
+            last = max(first + 1, int(np.searchsorted(starts[present + 1], starts[present[first]] + BLOCK, side="right")))
+            base, end = starts[present[first]], starts[present[last - 1] + 1]
+            parts = [(c, slice(starts[c] - base, starts[c + 1] - base)) for c in present[first:last].tolist()]
+            rows = own[base:end]
+            g, e, inner = ones[rows], np.empty((len(rows), CLASS_WORDS), h.dtype), words[rows] % CLASS_WORDS
+            for c, s in parts:
+                np.matmul(g[s], word_w[c], out=e[s])
+            aim, total = _exponents(e, inner, far)
+            logp[rows] += aim - np.log(total)
+            if learn:
+                e.ravel()[np.arange(len(rows)) * CLASS_WORDS + inner] -= total
+                share = (1 / total)[:, None]
+                g *= share
+                back = np.empty((len(rows), n), h.dtype)
+                for c, s in parts:
+                    np.matmul(g[s].T, e[s], out=grads["word"][c])
+                    np.matmul(e[s], w["word_w"][c].T, out=back[s])
+                back *= share
+                grads["h"][rows] += back
+            first = last
         if not learn:
             return logp, None
-        e.ravel()[np.arange(len(own)) * CLASS_WORDS + inner] -= total
-        share = (1 / total)[:, None]
-        g *= share
-        back = np.empty((len(own), n), h.dtype)
-        for c, s in parts:
-            np.matmul(g[s].T, e[s], out=grads["word"][c])
-            np.matmul(e[s], w["word_w"][c].T, out=back[s])
-        back *= share
-        grads["h"][own] += back
         return logp, {"class_w": grads["class"][:-1], "class_b": grads["class"][-1], "word_w": grads["word"][:, :-1], "word_b": grads["word"][:, -1], "h": grads["h"]}
 
     def backward(self, inputs: np.ndarray, tape: tuple, into: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:

@@ -472,6 +472,50 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert hits / total >= 0.9
 
 
+def test_nearest_compares_a_falling_share():
+    rng = np.random.default_rng(3)
+    shares, recalls = [], []
+    for n in (2000, 20_000):
+        x = rng.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        depth, asked = nearest.depth_for(n), np.arange(40)
+        s = x[asked] @ x.T
+        s[asked, asked] = -2
+        want = np.argsort(-s, axis=1)[:, :5]
+        seen = np.zeros((40, n), bool)
+        for t in range(nearest.TABLES * depth):
+            have, probes = nearest.joined_axes(x, t, depth, 1)[:, 0], nearest.joined_axes(x[asked], t, depth, nearest.PROBES**depth)
+            for i in range(40):
+                seen[i] |= np.isin(have, probes[i])
+        shares.append(seen.mean())
+        recalls.append(np.mean([seen[i, want[i]].mean() for i in range(40)]))
+    assert min(recalls) >= 0.9 and shares[0] < 0.55 and shares[1] < 0.15
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_nearest_finds_what_its_probes_hold(spark, depth, monkeypatch):
+    monkeypatch.setattr(nearest, "CHUNK", 16)  # axes in several chunks of vectors and of queries
+    rng = np.random.default_rng(depth)
+    x = rng.standard_normal((300, 16)).astype(np.float32).round(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in nearest.search(df.union(df), F.col("vec_id") % 3 == 0, 3, depth).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
+    x = x.astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 300, 3):
+        seen = np.zeros(300, bool)
+        for t in range(nearest.TABLES * depth):
+            seen |= np.isin(nearest.joined_axes(unit, t, depth, 1)[:, 0], nearest.joined_axes(unit[q : q + 1], t, depth, nearest.PROBES**depth)[0])
+        seen[q] = False
+        at = np.flatnonzero(seen)
+        if len(at) > 3:
+            s = unit[at] @ unit[q]
+            best = np.lexsort((at, -s.round(12)))[:3]
+            assert got[q] == [(int(at[i]), round(float(s[i]), 9)) for i in best]
+        assert len(got[q]) == 3
+
+
 def test_nearest_exact_where_few(spark):
     nan = float("nan")
     vectors = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [None, 1.0]), (50, [1.0, 1.0]), (100, [1.0, 0.0, 0.0]), (8, [])]
