@@ -10,6 +10,7 @@ bands of diagonals; bands reaching T are verified by an alignment of width 2 k +
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_chunks
+from .common import stored, table, text_chunks
 from .quality import _bytes_of
 
 Q = 8
@@ -193,20 +194,26 @@ def find_leaks(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES
     docs needs doc_id and text, items item_id and text; other columns are ignored, as are rows without an id. Null,
     empty and blank texts hold nothing; items of fewer than Q bytes are no evidence and match nothing. Of an item's
     occurrences in a document the one with fewest edits is given, of equal ones the first. Repeated rows are each
-    searched. Items go to the tasks in blocks of at most block_bytes; more blocks mean more passes over docs.
+    searched. Items go to the tasks in blocks of about block_bytes (dealt by a hash of their ids); every block is
+    a pass over docs, and only one block at a time is on the driver.
     """
     spark = docs.sparkSession
     src = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     known = items.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text"))
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
-    out = None
+    if blocks == 1:
+        return _found(src, known, spark)
+    # one block after the other is on the driver and in the tasks; what it finds is written before the next one comes
+    found = []
     for b in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else known
-        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in part.collect()]))
-        found = src.mapInArrow(_scan(shared), SCHEMA)
-        out = found if out is None else out.union(found)
-    return out
+        found.append(stored(_found(src, known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b), spark), "leaks-block"))
+    return reduce(DataFrame.union, found)
+
+
+def _found(src: DataFrame, items: DataFrame, spark: SparkSession) -> DataFrame:
+    shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in items.collect()]))
+    return src.mapInArrow(_scan(shared), SCHEMA)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,6 +221,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark.
+
+    Null, empty and blank texts hold nothing and stay, as do rows without a doc_id, whose text is not searched; rows
+    that repeat a doc_id go if one of them holds an item. Empty tables on either side drop nothing; other columns pass.
+    """
     found = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

@@ -21,39 +21,69 @@ from pyspark.sql import functions as F
 from .common import table, text_chunks
 
 # What HTML elements mean for blocks.
-SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "option", "datalist", "map"}
+SILENT = {"script", "style", "noscript", "template", "head", "title", "iframe", "canvas", "audio", "video", "select", "textarea", "option", "datalist", "map"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section",
     "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PARAGRAPH_ENDS = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
 AWAY = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "search", "fieldset", "label"}
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form", "alertdialog"}
-AWAY_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|adsense|adbox|adslot|sponsor(?:ed)?|promo(?:tion|ted)?|banner|nav(?:bar|igation)?|menu|sidebar|side|rail|footer|masthead|topbar|"
-    r"breadcrumbs?|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|comments?|commentlist|disqus|replies|reply|respond|discussion|social|share|sharing|"
-    r"related|recommend(?:ed|ations)?|newsletter|subscribe|subscription|signup|login|pagination|pager|widget|toolbar|copyright|skip|outbrain|taboola|tags?|meta|byline|form|search)(?:$|[-_\s\d])",
-    re.I,
+# Words that name what is no article in classes and ids, and words that may stand beside them.
+AWAY_WORDS = set(
+    "ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion promoted banner nav navbar navigation menu sidebar rail footer masthead topbar "
+    "breadcrumb breadcrumbs cookie cookies consent gdpr notice notification alert popup modal overlay comment comments commentlist disqus replies reply respond discussion social share sharing "
+    "related recommended recommendations newsletter subscribe subscription signup login pagination pager widget toolbar copyright skip outbrain taboola tags byline form search".split()
 )
-HEADER_NAMES = re.compile(r"(?:^|[-_\s])(?:header|head|top)(?:$|[-_\s\d])", re.I)
-MAIN_NAMES = re.compile(r"(?:^|[-_\s])(?:article|content|post|entry|story|main|body|text|page-?body)(?:$|[-_\s\d])", re.I)
+HEADER_WORDS = {"header", "head", "top"}
+MAIN_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
+BESIDE = set("site page web global main primary secondary top bottom left right side inner outer mobile desktop wrapper wrap container box block area section list item items links link bar content text widget module unit slot col column row fixed sticky article post entry blog to policy thread".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # The classifier: what speaks for content (positive) and against it.
-WEIGHTS = {"away": -8.0, "header": -5.0, "inside": 4.0, "main": 2.0, "links": -3.0, "long": 1.0, "sentence": 0.5, "short": -0.75, "base": 0.25}
-NEAR, SIBLING = 0.6, 0.3
-ENTITY_END = re.compile(r"\s+")
+WEIGHTS = {"away": -6.0, "header": -5.0, "inside": 2.5, "main": 1.0, "links": -1.5, "long": 1.5, "sentence": 0.5, "short": -1.5, "heading": 0.75, "base": -0.25}
+NEAR, SIBLING, SEAM = 2.2, 0.75, 0.4
+
+
+class Node:
+    """An open element: its place in the tree is that of its parent and a number of its own."""
+
+    __slots__ = ("depth", "parent")
+
+    def __init__(self, parent: Node | None):
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 1
+
+
+def shared_depth(a: Node | None, b: Node | None) -> int:
+    """How many ancestors two elements share, themselves included."""
+    while a is not b:
+        if a is None or b is not None and b.depth > a.depth:
+            b = b.parent
+        else:
+            a = a.parent
+    return a.depth if a else 0
+
+
+def _words(names: str) -> list[list[str]]:
+    """The words of each class or id: 'site-Footer2 promoBox' is [[site, footer], [promo, box]]."""
+    return [[w for w in re.split(r"[-_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if w] for token in names.split()]
+
+
+def _is_away(words: list[list[str]]) -> bool:
+    """A name counts only if all its words do: 'content-with-sidebar' and 'side-effects' name no boilerplate."""
+    return any(any(w in AWAY_WORDS for w in one) and all(w in AWAY_WORDS or w in BESIDE for w in one) for one in words)
 
 
 class Block:
-    __slots__ = ("inside", "linked", "path", "text", "what")
+    __slots__ = ("linked", "name", "node", "text", "what")
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], what: tuple[bool, bool, bool, bool]):
-        self.text, self.linked, self.path, self.what = text, linked, path, what
+    def __init__(self, text: str, linked: int, node: Node | None, what: tuple[bool, bool, bool, bool], name: str):
+        self.text, self.linked, self.node, self.what, self.name = text, linked, node, what, name
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -63,24 +93,30 @@ def _attributes(raw: str) -> dict[str, str]:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks that hold visible text, in page order."""
     out: list[Block] = []
-    open_: list[tuple[str, int, tuple[bool, bool, bool, bool]]] = []  # name, node, (away, header, inside, main)
+    open_: list[tuple[str, Node, tuple[bool, bool, bool, bool]]] = []  # name, node, (away, header, inside, main)
+    count: dict[str, int] = {}  # open elements of each name
+    endless: set[str] = set()  # names with no end tag further on
     parts: list[tuple[str, bool]] = []
     plain = (False, False, False, False)
-    node, linked, at, n = 0, 0, 0, len(page)
+    linked, at, n = 0, 0, len(page)
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
             if text:
                 inked = sum(len(t) for t, a in parts if a)
-                out.append(Block(text, min(inked, len(text)), tuple(x[1] for x in open_), open_[-1][2] if open_ else plain))
+                name, node, what = open_[-1] if open_ else ("", None, plain)
+                out.append(Block(text, min(inked, len(text)), node, what, name))
             parts.clear()
 
+    def pop() -> None:
+        count[open_.pop()[0]] -= 1
+
     def close(name: str) -> None:
-        for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] == name:
-                del open_[k:]
-                return
+        if count.get(name):
+            while open_[-1][0] != name:
+                pop()
+            pop()
 
     while at < n:
         start = page.find("<", at)
@@ -101,11 +137,13 @@ def blocks_of(page: str) -> list[Block]:
         name, closing = m[2].lower(), bool(m[1])
         if name in SILENT:
             if not closing and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 if end:
                     at = end.end()
-                elif name not in ("head", "option", "map"):
-                    at = n
+                else:
+                    endless.add(name)
+                    if name not in ("head", "option", "map"):
+                        at = n
             if name not in ("option", "map"):
                 flush()
             continue
@@ -119,9 +157,8 @@ def blocks_of(page: str) -> list[Block]:
         if name in BLOCK:
             flush()
         elif closing or name in VOID or not ("hidden" in raw or "class" in raw or "id" in raw or "role" in raw or "style" in raw or name in AWAY):
-            if closing and any(x[0] == name for x in open_):
-                if any(x[0] == name and x[2][0] for x in open_):
-                    flush()
+            if closing and count.get(name):  # only elements that take their text away are open beside blocks
+                flush()
                 close(name)
             continue
         if closing:
@@ -130,25 +167,25 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID:
             continue
         if name in PARAGRAPH_ENDS and open_ and open_[-1][0] == "p":
-            open_.pop()
+            pop()
         if name in ("li", "dd", "dt", "td", "th", "tr", "option") and open_ and open_[-1][0] == name:
-            open_.pop()
+            pop()
         away, header, inside, main = open_[-1][2] if open_ else plain
         a = _attributes(raw)
-        names = f"{a.get('class', '')} {a.get('id', '')}"
+        words = _words(f"{a.get('class', '')} {a.get('id', '')}")
         was = away
         if name not in ("html", "body"):
             away = away or name in AWAY or a.get("role", "").lower() in AWAY_ROLES or "hidden" in a or a.get("aria-hidden") == "true"
             away = away or "display:none" in a.get("style", "").replace(" ", "").lower()
-            away = away or bool(name not in ("article", "main") and AWAY_NAMES.search(names))
-            header = header or ((name == "header" or bool(HEADER_NAMES.search(names))) and not inside)
+            away = away or name not in ("article", "main") and _is_away(words)
+            header = header or ((name == "header" or any(set(w) & HEADER_WORDS and set(w) <= HEADER_WORDS | BESIDE for w in words)) and not inside)
             inside = inside or name in ("article", "main") or a.get("role", "").lower() in ("main", "article")
-            main = main or bool(MAIN_NAMES.search(names))
-        node += 1
+            main = main or any(set(w) & MAIN_WORDS for w in words)
         if name in BLOCK or away and not was:
             if name not in BLOCK:
                 flush()
-            open_.append((name, node, (away, header, inside, main)))
+            open_.append((name, Node(open_[-1][1] if open_ else None), (away, header, inside, main)))
+            count[name] = count.get(name, 0) + 1
     flush()
     return out
 
@@ -160,22 +197,26 @@ def preference(b: Block) -> float:
     w = WEIGHTS
     return (
         w["base"] + w["away"] * away + w["header"] * header + w["inside"] * inside + w["main"] * main + w["links"] * (b.linked / len(b.text))
-        + w["long"] * min(words / 25, 2) + w["sentence"] * (b.text[-1] in ".!?…") + w["short"] * (words < 4)
+        + w["long"] * min(words / 25, 2) + w["sentence"] * (b.text[-1] in ".!?…") + w["short"] * (words < 4) + w["heading"] * (b.name in HEADINGS)
     )
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: next block, and next block of the same parent."""
+    """Smoothness edges: next block, the stronger the nearer in the tree, and next one of the same parent and name.
+
+    Between blocks that differ in whether their names speak against them, an edge has SEAM of its strength.
+    """
     out, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            p, q = blocks[i - 1].path, b.path
-            shared = next((k for k, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q)))
-            out.append((i - 1, i, NEAR * (shared + 1) / (max(len(p), len(q)) + 1)))
-        parent = b.path[:-1]
-        if parent in last and last[parent] < i - 1:
-            out.append((last[parent], i, SIBLING))
-        last[parent] = i
+            p, q = blocks[i - 1].node, b.node
+            deep = max(p.depth if p else 0, q.depth if q else 0)
+            seam = SEAM if blocks[i - 1].what[:2] != b.what[:2] else 1.0
+            out.append((i - 1, i, seam * NEAR * ((shared_depth(p, q) + 1) / (deep + 1)) ** 2))
+        kin = (b.node.parent if b.node else None, b.name)
+        if kin in last and last[kin] < i - 1:
+            out.append((last[kin], i, SIBLING))
+        last[kin] = i
     return out
 
 

@@ -11,8 +11,9 @@ Plan, with sizes n and threshold t = num/den:
    joins large groups of near copies in one row for each, not in all pairs.
 5. Every list whose posters are not all connected goes to a T-occurrence search over the posted shingles: short lists
    are merged with a heap, long ones probed by binary search. Sets found on k lists, not connected, and near enough
-   by their bitmaps are compared as a whole. Lists with the same posters are searched once; those of over GROUP sets
-   are split by ids, and only the sets outside the leader's component are looked up in every part.
+   by their bitmaps are compared as a whole, until all of the list are connected, so that a list gives fewer links
+   than it has sets. Lists with the same posters are searched once; those of over GROUP sets are split by ids, and
+   only the sets outside the leader's component are looked up in every part.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ KEY = ["n_shingles", "s1", "s2"]  # names a set
 SCAN = "doc_id long, n_shingles long, s1 long, s2 long"
 SETS = f"{SCAN}, items binary, bits binary"
 DEAL_SHINGLES = 400_000
-BUCKET_SHINGLES = 1_000_000
+BUCKET_SHINGLES = 500_000
 OWNERS_SENT = 16
 HEAD = "doc_ids binary, sizes binary, ones binary, twos binary, often binary, often_held binary, often_owners binary"
 BLOCK = f"chunk long, bucket int, hashes binary, held binary, sent binary, owners binary, {HEAD}"
@@ -250,19 +251,6 @@ def _post(num: int, den: int):
     return run
 
 
-def _near(num: int, den: int):
-    """Rows a, b, n, m, bits_a, bits_b whose bitmaps allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            as_bytes = lambda x: np.frombuffer(x.as_buffer(), np.uint8)
-            n, m = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            good = [_may_link(as_bytes(x), as_bytes(y), p, q, num, den) for x, y, p, q in zip(batch.column(4), batch.column(5), n, m)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    return run
-
-
 def _linked(num: int, den: int):
     """Rows a, b, mine, theirs (whole sets, in order) that link."""
 
@@ -270,9 +258,7 @@ def _linked(num: int, den: int):
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(den * both >= num * (len(x) + len(y) - both))
+                good.append(_shares_enough(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -322,10 +308,14 @@ def t_occurrence(lists: list[list[int]], needed: int, mu: float = 0.01) -> list[
     return found
 
 
-def _pairs_to_compare(ids: list[int], listed: np.ndarray, comp: np.ndarray, base: int, size: np.ndarray, posted: list[np.ndarray], bits: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
-    """Unconnected pairs of a query (a set outside the component `base`) and a listed set that may link."""
-    asks = np.flatnonzero(comp != base)
-    there = np.flatnonzero(listed)
+def _shares_enough(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _spanning_links(ids: list[int], listed: np.ndarray, comp: np.ndarray, base: int, posted: list[np.ndarray], bits: list[bytes], items: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between queries (sets outside the component `base`) and listed sets that join what no link before joined."""
+    asks, there = np.flatnonzero(comp != base), np.flatnonzero(listed)
     if not len(asks) or not len(there):
         return []
     lengths = np.array([len(p) for p in posted])
@@ -333,22 +323,36 @@ def _pairs_to_compare(ids: list[int], listed: np.ndarray, comp: np.ndarray, base
     values = np.concatenate([posted[i] for i in there])
     order = np.lexsort((owner, values))
     values, owner = values[order], owner[order].tolist()
-    wanted = np.concatenate([posted[i] for i in asks])
-    low, high = np.searchsorted(values, wanted, side="left").tolist(), np.searchsorted(values, wanted, side="right").tolist()
-    as_bits = [np.frombuffer(x, np.uint8) for x in bits]
-    out, at = [], 0
+    names, root = np.unique(comp, return_inverse=True)
+    root, apart = root.tolist(), len(names)
+    up = list(range(apart))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    out = []
     for d in asks.tolist():
+        if apart == 1:
+            break
+        low, high = np.searchsorted(values, posted[d], side="left").tolist(), np.searchsorted(values, posted[d], side="right").tolist()
         # a list that holds the query alone can't link it with another set
-        lists = [owner[x:y] for x, y in zip(low[at : at + lengths[d]], high[at : at + lengths[d]]) if y - x > (1 if listed[d] else 0)]
-        at += lengths[d]
-        for other, _ in t_occurrence(lists, shared_least(int(size[d] * num // den))):
-            if comp[other] != comp[d] and (other > d or comp[other] == base or not listed[d]) and _may_link(as_bits[d], as_bits[other], int(size[d]), int(size[other]), num, den):
+        lists = [owner[x:y] for x, y in zip(low, high) if y - x > (1 if listed[d] else 0)]
+        mine, my_bits = np.frombuffer(items[d], np.uint64), np.frombuffer(bits[d], np.uint8)
+        for other, _ in t_occurrence(lists, shared_least(len(mine) * num // den)):
+            a, b = top(root[d]), top(root[other])
+            if a == b or not _may_link(my_bits, np.frombuffer(bits[other], np.uint8), len(mine), len(items[other]) // 8, num, den):
+                continue
+            if _shares_enough(mine, np.frombuffer(items[other], np.uint64), num, den):
+                up[a] = b
+                apart -= 1
                 out.append((ids[d], ids[other]))
     return out
 
 
 def _search(num: int, den: int):
-    """Rows sorted by group: shingle, band, part, id, listed, comp, base, n_shingles, posted, bits; a group may span batches."""
+    """Rows sorted by group: shingle, band, part, id, listed, comp, base, posted, bits, items; a group may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -376,14 +380,14 @@ def _group_cuts(rows: pa.Table) -> list[int]:
 def _compared(rows: pa.Table, cuts: list[int], num: int, den: int) -> pa.RecordBatch:
     out = []
     if rows.num_rows:
-        ids, bits = rows["id"].to_pylist(), rows["bits"].to_pylist()
-        listed, comp, base, size = (rows[c].to_numpy() for c in ("listed", "comp", "base", "n_shingles"))
+        ids, bits, items = (rows[c].to_pylist() for c in ("id", "bits", "items"))
+        listed, comp, base = (rows[c].to_numpy() for c in ("listed", "comp", "base"))
         lists = rows["posted"].combine_chunks()
         at, values = lists.offsets.to_numpy(), lists.flatten().to_numpy()
         at = at - at[0]
         posted = [values[x:y] for x, y in zip(at, at[1:])]
         for a, b in zip(cuts, cuts[1:]):
-            out += _pairs_to_compare(ids[a:b], listed[a:b], comp[a:b], int(base[a]), size[a:b], posted[a:b], bits[a:b], num, den)
+            out += _spanning_links(ids[a:b], listed[a:b], comp[a:b], int(base[a]), posted[a:b], bits[a:b], items[a:b], num, den)
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
@@ -406,11 +410,10 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, grou
     met = classes.join(lists.select("id").distinct(), "id", "left_semi")
     sets = prune_by_ids(src, met.select("doc_id"), "doc_id").mapInArrow(_sets(n), SETS).join(met, ["doc_id", *KEY]).dropDuplicates(["id"])
     sets = stored(sets.select("id", "items", "bits"), "ngram-sets")
-    reps = stored(posted.join(sets.select("id", "bits"), "id"), "ngram-reps")
-    links = _leader_links(sets, reps, lists, num, den, group)
+    links = _leader_links(sets, lists, num, den, group)
     comp = stored(components(links), "ngram-components")
-    found = _searched_links(sets, reps, lists, comp, num, den, group)
-    drop_stored(comp, sets, reps, lists, posted)
+    found = _searched_links(sets, posted, lists, comp, num, den, group)
+    drop_stored(comp, sets, lists, posted)
     comp = stored(classes.join(components(links.union(found)), "id"), "ngram-components")
     least = comp.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = classes.join(comp.join(least, "component").select("id", "component_id"), "id", "left")
@@ -472,25 +475,18 @@ def _with_set(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFra
     return pairs.join(parts.where("parts > 1"), end, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts").join(copies, [end, "part"]).drop("part")
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b) those that link, by their whole sets."""
+def _leader_links(sets: DataFrame, lists: DataFrame, num: int, den: int, group: int) -> DataFrame:
+    """Links (a, b) between posters of large lists and the leader of near size that most of their lists have."""
+    near = lists.where(f"n > {group} and id <> leader and {num} * greatest(m, n_shingles) <= {den} * least(m, n_shingles)").groupBy("id", "leader").agg(F.count("*").alias("votes"))
+    chosen = near.groupBy("id").agg(F.max(F.struct("votes", (-F.col("leader")).alias("l"))).alias("v")).select(F.col("id").alias("a"), (-F.col("v.l")).alias("b"))
+    pairs = stored(chosen, "ngram-pairs")
     both = _with_set(_with_set(pairs, sets, "b", "theirs"), sets, "a", "mine").select("a", "b", "mine", "theirs")
     out = stored(both.mapInArrow(_linked(num, den), "a long, b long"), "ngram-links")
     drop_stored(pairs)
     return out
 
 
-def _leader_links(sets: DataFrame, reps: DataFrame, lists: DataFrame, num: int, den: int, group: int) -> DataFrame:
-    """Links (a, b) between posters of large lists and the leader of near size that most of their lists have."""
-    near = lists.where(f"n > {group} and id <> leader and {num} * greatest(m, n_shingles) <= {den} * least(m, n_shingles)").groupBy("id", "leader").agg(F.count("*").alias("votes"))
-    chosen = near.groupBy("id").agg(F.max(F.struct("votes", (-F.col("leader")).alias("l"))).alias("v")).select(F.col("id").alias("a"), (-F.col("v.l")).alias("b"))
-    look = chosen.join(reps.select(F.col("id").alias("a"), "n_shingles", F.col("bits").alias("bits_a")), "a")
-    look = look.join(reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("bits").alias("bits_b")), "b")
-    pairs = stored(look.select("a", "b", "n_shingles", "m", "bits_a", "bits_b").mapInArrow(_near(num, den), "a long, b long"), "ngram-pairs")
-    return _verified(sets, pairs, num, den)
-
-
-def _searched_links(sets: DataFrame, reps: DataFrame, lists: DataFrame, comp: DataFrame, num: int, den: int, group: int) -> DataFrame:
+def _searched_links(sets: DataFrame, posted: DataFrame, lists: DataFrame, comp: DataFrame, num: int, den: int, group: int) -> DataFrame:
     """Links among posters of a list that are not connected yet, by T-occurrence search."""
     rows = lists.join(comp, "id", "left").select("shingle", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
     who = [F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("who2")]
@@ -501,11 +497,9 @@ def _searched_links(sets: DataFrame, reps: DataFrame, lists: DataFrame, comp: Da
     everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
     live = live.withColumn("own", mine).withColumn("part", F.explode(F.when(F.col("comp") == F.col("base"), F.array("own")).otherwise(everywhere)))
     live = live.select("shingle", "band", "part", "id", (F.col("part") == F.col("own")).alias("listed"), "comp", "base")
-    live = live.join(reps, "id").select("shingle", "band", "part", "id", "listed", "comp", "base", "n_shingles", "posted", "bits")
+    live = live.join(posted.select("id", "posted").join(sets, "id"), "id").select("shingle", "band", "part", "id", "listed", "comp", "base", "posted", "bits", "items")
     key = ["shingle", "band", "part"]
-    pairs = live.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(num, den), "a long, b long")
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-pairs")
-    return _verified(sets, pairs, num, den)
+    return stored(live.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(num, den), "a long, b long"), "ngram-links")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

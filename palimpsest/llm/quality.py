@@ -190,6 +190,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts, learning from the labels of docs."""
+    """Documents that the classifier accepts, learning from the labels of docs.
+
+    Null and empty texts are scored from their zero counts like any other. Rows that repeat a doc_id stay if one of
+    them is accepted; rows without a doc_id, which no score can name, stay. Empty tables are fine on either side;
+    other columns pass unchanged.
+    """
     good = score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id")
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(good, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))

@@ -433,6 +433,29 @@ def test_html_blocks():
     assert html_text.main_text("") == "" and html_text.main_text("<<a<<") is not None and html_text.main_text("<p") == ""
 
 
+def test_html_the_cut_decides_between_neighbours():
+    long = "A rather long paragraph of text with many words in it, so that it is the main part of this page."
+    page = f"<div><p>{long}</p><p>Yes.</p><p>{long}</p><p><a href=x>See this other page for more</a></p><p>{long}</p></div><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>"
+    blocks = html_text.blocks_of(page)
+    alone = [html_text.preference(b) > 0 for b in blocks]
+    assert alone == [True, False, True, False, True, False, False]
+    assert html_text.main_text(page) == f"{long}\n\nYes.\n\n{long}\n\nSee this other page for more\n\n{long}"
+
+
+def test_html_names_count_as_wholes():
+    text = "Words that make a sentence of the article, and more of them."
+    for kept in ("content-with-sidebar", "side-effects", "meta-analysis", "page", "shared-memory"):
+        assert html_text.main_text(f'<div class="{kept}"><p>{text}</p></div>') == text
+    for gone in ("sidebar", "site-footer", "promoBox", "ad-slot2 wide", "main-nav"):
+        assert html_text.main_text(f'<article><p>{text}</p></article><div class="{gone}"><p>{text}</p></div>') == text
+    assert html_text.main_text(f"<article><p>{text}</p><p><math>x = 1</math></p></article>") == f"{text}\n\nx = 1"
+
+
+def test_html_deep_long_and_broken_pages():
+    page = "<div>" * 20_000 + "<option>" * 3000 + "<p>y</b></i> and some words that make it long enough to stay here." * 20_000
+    assert html_text.main_text(page).count("y and some words") == 20_000
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(150):
