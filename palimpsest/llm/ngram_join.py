@@ -11,9 +11,9 @@ Plan, with sizes n and threshold t = num/den:
    joins large groups of near copies in one row for each, not in all pairs.
 5. Every list whose posters are not all connected goes to a T-occurrence search over the posted shingles: short lists
    are merged with a heap, long ones probed by binary search. Sets found on k lists, not connected, and near enough
-   by their bitmaps are compared as a whole, until all of the list are connected, so that a list gives fewer links
-   than it has sets. Lists with the same posters are searched once; those of over GROUP sets are split by ids, and
-   only the sets outside the leader's component are looked up in every part.
+   by their bitmaps are compared as a whole, until all are connected, so that there are fewer links than sets. Lists
+   of one leader are searched together; those of over PART sets are split by ids, and only the sets outside the
+   leader's component are looked up in every part.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import bitmap_size, components, drop_stored, in_bitmap, list_array, mix64, prune_by_ids, slot_bitmap, sorted_unique, split_words, stored, table, text_chunks, window_starts, word_hashes
 
 GROUP = 64
+PART = 512
 PAIRS = 4096
 RESERVE = 20
 KEY = ["n_shingles", "s1", "s2"]  # names a set
@@ -352,7 +353,7 @@ def _spanning_links(ids: list[int], listed: np.ndarray, comp: np.ndarray, base:
 
 
 def _search(num: int, den: int):
-    """Rows sorted by group: shingle, band, part, id, listed, comp, base, posted, bits, items; a group may span batches."""
+    """Rows sorted by group: leader, band, part, id, listed, comp, base, posted, bits, items; a group may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -370,7 +371,7 @@ def _search(num: int, den: int):
 
 
 def _group_cuts(rows: pa.Table) -> list[int]:
-    keys = [rows[c].to_numpy() for c in ("shingle", "band", "part")]
+    keys = [rows[c].to_numpy() for c in ("leader", "band", "part")]
     new = np.zeros(rows.num_rows, bool)
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
@@ -391,7 +392,7 @@ def _compared(rows: pa.Table, cuts: list[int], num: int, den: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
-def similar_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, group: int = GROUP) -> DataFrame:
+def similar_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, group: int = GROUP, part: int = PART) -> DataFrame:
     """Per row of docs: doc_id, n_shingles (its set's size) and component_id.
 
     Documents link when den * intersection >= num * union of their sets of n-word shingles of ASCII-lower-cased
@@ -412,7 +413,7 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, grou
     sets = stored(sets.select("id", "items", "bits"), "ngram-sets")
     links = _leader_links(sets, lists, num, den, group)
     comp = stored(components(links), "ngram-components")
-    found = _searched_links(sets, posted, lists, comp, num, den, group)
+    found = _searched_links(sets, posted, lists, comp, num, den, part)
     drop_stored(comp, sets, lists, posted)
     comp = stored(classes.join(components(links.union(found)), "id"), "ngram-components")
     least = comp.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -458,11 +459,12 @@ def _lists(posted: DataFrame, num: int, den: int) -> DataFrame:
     """(shingle, band, id, n_shingles, n, leader, m): the inverted lists of keys with two sets or more of near sizes."""
     posts = posted.select("id", "n_shingles", F.explode(F.slice("posted", F.lit(1), F.col("n_keys"))).alias("shingle"))
     # sizes of linked sets differ by a factor of den / num at most: they lie in one band or in neighbouring ones
-    band = F.floor(F.log(F.col("n_shingles")) / math.log(den / num) - 1e-9).cast("int")
-    posts = stored(posts.select("shingle", "id", "n_shingles", F.explode(F.array(band, band + 1)).alias("band")), "ngram-posts")
-    led = posts.groupBy("shingle", "band").agg(F.count("*").alias("n"), F.min(F.struct("id", "n_shingles")).alias("l")).where("n > 1")
-    led = led.select("shingle", "band", "n", F.col("l.id").alias("leader"), F.col("l.n_shingles").alias("m"))
-    out = stored(posts.join(led, ["shingle", "band"]), "ngram-lists")
+    own = F.floor(F.log(F.col("n_shingles")) / math.log(den / num) - 1e-9).cast("int")
+    posts = stored(posts.select("shingle", "id", "n_shingles", own.alias("own"), F.explode(F.array(own, own + 1)).alias("band")), "ngram-posts")
+    led = posts.groupBy("shingle", "band").agg(F.count("*").alias("n"), F.min(F.struct("id", "n_shingles")).alias("l"), F.max("own").alias("top"))
+    # sets that are all of the band below meet there
+    led = led.where("n > 1 and top = band").select("shingle", "band", "n", F.col("l.id").alias("leader"), F.col("l.n_shingles").alias("m"))
+    out = stored(posts.drop("own").join(led, ["shingle", "band"]), "ngram-lists")
     drop_stored(posts)
     return out
 
@@ -487,18 +489,22 @@ def _leader_links(sets: DataFrame, lists: DataFrame, num: int, den: int, group:
 
 
 def _searched_links(sets: DataFrame, posted: DataFrame, lists: DataFrame, comp: DataFrame, num: int, den: int, group: int) -> DataFrame:
-    """Links among posters of a list that are not connected yet, by T-occurrence search."""
-    rows = lists.join(comp, "id", "left").select("shingle", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
-    who = [F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("who2")]
-    open_ = rows.groupBy("shingle", "band", "n").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("comp", "id").alias("base"), *who).where("low < high")
-    once = open_.groupBy("who", "who2", "n", "band").agg(F.min(F.struct("shingle", "base")).alias("l")).select("l.shingle", "band", "n", "l.base")  # the same posters: searched once
-    live = rows.drop("n").join(once, ["shingle", "band"]).withColumn("parts", F.ceil(F.col("n") / group).cast("int"))
+    """Links among posters of a list that are not connected yet, by T-occurrence search.
+
+    Lists of one leader, which near copies have in common, are searched as one group, so a set is there once for each
+    leader of its lists, not for each list.
+    """
+    rows = lists.join(comp, "id", "left").select("shingle", "band", "leader", "id", F.coalesce("component", "id").alias("comp"))
+    open_ = rows.groupBy("shingle", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle", "band")
+    live = stored(rows.join(open_, ["shingle", "band"], "left_semi").select("leader", "band", "id", "comp").distinct(), "ngram-live")
+    size = live.groupBy("leader", "band").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"), F.min_by("comp", "id").alias("base"))
+    live = live.join(size, ["leader", "band"])
     mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
     live = live.withColumn("own", mine).withColumn("part", F.explode(F.when(F.col("comp") == F.col("base"), F.array("own")).otherwise(everywhere)))
-    live = live.select("shingle", "band", "part", "id", (F.col("part") == F.col("own")).alias("listed"), "comp", "base")
-    live = live.join(posted.select("id", "posted").join(sets, "id"), "id").select("shingle", "band", "part", "id", "listed", "comp", "base", "posted", "bits", "items")
-    key = ["shingle", "band", "part"]
+    live = live.select("leader", "band", "part", "id", (F.col("part") == F.col("own")).alias("listed"), "comp", "base")
+    live = live.join(posted.select("id", "posted").join(sets, "id"), "id").select("leader", "band", "part", "id", "listed", "comp", "base", "posted", "bits", "items")
+    key = ["leader", "band", "part"]
     return stored(live.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(num, den), "a long, b long"), "ngram-links")
 
 

@@ -197,7 +197,7 @@ def test_ngram_join_large_lists_in_parts(spark, monkeypatch):
     # small chunks, buckets and parts; most shingles travel beside the blocks
     for name, value in (("DEAL_SHINGLES", 700), ("BUCKET_SHINGLES", 500), ("OWNERS_SENT", 1), ("PAIRS", 2)):
         monkeypatch.setattr(ngram_join, name, value)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(docs_of(spark, TEXTS), 3, 3, 5, group=2).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(docs_of(spark, TEXTS), 3, 3, 5, group=2, part=2).collect()}
     assert got == by_force(TEXTS, 3, 3, 5)
 
 
