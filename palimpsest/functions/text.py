@@ -13,9 +13,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Short property names and what they are called in a revision list.
 PROPERTY_NAMES = {
-    "b": "bold", "i": "italic", "u": "underline", "strike": "strikethrough", "dstrike": "doubleStrikethrough", "sz": "fontSize", "szCs": "fontSizeComplexScript",
-    "color": "color", "highlight": "highlight", "rFonts": "font", "vertAlign": "verticalAlignment", "caps": "allCaps", "smallCaps": "smallCaps", "shd": "shading",
-    "spacing": "characterSpacing", "k": "key",
+    "b": "bold", "bCs": "boldComplex", "i": "italic", "iCs": "italicComplex", "u": "underline", "strike": "strikethrough", "dstrike": "doubleStrikethrough",
+    "sz": "fontSize", "szCs": "fontSizeComplex", "rFonts": "font", "color": "color", "highlight": "highlight", "shd": "shading", "vertAlign": "verticalAlign",
+    "caps": "allCaps", "smallCaps": "smallCaps", "outline": "outline", "shadow": "shadow", "emboss": "emboss", "imprint": "imprint", "vanish": "hidden",
+    "spacing": "characterSpacing", "w": "characterWidth", "kern": "kerning", "position": "position",
 }
 
 
@@ -63,6 +64,24 @@ def significant(c: Column, least: int = 4) -> Column:
     return F.filter(letter_tokens(c), lambda t: F.length(t) >= least)
 
 
+def body_tokens(tokens: Column) -> Column:
+    """Tokens of three letters or more that are no stamp of a file."""
+    return F.filter(tokens, lambda t: (F.length(t) >= 3) & ~F.startswith(t, F.lit("file_")) & ~t.isin("doc", "docx"))
+
+
+def shared_connectors(a: Column, b: Column) -> Column:
+    """How many of the connecting words both sides hold."""
+    return F.size(F.array_intersect(F.array_intersect(a, b), F.array(*map(F.lit, ("and", "the", "for")))))
+
+
+def ordered_prefix(a: Column, b: Column, least: int = 4) -> Column:
+    """How many tokens, short ones left out, are the same on both sides from the first on."""
+    long = lambda c: F.filter(c, lambda t: F.length(t) >= least)
+    same = F.zip_with(long(a), long(b), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, False)
+    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
+
+
 def jaccard(a: Column, b: Column, empty: float) -> Column:
     """Of two token sets; `empty` is the value of two empty ones."""
     both = F.size(F.array_union(a, b))

@@ -25,12 +25,17 @@ def status(a: Column, b: Column) -> Column:
 
 
 def diff_by_occurrence(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
-    """(a_id, b_id, status, n): lines as a multiset; the k-th copy on one side meets the k-th on the other."""
-    a, b = sides(pairs, hashed)
-    a = a.withColumn("k", F.row_number().over(Window.partitionBy("a_id", "b_id", "ha").orderBy("i"))).withColumnRenamed("ha", "h")
-    b = b.withColumn("k", F.row_number().over(Window.partitionBy("a_id", "b_id", "hb").orderBy("j"))).withColumnRenamed("hb", "h")
-    both = a.join(b, ["a_id", "b_id", "h", "k"], "full_outer")
-    return both.groupBy("a_id", "b_id", status(F.col("i"), F.col("j")).alias("status")).agg(F.count("*").alias("n"))
+    """(a_id, b_id, status, n): lines as a multiset; the k-th copy on one side meets the k-th on the other.
+
+    Only counts matter: of a line's copies as many are Equal as both sides have, the rest is Deleted or Inserted.
+    """
+    held = hashed.groupBy("doc_id", F.xxhash64("h").alias("h1"), F.xxhash64("h", F.lit(1)).alias("h2")).agg(F.count("*").alias("n"))
+    a = pairs.select("a_id", "b_id").join(held.withColumnRenamed("doc_id", "a_id"), "a_id").select("a_id", "b_id", "h1", "h2", F.col("n").alias("na"), F.lit(0).cast("long").alias("nb"))
+    b = pairs.select("a_id", "b_id").join(held.withColumnRenamed("doc_id", "b_id"), "b_id").select("a_id", "b_id", "h1", "h2", F.lit(0).cast("long").alias("na"), F.col("n").alias("nb"))
+    lines = a.union(b).groupBy("a_id", "b_id", "h1", "h2").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    least = F.least("na", "nb")
+    n = lines.groupBy("a_id", "b_id").agg(F.sum(least).alias("Equal"), F.sum(F.col("na") - least).alias("Deleted"), F.sum(F.col("nb") - least).alias("Inserted"))
+    return n.unpivot(["a_id", "b_id"], ["Equal", "Deleted", "Inserted"], "status", "n").where("n > 0")
 
 
 def diff_by_position(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
@@ -97,3 +102,44 @@ def unrelated(pairs: DataFrame, hashed: DataFrame, least: int = 4) -> DataFrame:
     """(a_id, b_id, unrelated): both sides have `least` lines or more and none in common."""
     r = lines_related(pairs, hashed)
     return r.select("a_id", "b_id", ((F.col("na") >= least) & (F.col("nb") >= least) & (F.col("met_a") == 0)).alias("unrelated"))
+
+
+def diagonal_stats(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(a_id, b_id, least, mean, most_of_body): token similarity of lines at equal places, for pairs of equal length."""
+    n = hashed.groupBy("doc_id").agg(F.count("*").alias("n"))
+    even = pairs.select("a_id", "b_id").join(n.select(F.col("doc_id").alias("a_id"), "n"), "a_id").join(n.select(F.col("doc_id").alias("b_id"), "n"), ["b_id", "n"]).select("a_id", "b_id")
+    a, b = sides(even, hashed)
+    met = a.join(b.withColumnRenamed("j", "i"), ["a_id", "b_id", "i"])
+    tokens = lambda c: F.array_distinct(T.letter_tokens(F.col(c)))
+    met = met.withColumn("s", T.jaccard(tokens("line_a"), tokens("line_b"), 1.0))
+    body = F.coalesce(F.max(F.when(F.col("i") > 0, F.col("s"))), F.lit(0.0))
+    return met.groupBy("a_id", "b_id").agg(F.round(F.min("s"), 6).alias("least"), F.round(F.avg("s"), 6).alias("mean"), F.round(body, 6).alias("most_of_body"))
+
+
+def residual_unrelated(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a_id, b_id, residual_unrelated): both have a second line, and share no significant token after the first."""
+    n = lines.groupBy("doc_id").agg(F.count("*").alias("n"))
+    held = lines.where("line_no > 0").select("doc_id", F.explode(T.significant(F.col("line"))).alias("t")).distinct()
+    p = pairs.select("a_id", "b_id")
+    met = p.join(held.withColumnRenamed("doc_id", "a_id"), "a_id").join(held.withColumnRenamed("doc_id", "b_id"), ["b_id", "t"]).select("a_id", "b_id").distinct().withColumn("met", F.lit(True))
+    p = p.join(n.select(F.col("doc_id").alias("a_id"), F.col("n").alias("na")), "a_id").join(n.select(F.col("doc_id").alias("b_id"), F.col("n").alias("nb")), "b_id")
+    return p.join(met, ["a_id", "b_id"], "left").select("a_id", "b_id", ((F.col("na") >= 2) & (F.col("nb") >= 2) & F.col("met").isNull()).alias("residual_unrelated"))
+
+
+def first_difference(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(a_id, b_id, first_difference, ours, theirs): the first place where two sequences differ, null if nowhere."""
+    a, b = sides(pairs, hashed)
+    a, b = a.select("a_id", "b_id", F.col("i").alias("p"), "ha"), b.select("a_id", "b_id", F.col("j").alias("p"), "hb")
+    both = a.join(b, ["a_id", "b_id", "p"], "full_outer")
+    differs = F.min(F.when(~F.col("ha").eqNullSafe(F.col("hb")), F.col("p")))
+    return both.groupBy("a_id", "b_id").agg(differs.alias("first_difference"), F.count("ha").alias("ours"), F.count("hb").alias("theirs"))
+
+
+def ladder(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(a_id, b_id, level): the first level at which a pair differs: order, held lines, number of lines, any line at all."""
+    digest = lambda order: F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["h"]), ""))
+    s = hashed.groupBy("doc_id").agg(digest(F.struct("line_no", "h")).alias("ordered"), digest(F.struct("h")).alias("held"), F.count("*").alias("n"), F.collect_set("h").alias("hs"))
+    side = lambda k: s.select(F.col("doc_id").alias(f"{k}_id"), *[F.col(c).alias(f"{c}_{k}") for c in ("ordered", "held", "n", "hs")])
+    both = pairs.select("a_id", "b_id").join(side("a"), "a_id").join(side("b"), "b_id")
+    level = F.when(F.col("ordered_a") == F.col("ordered_b"), "same").when(F.col("held_a") == F.col("held_b"), "L1-opseq").when(F.col("n_a") == F.col("n_b"), "L2-inventory")
+    return both.select("a_id", "b_id", level.when(F.arrays_overlap("hs_a", "hs_b"), "L3-histogram").otherwise("apart").alias("level"))

@@ -58,6 +58,40 @@ def longest_run(a: list[str], b: list[str]) -> tuple[int, int, int]:
     return best
 
 
+def _content(unit: str) -> int:
+    return 0 if unit == MARK else sum(c not in SEPARATORS and not c.isspace() for c in unit)
+
+
+def richest_run(a: list[str], b: list[str]) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the common run of most content, then most units; of equal ones the first found.
+
+    Runs are sought from units with content; a run is walked once, from the first of these in it, so that blanks and
+    repeated words cost no more than the runs they are in.
+    """
+    value = [_content(x) for x in a]
+    at = defaultdict(list)
+    for j, x in enumerate(b):
+        at[x].append(j)
+    best, chosen, walked = (0, 0), (0, 0, 0), {}
+    for i, x in enumerate(a):
+        if not value[i]:
+            continue
+        for j in at.get(x, ()):
+            if walked.get(i - j, -1) >= i:
+                continue
+            p, q = i, j
+            while p and q and a[p - 1] == b[q - 1]:
+                p, q = p - 1, q - 1
+            end, last, total = i, j, 0
+            while end < len(a) and last < len(b) and a[end] == b[last]:
+                total += value[end]
+                end, last = end + 1, last + 1
+            walked[i - j] = end - 1
+            if (total, end - p) > best or (total, end - p) == best and (p, q) < chosen[:2]:
+                best, chosen = (total, end - p), (p, q, end - p)
+    return chosen
+
+
 def _ends(a: list[str], b: list[str], threshold: float) -> tuple[int, int]:
     """Lengths of the common beginning and, without one, of the common end; 0 below the threshold."""
     least = min(len(a), len(b))
@@ -100,7 +134,7 @@ def align(a: list[str], b: list[str], block: bool, threshold: float = THRESHOLD)
             out += align(a[: len(a) - s], b[: len(b) - s], block, threshold)
             out.append(("Equal", a[len(a) - s :], b[len(b) - s :]))
             continue
-        i, j, n = longest_run(a, b)
+        i, j, n = longest_run(a, b) if block else richest_run(a, b)
         while n > 1 and a[i] == MARK:
             i, j, n = i + 1, j + 1, n - 1
         void = not n or (not block and (n <= 3 and _only_separators(a[i : i + n]) or a[i : i + n] != [MARK] and n / max(len(a), len(b)) < threshold or a[i : i + n] == [MARK]))
@@ -167,7 +201,9 @@ def revisions(diffs: DataFrame, author: str = "Redline", date: str = "1970-01-01
 
 
 def revision_json(revs: DataFrame) -> DataFrame:
-    return revs.select("a_id", "b_id", "rev_no", F.to_json(F.struct("type", "author", "date", "text"), {"ignoreNullFields": "false"}).alias("json"))
+    """Each revision as a JSON object of eight fields; those that do not apply are null."""
+    fields = ["type", "author", "date", F.lit("document").alias("part"), F.col("move_group_id").alias("moveGroupId"), F.col("is_move_source").alias("isMoveSource"), F.lit(None).cast("string").alias("formatChange"), "text"]
+    return revs.select("a_id", "b_id", "rev_no", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def resolve(diffs: DataFrame, accept: bool) -> DataFrame:

@@ -26,3 +26,24 @@ def quota_view(events: DataFrame, key: str, limit: int) -> DataFrame:
 def entitled(revoked: Column, expires: Column, grace: Column, now: Column) -> Column:
     """Revoked by now: no; no expiry: yes; not expired: yes; else whether the grace period lasts."""
     return F.when(revoked.isNotNull() & (revoked <= now), False).when(expires.isNull(), True).when(expires > now, True).otherwise(F.coalesce(grace > now, F.lit(False)))
+
+
+def peek(events: DataFrame, key: str, visitors: DataFrame, visitor: str, limit: int) -> DataFrame:
+    """(visitor, used) of every visitor; one without events has used nothing."""
+    used = events.groupBy(F.col(key).alias(visitor)).agg(F.count("*").alias("n"))
+    return visitors.join(used, visitor, "left").select(visitor, F.least(F.coalesce("n", F.lit(0)), F.lit(limit)).cast("int").alias("used"))
+
+
+def released(events: DataFrame, key: str, release: Column, limit: int) -> DataFrame:
+    """(key, used): reservations, limit at most, less releases; never below nothing."""
+    used = F.least(F.count_if(~release), F.lit(limit)) - F.count_if(release)
+    return events.groupBy(key).agg(F.greatest(F.lit(0), used).cast("int").alias("used"))
+
+
+def subscription_state(transaction: Column, renewal: Column) -> list[Column]:
+    """Fields of a subscription from its transaction and, where there is one, its renewal."""
+    return [
+        F.when(transaction["environment"] == "Production", "Production").otherwise("Sandbox").alias("environment"),
+        F.coalesce(transaction["signed"], renewal["signed"], F.lit(0)).alias("signed_date_ms"),
+        F.coalesce(renewal["auto_renew"] == 1, F.lit(False)).alias("auto_renew"),
+    ]

@@ -2,15 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BINS = 1024
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Per group: n and q, the exact percentiles (linear between neighbours) in the order of shares.
+
+    Two passes: counts of BINS equal bins of each group's range, from which the bins of the wanted ranks follow, then
+    the distinct values of those bins alone. No task holds a group's values; nulls do not count.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    span = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    width = F.col("high") - F.col("low")
+    place = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width * BINS), F.lit(BINS - 1))).otherwise(0)
+    binned = rows.join(span, by).select(*by, "v", place.cast("int").alias("bin"))
+    bins = binned.groupBy(*by, "bin").agg(F.count("*").alias("c"))
+    before = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))  # BINS rows of a group at most
+    # the ranks on both sides of each percentile
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(s) * (F.col("n") - 1)).alias("rank")) for k, s in enumerate(shares)])).alias("w")
+    wanted = span.select(*by, "n", at).select(*by, "n", "w.k", "w.rank", F.explode(F.array(F.floor("w.rank"), F.ceil("w.rank"))).alias("r")).distinct()
+    inside = wanted.join(bins, by).where("r >= before and r < before + c").select(*by, "n", "k", "rank", "r", "bin", "before")
+    values = binned.join(inside.select(*by, "bin").distinct(), [*by, "bin"], "left_semi").groupBy(*by, "bin", "v").agg(F.count("*").alias("c"))
+    lower = Window.partitionBy(*by, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("lower", F.coalesce(F.sum("c").over(lower), F.lit(0)))
+    met = inside.join(values, [*by, "bin"]).where("r >= before + lower and r < before + lower + c")
+    one = met.groupBy(*by, "n", "k", "rank").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    one = one.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank")))
+    return one.groupBy(*by, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("q"))
+
+
 def median_mad(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Per group: n, median, and the median distance from it (unscaled)."""
-    center = df.groupBy(*by).agg(F.count(value).alias("n"), F.median(value).alias("median"))
-    away = df.join(center, by).groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    return center.join(away, by)
+    center = percentiles(df, by, value, [0.5]).select(*by, "n", F.col("q")[0].alias("median"))
+    away = df.join(center, by).withColumn("__away", F.abs(F.col(value) - F.col("median")))
+    return center.join(percentiles(away, by, "__away", [0.5]).select(*by, F.col("q")[0].alias("mad")), by)
 
 
 def verdicts(df: DataFrame, by: str, side: str, value: str, noise: float = 0.05) -> DataFrame:
@@ -43,3 +73,25 @@ def first_match(rules: list[tuple[Column, str]], otherwise: str) -> Column:
     for condition, name in rules:
         out = F.when(condition, name) if out is None else out.when(condition, name)
     return out.otherwise(otherwise)
+
+
+def findings(df: DataFrame, key: str, detectors: dict[str, Column]) -> DataFrame:
+    """(key, finding): a row for each detector that holds of a row."""
+    held = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in detectors.items()]))
+    return df.select(key, F.explode(held).alias("finding"))
+
+
+def summarize(verdicts: DataFrame) -> DataFrame:
+    """One row: fixtures, how many got worse and better, and the overall verdict."""
+    is_ = lambda v: F.col("verdict") == v
+    overall = F.when(F.bool_or(is_("regress")), "regress").when(F.bool_or(is_("improve")), "improve_or_mixed").otherwise("noise")
+    return verdicts.agg(F.count("*").alias("fixtures"), F.count_if(is_("regress")).alias("regress"), F.count_if(is_("improve")).alias("improve"), overall.alias("overall"))
+
+
+def ledger_deltas(a: DataFrame, b: DataFrame, key: str, score: str) -> DataFrame:
+    """One row: pairs in both ledgers, and how their mean, median and tenth percentile moved."""
+    both = a.select(key, F.col(score).alias("sa")).join(b.select(key, F.col(score).alias("sb")), key).withColumn("one", F.lit(1))
+    q = lambda c: percentiles(both, ["one"], c, [0.5, 0.1]).select("one", F.col("q").alias(f"q_{c}"))
+    means = both.groupBy("one").agg(F.count("*").alias("pairs"), F.round(F.avg("sb") - F.avg("sa"), 6).alias("mean_delta"))
+    gap = lambda k: F.round(F.col("q_sb")[k] - F.col("q_sa")[k], 6)
+    return means.join(q("sa"), "one").join(q("sb"), "one").select("pairs", "mean_delta", gap(0).alias("median_delta"), gap(1).alias("p10_delta"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators import align, diff, islands, relations, similarity, state, stats
-from palimpsest.sources.tables import hashed_lines, lines, neighbour_pairs, rare_line_pairs, table, turn_pairs
+from palimpsest.sources.tables import hashed_lines, lines, neighbour_pairs, first_holder_pairs, table, turn_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -28,8 +28,8 @@ SEP, SPACE = T.SEPARATOR_CLASS, T.SPACE_CLASS
 LINES = "lines as (select doc_id, cast(p - 1 as int) as line_no, l[p] as line from (select doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') as l from documents), lateral (select unnest(generate_series(1, len(l))) as p))"
 HASHED = LINES + ", h as (select doc_id, line_no, line, sha1(line) as h from lines)"
 PAIRS = HASHED + (
-    ", holders as (select distinct h, doc_id from h), rare as (select h from holders group by h having count(*) between 2 and 20), rh as (select holders.h, doc_id from holders join rare using (h))"
-    ", pairs as (select a.doc_id as a_id, b.doc_id as b_id, count(*) as shared from rh a join rh b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2)"
+    ", holders as (select distinct h, doc_id from h), firsts as (select h, min(doc_id) as a_id from holders group by h having count(*) > 1)"
+    ", pairs as (select a_id, doc_id as b_id, count(*) as shared from holders join firsts using (h) where doc_id > a_id group by 1, 2)"
 )
 SIDES = PAIRS + (
     ", a as (select a_id, b_id, line_no as i, h as ha, line as line_a from pairs join h on h.doc_id = a_id)"
@@ -56,7 +56,7 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     hashed = hashed_lines(docs_of(spark, sf_dir))
-    return rare_line_pairs(hashed), hashed
+    return first_holder_pairs(hashed), hashed
 
 
 # --- tokens, canonical forms and digests
@@ -265,10 +265,11 @@ def _words(c: str) -> str:
 
 
 MOVES = (
-    f"with {SIDES}, gone as (select a_id, b_id, i, {_words('line_a')} as ta, len({tok('line_a')}) as wa from a where not exists (select 1 from b where b.a_id = a.a_id and b.b_id = a.b_id and hb = ha) and len({tok('line_a')}) >= 6)"
-    f", come as (select a_id, b_id, j, {_words('line_b')} as tb, len({tok('line_b')}) as wb from b where not exists (select 1 from a where b.a_id = a.a_id and b.b_id = a.b_id and hb = ha) and len({tok('line_b')}) >= 6)"
+    RUNS + ", best as (select a_id, b_id, i as ri, j as rj, n as rn from runs qualify row_number() over (partition by a_id, b_id order by score desc, n desc, i, j) = 1)"
+    f", gone as (select a.a_id, a.b_id, i, {_words('line_a')} as ta, len({tok('line_a')}) as wa from a join best using (a_id, b_id) where not i between ri and ri + rn - 1 and len({tok('line_a')}) >= 6)"
+    f", come as (select b.a_id, b.b_id, j, {_words('line_b')} as tb, len({tok('line_b')}) as wb from b join best using (a_id, b_id) where not j between rj and rj + rn - 1 and len({tok('line_b')}) >= 6)"
     ", met as (select a_id, b_id, i, j, len(list_intersect(ta, tb)) as shared_words, len(ta) as na, len(tb) as nb from gone join come using (a_id, b_id) where least(wa, wb) / greatest(wa, wb) >= 0.9)"
-    ", cand as (select a_id, b_id, i, j, round(shared_words / (na + nb - shared_words), 6) as similarity from met where shared_words > 0 and round(shared_words / (na + nb - shared_words), 6) >= 0.5)"
+    ", cand as (select a_id, b_id, i, j, round(shared_words / (na + nb - shared_words), 6) as similarity from met where shared_words > 0 and round(shared_words / (na + nb - shared_words), 6) >= 0.97)"
 )
 
 
@@ -302,7 +303,7 @@ def diff_words(spark, sf_dir):
 
 @query(None)
 def revisions(spark, sf_dir):
-    return diff.revisions(diff_words(spark, sf_dir))
+    return similarity.moved_revisions(diff.revisions(diff_words(spark, sf_dir)))
 
 
 @query(None)
@@ -344,11 +345,11 @@ def turn_revisions(spark, sf_dir):
 
 @query(
     "with e as (select event_id, json_extract_string(props, '$.k') as k, lag(event_type) over w as old_type, event_type, lag(json_extract_string(props, '$.k')) over w as old_k, lag(event_id) over w as prev from events window w as (partition by user_id order by ts, event_id))"
-    " select event_id, array_to_string(list_filter([case when old_type is distinct from event_type then 'event_type' end, case when old_k is distinct from k then 'key' end], lambda x: x is not null), ',') as changed from e where prev is not null"
+    " select event_id, array_to_string(list_filter([case when old_type is distinct from event_type then 'event_type' end, case when old_k is distinct from k then 'fontSize' end], lambda x: x is not null), ',') as changed from e where prev is not null"
 )
 def prop_diff(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    props = F.map_filter(F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k")), lambda k, v: v.isNotNull())
+    props = F.map_filter(F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("sz"), F.get_json_object("props", "$.k")), lambda k, v: v.isNotNull())
     e = table(spark, sf_dir, "events").withColumn("p", props)
     e = e.withColumn("old", F.lag("p").over(w)).where(F.col("old").isNotNull())
     names = F.transform(relations.map_difference(F.col("old"), F.col("p")), T.friendly_name)
@@ -399,7 +400,8 @@ def stats_median_mad(spark, sf_dir):
 
 @query("select l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) as p10, round(quantile_cont(l_extendedprice, 0.5), 4) as p50, round(quantile_cont(l_extendedprice, 0.95), 4) as p95 from lineitem group by 1")
 def stats_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*[F.round(F.percentile("l_extendedprice", p / 100), 4).alias(f"p{p}") for p in (10, 50, 95)])
+    q = stats.percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.95])
+    return q.select("l_returnflag", *[F.round(F.col("q")[k], 4).alias(f"p{p}") for k, p in enumerate((10, 50, 95))])
 
 
 @query(
@@ -523,7 +525,10 @@ def chain_resolve(spark, sf_dir):
 def preview_runs(spark, sf_dir):
     marked = lines(docs_of(spark, sf_dir)).withColumn("is_table", F.contains("line", F.lit(" | ")))
     g = islands.group_adjacent(marked, ["doc_id"], ["line_no"], "is_table", "run")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    # of a run's lines only those that begin within the preview are gathered
+    g = islands.running_offset(g, ["doc_id", "run"], ["line_no"], F.length("line") + 1, "at")
+    head = F.collect_list(F.when(F.col("at") < 200, F.struct("line_no", F.left("line", F.lit(200)).alias("line"))))
+    text = F.array_join(F.transform(F.array_sort(head), lambda x: x["line"]), "\n")
     return g.groupBy("doc_id", "run").agg(F.bool_and("is_table").alias("is_table"), F.count("*").alias("n"), F.left(text, F.lit(200)).alias("preview"))
 
 
@@ -537,3 +542,6 @@ def revenue_by_nation(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
     joined = li.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+from palimpsest.plans import inventory  # noqa: E402, F401  (registers its queries)

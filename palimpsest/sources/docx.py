@@ -13,7 +13,13 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+# The namespaces of the two forms of the format, and the relationship types of the main part.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+STRICT = "{http://purl.oclc.org/ooxml/wordprocessingml/main}"
+MAIN_TYPES = ["http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument", "http://purl.oclc.org/ooxml/officeDocument/relationships/officeDocument"]
+RELATIONSHIP = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
+BROKEN = "!broken"  # the part name of a file that is no package
+
 PARTS = "path string, part_name string, bytes binary"
 PARAGRAPHS = "path string, para_no int, text string, accepted string, rejected string, mark_deleted boolean, mark_inserted boolean"
 GONE, COME = {"del", "moveFrom"}, {"ins", "moveTo"}
@@ -25,6 +31,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 package = zipfile.ZipFile(io.BytesIO(content))
             except zipfile.BadZipFile:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([BROKEN]), pa.array([None], pa.binary())], names=["path", "part_name", "bytes"])
                 continue
             names = [n for n in package.namelist() if not n.endswith("/")]
             yield pa.RecordBatch.from_arrays(
@@ -34,7 +41,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, part_name, bytes) of every part of the packages below path; files that are no packages give nothing."""
+    """(path, part_name, bytes) of every part of the packages below path; a file that is no package gives one row, BROKEN."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path)
     return files.select("path", "content").mapInArrow(_parts, PARTS)
 
@@ -53,7 +60,7 @@ def _read(p: ElementTree.Element) -> tuple[str, str, str]:
                 accepted.append(piece)
             if not come:
                 rejected.append(piece)
-        if name != "pPr":
+        if name not in ("pPr", "txbxContent"):  # a text box's paragraphs are paragraphs of their own
             for child in e:
                 walk(child, gone, come)
 
@@ -69,7 +76,11 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 root = ElementTree.fromstring(content)
             except ElementTree.ParseError:
+                out.append((path, -1, None, None, None, None, None))
                 continue
+            for e in root.iter():
+                if e.tag.startswith(STRICT):
+                    e.tag = WORD + e.tag.removeprefix(STRICT)
             for k, p in enumerate(root.iter(f"{WORD}p")):
                 mark = p.find(f"{WORD}pPr/{WORD}rPr")
                 has = lambda name: mark is not None and mark.find(WORD + name) is not None  # noqa: B023, E731
@@ -79,9 +90,43 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["path", "para_no", "text", "accepted", "rejected", "mark_deleted", "mark_inserted"])
 
 
+def _relationships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for path, name, content in zip(*(c.to_pylist() for c in batch.columns)):
+            folder, _, file = name.rpartition("/_rels/")
+            source = f"{folder}/{file.removesuffix('.rels')}" if file != ".rels" else "/"
+            try:
+                rows = list(ElementTree.fromstring(content).iter(RELATIONSHIP))
+            except ElementTree.ParseError:
+                continue
+            out += [(path, source, r.get("Id"), r.get("Type"), r.get("Target"), r.get("TargetMode", "Internal")) for r in rows]
+        cols = list(zip(*out)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["path", "source_part", "rid", "rel_type", "target", "target_mode"])
+
+
+def read_relationships(parts: DataFrame) -> DataFrame:
+    """(path, source_part, rid, rel_type, target, target_mode, target_part) of parts' relationship files; '/' is the package."""
+    from pyspark.sql import functions as F
+
+    from palimpsest.operators.packages import resolved_target
+
+    rows = parts.where(F.endswith("part_name", F.lit(".rels"))).mapInArrow(_relationships, "path string, source_part string, rid string, rel_type string, target string, target_mode string")
+    inside = F.concat(F.lit("/"), resolved_target(F.col("source_part"), F.col("target")))
+    return rows.withColumn("target_part", F.when(F.col("target_mode") == "Internal", inside))
+
+
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """Paragraphs of the main text: as stored, with revisions accepted, with revisions rejected, and their marks' state."""
-    return read_parts(spark, path).where("part_name = '/word/document.xml'").mapInArrow(_paragraphs, PARAGRAPHS)
+    """Paragraphs of the main text: as stored, with revisions accepted, with revisions rejected, and their marks' state.
+
+    The main part is the one that the package's relationships name; a part that is no XML gives one row, numbered -1.
+    """
+    from pyspark.sql import functions as F
+
+    parts = read_parts(spark, path)
+    main = read_relationships(parts).where((F.col("source_part") == "/") & F.col("rel_type").isin(MAIN_TYPES)).select("path", F.col("target_part").alias("part_name"))
+    usual = parts.select("path").distinct().join(main, "path", "left_anti").select("path", F.lit("/word/document.xml").alias("part_name"))
+    return parts.join(main.union(usual), ["path", "part_name"], "left_semi").mapInArrow(_paragraphs, PARAGRAPHS)
 
 
 def resolved_text(paragraphs: DataFrame, accept: bool) -> DataFrame:

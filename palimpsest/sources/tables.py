@@ -20,20 +20,15 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
     return lines(docs).select("doc_id", "line_no", "line", F.sha1("line").alias("h"))
 
 
-def rare_line_pairs(hashed: DataFrame, most: int = 20) -> DataFrame:
-    """(a_id, b_id, shared): documents that share a line which 2 to `most` documents hold.
+def first_holder_pairs(hashed: DataFrame) -> DataFrame:
+    """(a_id, b_id, shared): every document and the first holder of each line that it shares with an earlier one.
 
-    A line's documents are at most `most` by definition, so pairs grow with the number of lines; the bound is what
-    makes a line rare, not a limit on the partners of a document.
+    However many documents hold a line, each of them meets its first holder alone, so there are no more pairs than
+    lines, no line is too common to count, and none makes pairs of all its holders.
     """
     holders = hashed.select("h", "doc_id").distinct()
-    rare = holders.groupBy("h").agg(F.count("*").alias("n")).where((F.col("n") >= 2) & (F.col("n") <= most)).select("h")
-    rare = holders.join(rare, "h", "left_semi")
-    # each holder meets only those after it
-    return (
-        rare.alias("a").join(rare.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-        .groupBy(F.col("a.doc_id").alias("a_id"), F.col("b.doc_id").alias("b_id")).agg(F.count("*").alias("shared"))
-    )
+    first = holders.groupBy("h").agg(F.min("doc_id").alias("a_id"), F.count("*").alias("n")).where("n > 1").select("h", "a_id")
+    return holders.join(first, "h").where("doc_id > a_id").groupBy("a_id", F.col("doc_id").alias("b_id")).agg(F.count("*").alias("shared"))
 
 
 def neighbour_pairs(docs: DataFrame) -> DataFrame:

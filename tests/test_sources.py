@@ -18,13 +18,29 @@ def test_docx(spark, tmp_path):
     gone = "<w:p><w:pPr><w:rPr><w:del/></w:rPr></w:pPr>" + run("one ") + "<w:del><w:r><w:delText>old</w:delText></w:r></w:del><w:ins>" + run("new") + "</w:ins></w:p>"
     package(tmp_path / "a.docx", gone + f"<w:p>{run(' two')}</w:p><w:p><w:moveTo>{run('moved')}</w:moveTo></w:p>")
     (tmp_path / "b.docx").write_bytes(b"no package")
-    assert {r["part_name"] for r in docx.read_parts(spark, str(tmp_path)).collect()} == {"/word/document.xml", "/[Content_Types].xml"}
+    assert {r["part_name"] for r in docx.read_parts(spark, str(tmp_path)).collect()} == {"/word/document.xml", "/[Content_Types].xml", docx.BROKEN}
     p = docx.read_paragraphs(spark, str(tmp_path))
     text = lambda accept: [r["text"] for r in docx.resolved_text(p, accept).orderBy("para_no").collect()]
     assert text(True) == ["one new two", "moved"]
     assert text(False) == ["one old", " two", ""]
 
 
+def test_docx_strict_names_main_part_and_text_boxes(spark, tmp_path):
+    strict = NS.replace("http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://purl.oclc.org/ooxml/wordprocessingml/main")
+    rels = "<Relationships xmlns='http://schemas.openxmlformats.org/package/2006/relationships'><Relationship Id='r1' Type='{}' Target='{}'/></Relationships>"
+    box = "<w:p><w:r><w:t>outer</w:t></w:r><w:r><w:pict><w:txbxContent><w:p><w:r><w:t>inner</w:t></w:r></w:p></w:txbxContent></w:pict></w:r></w:p>"
+    with zipfile.ZipFile(tmp_path / "s.docx", "w") as z:
+        z.writestr("_rels/.rels", rels.format(docx.MAIN_TYPES[1], "word/../main/doc2.xml"))
+        z.writestr("main/doc2.xml", f"<w:document {strict}><w:body>{box}</w:body></w:document>")
+        z.writestr("main/_rels/doc2.xml.rels", rels.format("image", "../media/i.png"))
+    with zipfile.ZipFile(tmp_path / "x.docx", "w") as z:
+        z.writestr("word/document.xml", "<no xml")
+    rows = docx.read_paragraphs(spark, str(tmp_path)).orderBy("path", "para_no").collect()
+    assert [(r["path"][-6:], r["para_no"], r["text"]) for r in rows] == [("s.docx", 0, "outer"), ("s.docx", 1, "inner"), ("x.docx", -1, None)]
+    found = docx.read_relationships(docx.read_parts(spark, str(tmp_path))).collect()
+    assert {(r["source_part"], r["target_part"]) for r in found} == {("/", "/main/doc2.xml"), ("/main/doc2.xml", "/media/i.png")}
+
+
 def test_ledgers(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("pair\tscore\na\t1.5\nb\t2\n")
     (tmp_path / "a.csv").write_text("a,1.5\nb,2\n")
