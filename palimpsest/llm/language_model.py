@@ -2,8 +2,9 @@
 
 Word counts of all training texts are gathered by Spark. The most frequent words (VOCABULARY of them, the end mark
 included) are the model's own; they are dealt to classes of equal size by rank. All other words belong to classes
-by their last two characters (TAILS of them, and one for the rest). The model gives P(class | history), and P(word |
-class, history) for its own words; within the other classes words have add-one unigram shares.
+by their last two characters (TAILS of them, and one for the rest). The model gives P(own class or other | history),
+P(word | class, history) for its own words and P(tail class | other, history); within a tail class words have
+add-one unigram shares.
 
 Training covers every training text once, in two rounds: each task trains a replica from the round's common start
 by truncated backpropagation over windows of STEPS words in LANES texts side by side; replicas are averaged,
@@ -33,7 +34,8 @@ LANES = 512
 SCORE_LANES = 1024
 LONGEST_WINDOW = 256
 TEXT_BYTES = 7 << 20
-HOT = 1 << 16
+HOT = 1 << 18
+MERGE = 1_500_000
 FAN = 16
 RATE = 0.08
 BLOCK = 256
@@ -41,7 +43,8 @@ FIRST_ROUND = 8
 LARGE = 60.0
 END = "\n"  # never part of a word
 
-CLASSES = VOCABULARY // CLASS_WORDS + TAILS + 1
+OWN = VOCABULARY // CLASS_WORDS
+CLASSES = OWN + TAILS + 1
 INPUTS = VOCABULARY + TAILS + 1
 
 
@@ -64,7 +67,7 @@ def _exponents(logits: np.ndarray, aims: np.ndarray, far: bool) -> tuple[np.ndar
 class Model:
     """A GRU over words and classes. Inputs are rows of gate-sized embeddings; all weights are 32-bit."""
 
-    NAMES = ("embed", "recur", "gate_bias", "class_w", "class_b", "word_w", "word_b")
+    NAMES = ("embed", "recur", "gate_bias", "class_w", "class_b", "tail_w", "tail_b", "word_w", "word_b")
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
@@ -75,7 +78,9 @@ class Model:
         rng = np.random.default_rng(1)
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         w = {"embed": small(INPUTS, 3 * HIDDEN), "recur": small(HIDDEN, 3 * HIDDEN), "gate_bias": np.zeros(3 * HIDDEN, np.float32)}
-        w |= {"class_w": small(HIDDEN, CLASSES), "class_b": np.log(class_mass + 0.5).astype(np.float32)}
+        top = np.append(class_mass[:OWN], class_mass[OWN:].sum())
+        w |= {"class_w": small(HIDDEN, OWN + 1), "class_b": np.log(top + 0.5).astype(np.float32)}
+        w |= {"tail_w": small(HIDDEN, TAILS + 1), "tail_b": np.log(class_mass[OWN:] + 0.5).astype(np.float32)}
         w |= {"word_w": small(VOCABULARY // CLASS_WORDS, HIDDEN, CLASS_WORDS), "word_b": np.log(word_mass + 0.1).astype(np.float32).reshape(-1, CLASS_WORDS)}
         return Model(w)
 
@@ -123,27 +128,31 @@ class Model:
     def outputs(self, h: np.ndarray, kinds: np.ndarray, words: np.ndarray, learn: bool) -> tuple[np.ndarray, dict | None]:
         """Natural log-probabilities of the targets after states h; kinds: their classes, words: their own ids or -1."""
         w, n = self.w, HIDDEN
-        class_w = np.concatenate((w["class_w"], w["class_b"][None]))
+        full = {"class": np.concatenate((w["class_w"], w["class_b"][None])), "tail": np.concatenate((w["tail_w"], w["tail_b"][None]))}
         word_w = np.concatenate((w["word_w"], w["word_b"][:, None]), axis=1)
         # states lie between -1 and 1, so the weights bound the logits
-        far = bool(np.abs(class_w).sum(axis=0).max() > LARGE or np.abs(word_w).sum(axis=1).max() > LARGE)
+        far = bool(max(np.abs(x).sum(axis=-2).max() for x in (*full.values(), word_w)) > LARGE)
         ones = _with_one(h)
-        logp = np.empty(len(h))
-        grads = {"class": np.zeros_like(class_w), "word": np.zeros_like(word_w), "h": np.empty_like(h)} if learn else None
-        block = np.empty((min(len(h), BLOCK), CLASSES), h.dtype)
-        for i in range(0, len(h), BLOCK):
-            g, aims = ones[i : i + BLOCK], kinds[i : i + BLOCK]
-            p = np.matmul(g, class_w, out=block[: len(g)])
-            aim, total = _exponents(p, aims, far)
-            logp[i : i + BLOCK] = aim - np.log(total)
-            if learn:  # the sums divide the narrow side of each product
-                p.ravel()[np.arange(len(g)) * CLASSES + aims] -= total
-                share = (1 / total)[:, None]
-                grads["class"] += (g * share).T @ p
-                np.multiply(p @ w["class_w"].T, share, out=grads["h"][i : i + BLOCK])
+        logp = np.zeros(len(h))
+        grads = {"class": np.zeros_like(full["class"]), "tail": np.zeros_like(full["tail"]), "word": np.zeros_like(word_w), "h": np.zeros_like(h)} if learn else None
+        rare = np.flatnonzero(kinds >= OWN)
+        for name, rows, aims in (("class", None, np.minimum(kinds, OWN)), ("tail", rare, kinds[rare] - OWN)):
+            width = full[name].shape[1]
+            block = np.empty((min(len(aims), BLOCK), width), h.dtype)
+            for i in range(0, len(aims), BLOCK):
+                at, aim_at = slice(i, i + BLOCK) if rows is None else rows[i : i + BLOCK], aims[i : i + BLOCK]
+                g = ones[at]
+                p = np.matmul(g, full[name], out=block[: len(g)])
+                aim, total = _exponents(p, aim_at, far)
+                logp[at] += aim - np.log(total)
+                if learn:  # the sums divide the narrow side of each product
+                    p.ravel()[np.arange(len(g)) * width + aim_at] -= total
+                    share = (1 / total)[:, None]
+                    grads[name] += (g * share).T @ p
+                    grads["h"][at] += (p @ w[f"{name}_w"].T) * share
         own = np.flatnonzero(words >= 0)
         own = own[np.argsort(kinds[own].astype(np.int16), kind="stable")]
-        starts = np.searchsorted(kinds[own], np.arange(VOCABULARY // CLASS_WORDS + 1))
+        starts = np.searchsorted(kinds[own], np.arange(OWN + 1))
         present, first = np.flatnonzero(np.diff(starts)), 0
         while first < len(present):  # some classes at a time, of about BLOCK words or one
             last = max(first + 1, int(np.searchsorted(starts[present + 1], starts[present[first]] + BLOCK, side="right")))
@@ -168,7 +177,7 @@ class Model:
             first = last
         if not learn:
             return logp, None
-        return logp, {"class_w": grads["class"][:-1], "class_b": grads["class"][-1], "word_w": grads["word"][:, :-1], "word_b": grads["word"][:, -1], "h": grads["h"]}
+        return logp, {"class_w": grads["class"][:-1], "class_b": grads["class"][-1], "tail_w": grads["tail"][:-1], "tail_b": grads["tail"][-1], "word_w": grads["word"][:, :-1], "word_b": grads["word"][:, -1], "h": grads["h"]}
 
     def backward(self, inputs: np.ndarray, tape: tuple, into: np.ndarray, live: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of a window: into holds those of the states; the start state is not followed further back."""
@@ -242,7 +251,7 @@ class Lexicon:
         self.n, self.v = n, v
         own = [w for w, _ in hot if w != END][: VOCABULARY - 1]
         self.own = {END: 0} | {w: i + 1 for i, w in enumerate(own)}
-        self.count = dict(hot)
+        self.end_count = next((c for w, c in hot if w == END), 0)
         self.words = pa.array([w for w, _ in hot], pa.large_string())
         self.hot_id = np.array([self.own.get(w, -1) for w, _ in hot], np.int64)
         self.hot_count = np.array([c for _, c in hot], np.int64)
@@ -253,10 +262,11 @@ class Lexicon:
             mass[min(i, TAILS)] += c
             kinds[min(i, TAILS)] += k
         self.tail_total = mass + kinds + 1  # add one for each word, and for any unseen one
-        self.first_tail = VOCABULARY // CLASS_WORDS
+        self.first_tail = OWN
         word_mass = np.zeros(VOCABULARY)
-        for w, i in self.own.items():
-            word_mass[i] = self.count.get(w, 0)
+        for w, c in hot:
+            if w in self.own:
+                word_mass[self.own[w]] = c
         self.word_mass = word_mass
         self.class_mass = np.concatenate((word_mass.reshape(-1, CLASS_WORDS).sum(axis=1), mass))
 
@@ -314,7 +324,7 @@ def _tokens(col: pa.Array, lex: Lexicon):
     own, kind, count = lex.number(flat)
     ends = offsets[1:]
     own, kind = np.insert(own, ends, 0), np.insert(kind, ends, 0)
-    count = np.insert(count, ends, lex.count.get(END, 0))
+    count = np.insert(count, ends, lex.end_count)
     own, kind, count = own.astype(np.int32), kind.astype(np.int32), count.astype(np.int64)
     code = np.where(own >= 0, own, VOCABULARY + kind - lex.first_tail).astype(np.int32)
     lengths = np.diff(offsets) + 1
@@ -367,12 +377,25 @@ def averaged(replicas: DataFrame, fallback: bytes) -> bytes:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, c): a task's counts, put together again whenever MERGE rows have come together."""
+    kept: list[pa.Table] = []
+
+    def merged() -> pa.Table:
+        return pa.concat_tables(kept).combine_chunks().group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
     for _, col in text_chunks(batches, max_bytes=TEXT_BYTES):
         flat, offsets = split_words(col, lower=True)
         coded = flat.dictionary_encode()
         n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
         words = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([END])])
-        yield pa.RecordBatch.from_arrays([words, pa.array(np.append(n, len(offsets) - 1))], names=["word", "c"])
+        kept.append(pa.table({"word": words, "c": pa.array(np.append(n, len(offsets) - 1))}))
+        if sum(map(len, kept)) > MERGE:
+            kept = [merged()]
+            if len(kept[0]) > MERGE // 2:  # mostly words that occur once
+                yield from kept[0].select(["word", "c"]).to_batches()
+                kept = []
+    if kept:
+        yield from merged().select(["word", "c"]).to_batches()
 
 
 def _hottest(counts: DataFrame) -> list[tuple[str, int]]:

@@ -2,7 +2,8 @@
 
 Pieces are dealt to shards of about SHARD pieces by a hash. Each shard is packed by ISLANDS islands, every one with
 a population of packings. Crossover puts whole well-filled bins of one parent into the other, takes out the bins
-that hold a piece twice, and best-fits the displaced pieces, longest first. After each epoch the islands' best
+that hold a piece twice, lets bins with room exchange a piece for a larger one or two of the displaced ones, and
+best-fits the rest, longest first; an island stops at the least number of bins possible. After each epoch the islands' best
 packings move to the next island of the shard. What the shards' least-filled bins hold is dealt anew and packed
 once more, so that the rest of a shard does not stay unfilled.
 """
@@ -25,8 +26,10 @@ END_ID = 0
 SHARD = 4000
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 4
+POPULATION = 6
+GENERATIONS = 20
+PATIENCE = 4  # generations without a better packing
+EXCHANGES = 200  # bins of a child that take part
 WELL_FILLED = 0.995
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -142,25 +145,75 @@ def crossover(mother: np.ndarray, father: np.ndarray, length: np.ndarray, capaci
             for held in np.split(items, np.flatnonzero(np.diff(labels[items])) + 1):
                 p.add(held.tolist(), capacity - int(length[held].sum()))
     displaced = np.flatnonzero(~stays & ~inside)
-    for item in displaced[np.argsort(-length[displaced], kind="stable")].tolist():
+    for item in _exchanged(p, displaced, rng):
         p.best_fit(item)
     return p.labels()
 
 
+def _exchanged(p: Packing, loose: np.ndarray, rng: np.random.Generator) -> list[int]:
+    """Loose pieces, longest first, after some bins with room took one or two of them for a shorter one of theirs.
+
+    A bin gets the largest sum that fits where one of its pieces was, so that bins fill up and what is left over gets
+    shorter, which is easier to place.
+    """
+    loose = loose[np.argsort(p.length[loose], kind="stable")].tolist()
+    with_room = [b for b, r in p.room.items() if r]
+    for b in rng.permutation(len(with_room))[:EXCHANGES].tolist():
+        b = with_room[b]
+        if not loose:
+            break
+        size = p.length[loose]
+        best = None
+        for item in p.held[b]:
+            n = int(p.length[item])
+            room = p.room[b] + n
+            one = int(np.searchsorted(size, room, side="right")) - 1
+            if one >= 0 and size[one] > n and (best is None or size[one] - n > best[0]):
+                best = (int(size[one]) - n, item, [one])
+            two = np.searchsorted(size, room - size, side="right") - 1
+            two = np.where(two == np.arange(len(size)), two - 1, two)
+            total = np.where(two >= 0, size + size[two], 0)
+            top = int(total.argmax())
+            if total[top] > n and (best is None or total[top] - n > best[0]):
+                best = (int(total[top]) - n, item, [top, int(two[top])])
+        if best is None:
+            continue
+        gain, item, places = best
+        held = p.remove(b)
+        room = p.capacity - int(p.length[held].sum()) - gain
+        p.add([x for x in held if x != item] + [loose[k] for k in places], room)
+        for k in sorted(places, reverse=True):
+            del loose[k]
+        loose.insert(int(np.searchsorted(p.length[loose], p.length[item])) if loose else 0, item)
+    return loose[::-1]
+
+
+def least_bins(length: np.ndarray, capacity: int) -> int:
+    """A bound that no packing beats: for every size, long pieces need bins of their own, whose room the middling ones fill."""
+    x = np.sort(np.asarray(length, np.int64))
+    upto = np.concatenate(([0], np.cumsum(x)))
+    half = int(np.searchsorted(x, capacity / 2, side="right"))
+    sizes = np.concatenate(([0], np.unique(x[:half])))
+    low, high = np.searchsorted(x, sizes, side="left"), np.searchsorted(x, capacity - sizes, side="right")
+    alone = (high - half) * capacity - (upto[high] - upto[half])
+    rest = upto[half] - upto[low] - alone
+    return int((len(x) - half + np.maximum(-(-rest // capacity), 0)).max())
+
+
 def evolve(length: np.ndarray, capacity: int, seed: int, arrived: list[np.ndarray]) -> list[np.ndarray]:
     """One island's epoch: its population, best first."""
     rng = np.random.default_rng(seed)
     people = arrived + [_fresh(length, capacity, rng, 0.0 if i == 0 and not arrived else 0.15) for i in range(POPULATION - len(arrived))]
     rank = lambda x: fitness(x, length, capacity)
-    least = -(-int(length.sum()) // capacity)
+    least, still, best = least_bins(length, capacity), 0, None
+    people.sort(key=rank, reverse=True)
     for _ in range(GENERATIONS):
-        people.sort(key=rank, reverse=True)
-        if -rank(people[0])[0] <= least:
+        if -rank(people[0])[0] <= least or still >= PATIENCE:
             break
-        for child in [crossover(people[0], people[i], length, capacity, rng) for i in range(1, len(people))]:
-            people.append(child)
-        people = sorted(people, key=rank, reverse=True)[:POPULATION]
-    return sorted(people, key=rank, reverse=True)
+        children = [crossover(*(people[k] for k in rng.choice(len(people), 2, replace=False)), length, capacity, rng) for _ in range(POPULATION - 1)]
+        people = sorted(people + children, key=rank, reverse=True)[:POPULATION]
+        still, best = (still + 1, best) if rank(people[0]) == best else (0, rank(people[0]))
+    return people
 
 
 def _epoch(capacity: int, epoch: int, last: bool):

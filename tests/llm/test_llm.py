@@ -614,6 +614,29 @@ def test_packing(spark):
     assert packing.pack(packing.cut_pieces(docs_of(spark, []))).count() == 0
 
 
+def test_genetic_packing_beats_best_fit():
+    rng = np.random.default_rng(5)
+    lengths = []
+    for _ in range(40):  # forty full bins of three pieces, which best-fit breaks up
+        a = int(rng.integers(780, 1000))
+        b = int(rng.integers(513, (2048 - a) // 2 + 1))
+        lengths += [a, b, 2048 - a - b]
+    length = np.sort(lengths)[::-1].copy()
+    plain = packing._fresh(length, 2048, rng, 0.0)
+    best = packing.evolve(length, 2048, 7, [])[0]
+    assert np.bincount(best, weights=length).max() <= 2048 and len(best) == 120
+    assert plain.max() + 1 >= 45 and best.max() + 1 <= 42
+
+
+def test_least_bins():
+    rng = random.Random(6)
+    assert packing.least_bins(np.array([], np.int64), 10) == 0 and packing.least_bins(np.array([6, 6, 6]), 10) == 3
+    for _ in range(60):
+        x = [rng.randint(1, 10) for _ in range(rng.randint(1, 7))]
+        bins = lambda left, room: 0 if not left else min([1 + bins(left[1:], [*room, 10 - left[0]])] + [bins(left[1:], room[:k] + [r - left[0]] + room[k + 1 :]) for k, r in enumerate(room) if r >= left[0]])  # noqa: B023, E731
+        assert packing.least_bins(np.array(x), 10) <= bins(x, [])
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(4)
     length = rng.integers(1, 900, 300)
