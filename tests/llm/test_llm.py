@@ -381,10 +381,33 @@ THIS SOFTWARE""",
 )
 
 
+def gnu(kind, what, version, later, stop=";"):
+    end = f"either version {version} of the License, or\n(at your option) any later version." if later else f"version {version} of the License."
+    return f"This {what} is free software{stop} you can redistribute it and/or modify\nit under the terms of the {kind} as published by\nthe Free Software Foundation, {end}\n\nIt is distributed in the hope that it will be useful.\n"
+
+
+GPL, LGPL, AGPL = "GNU General Public License", "GNU Lesser General Public\nLicense", "GNU Affero General Public License"
+ORIGINALS |= {
+    "GPL-2.0-only": gnu(GPL, "program", "2", False), "LGPL-2.1-only": gnu(LGPL, "library", "2.1", False), "LGPL-2.1-or-later": gnu(LGPL, "library", "2.1", True),
+    "LGPL-3.0-only": gnu(LGPL, "library", "3", False, ":"), "LGPL-3.0-or-later": gnu(LGPL, "library", "3", True, ":"),
+    "AGPL-3.0-only": gnu(AGPL, "program", "3", False, ":"), "AGPL-3.0-or-later": gnu(AGPL, "program", "3", True, ":"),
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n",
+    "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n\nSPDX-License-Identifier: EPL-2.0\n",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software.\n",
+    "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented.\n",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the \"Software\") to use, reproduce, display, distribute,\nexecute, and transmit the Software, and to prepare derivative works of the\nSoftware, and to permit third-parties to whom the Software is furnished to\ndo so, all subject to the following:\n",
+    "BSD-4-Clause": ORIGINALS["BSD-2-Clause"].replace("THIS SOFTWARE", "3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n   This product includes software developed by the University.\n\nTHIS SOFTWARE"),
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons\nAttribution-NoDerivatives 4.0 International License.\n", "CC-BY-NC-SA-4.0": "// SPDX-License-Identifier: CC-BY-NC-SA-4.0\n",
+    "CC-BY-NC-ND-4.0": "# SPDX-License-Identifier: CC-BY-NC-ND-4.0\n",
+}
+
+
 def test_licenses_in_their_original_wrapped_texts(spark):
     assert set(ORIGINALS) == {name for name, _ in licenses.RULES}
     gpl3, gpl2, bsd = ORIGINALS["GPL-3.0-or-later"], ORIGINALS["GPL-2.0-or-later"], ORIGINALS["BSD-3-Clause"]
     more = [("GPL-3.0-or-later", gpl3.replace("Foundation,", "Foundation;")), ("GPL-2.0-or-later", gpl2.replace("Foundation;", "Foundation,")), ("BSD-3-Clause", re.sub(r"(\d)\. ", r"\1) ", bsd)), ("BSD-3-Clause", re.sub(r"\d\. ", "* ", bsd))]
+    more += [("BSD-3-Clause", bsd.replace("the copyright holder nor", "the University of Somewhere nor")), ("BSD-2-Clause", ORIGINALS["BSD-2-Clause"].replace("2. Redist", "An unknown sentence. Another one.\n\n2. Redist"))]
+    more += [("GPL-3.0-only", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007"), ("", "the licence of permission, free software")]
     cases = [*ORIGINALS.items(), *more]
     got = [r["licenses"] for r in licenses.scan_licenses(docs_of(spark, [t for _, t in cases])).orderBy("doc_id").collect()]
     assert got == [n for n, _ in cases]
