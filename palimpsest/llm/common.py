@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 3 << 20
 MOST_BITS = 1 << 27
+PART_ROWS = 10_000
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 4000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -23,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The shared folder that the cluster names; in local mode, where none is set, one of this machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = spark.conf.get("palimpsest.scratch.dir", None)
         if base is None:
             base = tempfile.mkdtemp(prefix="palimpsest-")
@@ -40,12 +45,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true", BATCH: str(BATCH_ROWS)}  # rows go to Python in batches of a few megabytes
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_path = path
     return back
@@ -58,6 +66,15 @@ def drop_stored(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Hands memory that a worker no longer uses back to the system: workers of several stages live side by side."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not on every platform
+        pass
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of about max_bytes of text (at least a row, never part of one), with the text column; null is empty."""
     for batch in batches:
@@ -71,6 +88,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", max_byt
         for a, b in zip(cuts, cuts[1:]):
             # a copy: kernels go wrong on casts of slices
             yield batch.slice(a, b - a), pc.fill_null(pa.concat_arrays([col.slice(a, b - a)]).cast(pa.large_string()), "")
+        give_back()
 
 
 def split_words(col: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
@@ -173,6 +191,25 @@ def prune_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).withColumn("__slot", slot).mapInArrow(kept, schema)
 
 
+def join_by_parts(rows: DataFrame, counts: DataFrame, key: list[str], spread: list[str]) -> DataFrame:
+    """rows joined with counts (key, n: how many rows have a key; written), without a task for all rows of a frequent key.
+
+    Keys of over a thousandth of all rows, of which there are a thousand at most, are dealt by a hash of the columns
+    `spread` to as many parts as they need.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(PART_ROWS, total // 1000)
+    hot = counts.where(F.col("n") > limit).select(*key, F.ceil(F.col("n") / limit).cast("int").alias("__parts"))
+    found = [tuple(r) for r in hot.collect()]
+    if not found:
+        return rows.join(counts, key)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))  # a thousand rows at most
+    parts = F.coalesce("__parts", F.lit(1))
+    rows = rows.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*spread), parts).cast("int")).drop("__parts")
+    copies = counts.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return rows.join(copies, [*key, "__part"]).drop("__part")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) for each end of edges(a, b): component is the smallest id reachable, itself included.
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_size, components, drop_stored, in_bitmap, list_array, mix64, prune_by_ids, slot_bitmap, sorted_unique, split_words, stored, table, text_chunks, window_starts, word_hashes
+from .common import bitmap_size, components, drop_stored, give_back, in_bitmap, list_array, mix64, prune_by_ids, slot_bitmap, sorted_unique, split_words, stored, table, text_chunks, window_starts, word_hashes
 
 GROUP = 64
 PART = 512
@@ -219,6 +219,7 @@ def _count(group: pa.Table) -> pa.Table:
         out["ranks"].append(ranks[a:b][k].tobytes())
         out["sent"].append(sent[a:b][k].tobytes())
         out["owners"].append(owners[upto[a] : upto[b]][keep_owner[upto[a] : upto[b]]].tobytes())
+    give_back()
     return pa.table({"chunk": group["chunk"]} | {k: pa.array(x, pa.binary()) for k, x in out.items()} | {k: group[k] for k in names(HEAD)})
 
 
@@ -364,6 +365,7 @@ def _search(num: int, den: int):
             cuts = _group_cuts(now)
             rest = now.slice(cuts[-2])
             yield _compared(now.slice(0, cuts[-2]), cuts[:-1], num, den)
+            give_back()
         if rest is not None and rest.num_rows:
             yield _compared(rest, [0, rest.num_rows], num, den)
 

@@ -13,11 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, list_array, prune_by_ids, rolling, sorted_unique, split_words, stored, table, text_chunks, window_starts, word_hashes
+from .common import drop_stored, join_by_parts, list_array, prune_by_ids, rolling, sorted_unique, split_words, stored, table, text_chunks, window_starts, word_hashes
 
 WINDOW = 35
 ANCHOR = 8
@@ -35,9 +34,18 @@ def _anchor_of(words: np.ndarray, starts: np.ndarray, window: int, anchor: int)
     """For each window start, the word position of its anchor."""
     if not len(starts):
         return starts
-    runs = rolling(words, anchor, BASES[1])
-    span = window - anchor + 1
-    return starts + sliding_window_view(runs, span)[starts].argmin(axis=1)
+    return _first_least(rolling(words, anchor, BASES[1]), window - anchor + 1)[starts]
+
+
+def _first_least(x: np.ndarray, span: int) -> np.ndarray:
+    """The place of the first smallest value in each stretch of span values, by stretches of doubling width."""
+    at, width = np.arange(len(x), dtype=np.int32), 1
+    better = lambda a, b: np.where(x[b] < x[a], b, a)
+    while 2 * width <= span:
+        at = better(at[:-width], at[width:])
+        width *= 2
+    rest = span - width
+    return (better(at[: len(at) - rest], at[rest:]) if rest else at).astype(np.int64)
 
 
 def _joined(flat: pa.Array, offsets: np.ndarray) -> list[str]:
@@ -135,28 +143,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"), _text_key(F.col("text")).alias("text_key")).where(F.col("doc_id").isNotNull())
     scan = stored(src.mapInArrow(_scan(window, anchor), "doc_id long, n_words long, sha string, anchors array<long>, text_key long"), "substring-scan")
-    classes = scan.groupBy("sha").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("copies"))
-    copied = stored(
-        scan.select(*KEY, "sha", "n_words").join(classes.select("sha", "copies"), "sha").where(f"copies > 1 and n_words >= {window}").select(*KEY),
-        "substring-copied",
-    )
-    first = classes.where("copies > 1").select("first.*")
+    classes = stored(scan.where(f"n_words >= {window}").groupBy("sha").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("n")).where("n > 1"), "substring-classes")
+    copied = stored(join_by_parts(scan.select(*KEY, "sha"), classes.select("sha", "n"), ["sha"], KEY).select(*KEY), "substring-copied")
+    first = classes.select("first.*")
     # of texts with the same words, all but the first are settled and take no further part
     rest = scan.select(*KEY, "anchors").join(copied.join(first, KEY, "left_anti"), KEY, "left_anti")
     occurrences = stored(rest.select(*KEY, F.posexplode("anchors").alias("pos", "h")), "substring-anchors")
-    repeated = occurrences.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = stored(
-        occurrences.join(repeated, "h").groupBy(*KEY).agg(F.collect_set("pos").alias("wanted")), "substring-wanted"
-    )
-    drop_stored(occurrences)
+    repeated = stored(occurrences.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "substring-repeated")
+    wanted = stored(join_by_parts(occurrences, repeated, ["h"], [*KEY, "pos"]).groupBy(*KEY).agg(F.collect_set("pos").alias("wanted")), "substring-wanted")
+    drop_stored(occurrences, repeated)
     near = prune_by_ids(src, wanted.select("doc_id"), "doc_id").join(wanted, KEY).select("doc_id", "text", "wanted", "text_key")
     windows = stored(near.mapInArrow(_windows(window, anchor), "h1 long, h2 long, doc_id long, pos int, text_key long"), "substring-windows")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    twice = stored(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "substring-twice")
     starts = stored(
-        windows.join(twice, ["h1", "h2"]).join(copied, KEY, "left_anti").groupBy(*KEY).agg(F.collect_list("pos").alias("starts")),
+        join_by_parts(windows, twice, ["h1", "h2"], [*KEY, "pos"]).join(copied, KEY, "left_anti").groupBy(*KEY).agg(F.collect_list("pos").alias("starts")),
         "substring-starts",
     )
-    drop_stored(windows, wanted)
+    drop_stored(windows, wanted, twice)
     hit = prune_by_ids(src, starts.select("doc_id"), "doc_id").join(starts, KEY).select("doc_id", "text", "starts", "text_key")
     cut = stored(hit.mapInArrow(_cut(window), "doc_id long, n_removed long, kept_sha256 string, kept_text string, text_key long"), "substring-cut")
     once = copied.distinct()

@@ -427,6 +427,13 @@ def cut_by_force(texts, n):
     return out
 
 
+def test_first_least():
+    rng = np.random.default_rng(2)
+    for span in (1, 2, 3, 7, 8, 28):
+        x = rng.integers(0, 9, 60).astype(np.uint64)
+        assert substring_dedup._first_least(x, span).tolist() == [i + int(x[i : i + span].argmin()) for i in range(61 - span)]
+
+
 @pytest.mark.parametrize("window", [35, 12])
 def test_substring_dedup(spark, window):
     summary, cut = substring_dedup.remove_repeats(docs_of(spark, TEXTS), window)
@@ -437,6 +444,12 @@ def test_substring_dedup(spark, window):
     assert all(hashlib.sha256(t.encode()).hexdigest() == want[i][2] for i, t in texts.items())
 
 
+def test_substring_dedup_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "PART_ROWS", 1)  # every repeated run is dealt to parts
+    summary, _ = substring_dedup.remove_repeats(docs_of(spark, TEXTS), 12)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in summary.collect()} == cut_by_force(TEXTS, 12)
+
+
 def test_substring_dedup_empty(spark):
     summary, cut = substring_dedup.remove_repeats(docs_of(spark, []))
     assert summary.count() == 0 and cut.count() == 0
