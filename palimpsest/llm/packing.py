@@ -304,5 +304,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents."""
+    """The packed pieces of all documents, as op10 gives them.
+
+    A null, empty or blank text has its ids and end like any other; rows without a doc_id have no piece; repeated rows
+    are each packed; an empty table gives an empty result; other columns are not read.
+    """
     return pack(cut_pieces(docs))

@@ -180,7 +180,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; a document without any word left goes, all others keep their columns."""
+    """Repeated passages go; a document that loses its last word goes, all others keep their columns.
+
+    Null, empty and blank texts, and texts shorter than a window, stay as they are, as do rows without a doc_id, whose
+    text is not compared. Repeated rows hold each other's passages and lose them. n_chars is that of the text left; an
+    empty table gives an empty one.
+    """
     _, cut = remove_repeats(docs)
     cut = cut.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("kept_text").alias("__kept"))
     joined = docs.join(cut, (docs["doc_id"] == F.col("__id")) & (_text_key(docs["text"]) == F.col("__key")), "left")

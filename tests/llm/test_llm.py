@@ -777,3 +777,39 @@ def test_stages_with_repeated_rows(spark, sf):
     assert ids(leaks(spark, docs.union(docs), sf)) == {i: 2 * n for i, n in ids(leaks(spark, docs, sf)).items()}
     good = stages["quality classifier"](spark, docs.union(docs), sf)
     assert set(ids(good).values()) == {2}
+
+
+def test_stages_with_odd_tables(spark, sf):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i % 997}x{i}" for i in range(60_000))
+    texts = [None, "", "  \n", "one", long, "The quick fox, a rather plain text of its own. " * 3]
+    odd = docs_of(spark, texts).union(docs_of(spark, ["nobody's text"]).withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, sf)
+        rows = got.collect()
+        if name == "best-fit packing":
+            assert {r["doc_id"] for r in rows} == set(range(len(texts)))
+        else:
+            assert got.columns == odd.columns and None in {r["doc_id"] for r in rows}
+            if name != "quality classifier":
+                assert {r["doc_id"]: r["text"] for r in rows} == {**dict(enumerate(texts)), None: "nobody's text"}
+        assert stage(spark, odd.limit(0), sf).count() == 0
+
+
+def test_token_orc_stripes_indexes_and_bloom_filters(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_orc, "STRIPE_BYTES", 1 << 16)
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(30_000)]
+    path = f"file://{tmp_path}/ids"
+    token_orc.write_token_orc(docs_of(spark, texts).select("doc_id", "text"), path)
+    orc, stripes, blooms, indexes = spark._jvm.org.apache.orc, 0, 0, 0
+    conf = spark._jsc.hadoopConfiguration()
+    for file in (tmp_path / "ids").glob("*.orc"):
+        reader = orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(f"file://{file}"), orc.OrcFile.readerOptions(conf))
+        rows = reader.rows()
+        for k in range(reader.getStripes().size()):
+            kinds = [str(s.getKind()) for s in rows.readStripeFooter(reader.getStripes().get(k)).getStreamsList()]
+            stripes, blooms, indexes = stripes + 1, blooms + any("BLOOM" in x for x in kinds), indexes + kinds.count("ROW_INDEX")
+        assert reader.getRowIndexStride() == token_orc.ROW_STRIDE
+    assert stripes > len(list((tmp_path / "ids").glob("*.orc"))) and blooms == stripes and indexes > stripes
