@@ -32,3 +32,23 @@ def test_quota(spark, sf, tmp_path):
     got, events = run(spark, sf, tmp_path, quota, "append")
     rows = got.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("granted").cast("int")).alias("g")).collect()
     assert rows and all(r["g"] == min(3, r["n"]) for r in rows) and sum(r["n"] for r in rows) == events.count()
+
+
+def test_latest_wins_last_row_out_is_the_newest(spark, sf, tmp_path):
+    def newest(s):
+        return streams.latest_wins_stream(s)
+
+    got, events = run(spark, sf, tmp_path, newest, "update")
+    last = {r["user_id"]: r["event_id"] for r in got.collect()}  # the sink keeps rows in the order in which they came
+    want = {r["user_id"]: r["event_id"] for r in state.latest_wins(events, "user_id", "ts", "event_id", ["event_id", "ts"]).collect()}
+    assert last == want
+
+
+def test_windowed_counts(spark, sf, tmp_path):
+    def counts(s):
+        return streams.windowed_counts(s, late="3650 days")
+
+    got, events = run(spark, sf, tmp_path, counts, "update")
+    out = {(r["start"], r["event_type"]): r["n"] for r in got.collect()}
+    want = {(r["start"], r["event_type"]): r["n"] for r in streams.windowed_counts(events).collect()}
+    assert out == want
