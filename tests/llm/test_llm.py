@@ -119,6 +119,37 @@ def test_language_model_gradients():
         assert g[name][at] == pytest.approx((up - down) / 2e-3, rel=0.03, abs=2e-3)
 
 
+def test_language_model_scores_token_by_token():
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    lex = language_model.Lexicon([(w, 3000 - i) for i, w in enumerate(words)] + [("\n", 50)], [("zz", 5, 2), ("yx", 4, 2)] + [("", 0, 0)] * (language_model.TAILS - 1), 10_000, 3100)
+    model = language_model.Model.start(lex.class_mass, lex.word_mass)
+    model.w = {k: (x + rng.standard_normal(x.shape) * 0.3).astype(np.float32) for k, x in model.w.items()}
+    texts = [" ".join(rng.choice([*words[:40], *words[1000:], "uzz", "new"], n)) for n in (0, 1, 7, 60, 300)]
+    boxed = lambda x: type("Box", (), {"value": x})
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "text": texts})
+    got = [r for b in language_model._score(boxed(lex), boxed(model.pack()))([batch]) for r in b.to_pylist()]
+    w, n = {k: x.astype(float) for k, x in model.w.items()}, language_model.HIDDEN
+    share = lambda logits: np.exp(logits) / np.exp(logits).sum()
+    counts, own = {**{x: 3000 - i for i, x in enumerate(words)}, "\n": 50}, lex.own
+    for text, r in zip(texts, got):
+        h, code, total = np.zeros(n), 0, 0.0
+        for word in [*text.split(), "\n"]:
+            x, a = w["embed"][code] + w["gate_bias"], h @ w["recur"]
+            z, gate = 1 / (1 + np.exp(-(x[:n] + a[:n]))), 1 / (1 + np.exp(-(x[n : 2 * n] + a[n : 2 * n])))
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + gate * a[2 * n :])
+            top = share(h @ w["class_w"] + w["class_b"])
+            if word in own:
+                c, k = divmod(own[word], language_model.CLASS_WORDS)
+                p, code = top[c] * share(h @ w["word_w"][c] + w["word_b"][c])[k], own[word]
+            else:
+                tail = {"zz": 0, "yx": 1}.get(word[-2:], language_model.TAILS)
+                p = top[-1] * share(h @ w["tail_w"] + w["tail_b"])[tail] / lex.tail_total[tail]
+                p, code = p * (counts.get(word, 0) + 1), language_model.VOCABULARY + tail
+            total += np.log10(p)
+        assert r["score"] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
 def test_language_model_windows_cover_every_token():
     lengths = np.array([1, 17, 8, 3, 40, 1])
     seen = []
