@@ -206,6 +206,12 @@ def revision_json(revs: DataFrame) -> DataFrame:
     return revs.select("a_id", "b_id", "rev_no", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def revisions_to_json(revs: DataFrame) -> DataFrame:
+    """(a_id, b_id, json): all revisions of a pair as one JSON array."""
+    rows = F.array_sort(F.collect_list(F.struct("rev_no", "json")))
+    return revision_json(revs).groupBy("a_id", "b_id").agg(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["json"]), ","), F.lit("]")).alias("json"))
+
+
 def resolve(diffs: DataFrame, accept: bool) -> DataFrame:
     """(a_id, b_id, text): accepting drops deletions, rejecting drops insertions."""
     drop = "Deleted" if accept else "Inserted"

@@ -316,6 +316,11 @@ def revision_json(spark, sf_dir):
     return diff.revision_json(revisions(spark, sf_dir))
 
 
+@query(None)
+def revisions_array(spark, sf_dir):
+    return diff.revisions_to_json(revisions(spark, sf_dir))
+
+
 def _canonical(side: str) -> str:
     return f"with {PAIRS}, c as (select doc_id, string_agg(line || chr(10), '' order by line_no) as t from lines group by 1) select a_id, b_id, sha1(t) as h, cast(length(t) as bigint) as chars from pairs join c on doc_id = {side}"
 

@@ -18,10 +18,11 @@ WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 STRICT = "{http://purl.oclc.org/ooxml/wordprocessingml/main}"
 MAIN_TYPES = ["http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument", "http://purl.oclc.org/ooxml/officeDocument/relationships/officeDocument"]
 RELATIONSHIP = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
+STORIES = ["header", "footer", "footnotes", "endnotes", "comments"]  # the last words of their relationship types
 BROKEN = "!broken"  # the part name of a file that is no package
 
 PARTS = "path string, part_name string, bytes binary"
-PARAGRAPHS = "path string, para_no int, text string, accepted string, rejected string, mark_deleted boolean, mark_inserted boolean"
+PARAGRAPHS = "path string, part_name string, para_no int, text string, accepted string, rejected string, mark_deleted boolean, mark_inserted boolean"
 GONE, COME = {"del", "moveFrom"}, {"ins", "moveTo"}
 
 
@@ -72,11 +73,11 @@ def _read(p: ElementTree.Element) -> tuple[str, str, str]:
 def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for path, _, content in zip(*(c.to_pylist() for c in batch.columns)):
+        for path, part, content in zip(*(c.to_pylist() for c in batch.columns)):
             try:
                 root = ElementTree.fromstring(content)
             except ElementTree.ParseError:
-                out.append((path, -1, None, None, None, None, None))
+                out.append((path, part, -1, None, None, None, None, None))
                 continue
             for e in root.iter():
                 if e.tag.startswith(STRICT):
@@ -84,10 +85,10 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, p in enumerate(root.iter(f"{WORD}p")):
                 mark = p.find(f"{WORD}pPr/{WORD}rPr")
                 has = lambda name: mark is not None and mark.find(WORD + name) is not None  # noqa: B023, E731
-                out.append((path, k, *_read(p), has("del"), has("ins")))
-        cols = list(zip(*out)) or [[]] * 7
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["path", "para_no", "text", "accepted", "rejected", "mark_deleted", "mark_inserted"])
+                out.append((path, part, k, *_read(p), has("del"), has("ins")))
+        cols = list(zip(*out)) or [[]] * 8
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["path", "part_name", "para_no", "text", "accepted", "rejected", "mark_deleted", "mark_inserted"])
 
 
 def _relationships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,27 +117,42 @@ def read_relationships(parts: DataFrame) -> DataFrame:
     return rows.withColumn("target_part", F.when(F.col("target_mode") == "Internal", inside))
 
 
-def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, size, modified) of the packages below path, without reading them."""
+    from pyspark.sql import functions as F
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def read_paragraphs(spark: SparkSession, path: str, stories: bool = False) -> DataFrame:
     """Paragraphs of the main text: as stored, with revisions accepted, with revisions rejected, and their marks' state.
 
     The main part is the one that the package's relationships name; a part that is no XML gives one row, numbered -1.
+    stories: headers, footers, notes and comments of the main part as well.
     """
     from pyspark.sql import functions as F
 
     parts = read_parts(spark, path)
-    main = read_relationships(parts).where((F.col("source_part") == "/") & F.col("rel_type").isin(MAIN_TYPES)).select("path", F.col("target_part").alias("part_name"))
+    related = read_relationships(parts)
+    main = related.where((F.col("source_part") == "/") & F.col("rel_type").isin(MAIN_TYPES)).select("path", F.col("target_part").alias("part_name"))
     usual = parts.select("path").distinct().join(main, "path", "left_anti").select("path", F.lit("/word/document.xml").alias("part_name"))
-    return parts.join(main.union(usual), ["path", "part_name"], "left_semi").mapInArrow(_paragraphs, PARAGRAPHS)
+    wanted = main.union(usual)
+    if stories:
+        kind = F.element_at(F.split("rel_type", "/"), -1)
+        beside = related.join(wanted.withColumnRenamed("part_name", "source_part"), ["path", "source_part"], "left_semi").where(kind.isin(STORIES))
+        wanted = wanted.union(beside.select("path", F.col("target_part").alias("part_name")))
+    return parts.join(wanted, ["path", "part_name"], "left_semi").select("path", "part_name", "bytes").mapInArrow(_paragraphs, PARAGRAPHS)
 
 
 def resolved_text(paragraphs: DataFrame, accept: bool) -> DataFrame:
-    """(path, para_no, text): a paragraph whose mark goes joins those up to the next that keeps its mark."""
+    """(path, part_name, para_no, text): a paragraph whose mark goes joins those up to the next that keeps its mark."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     gone, text = ("mark_deleted", "accepted") if accept else ("mark_inserted", "rejected")
-    w = Window.partitionBy("path").orderBy("para_no")
+    w = Window.partitionBy("path", "part_name").orderBy("para_no")
     begins = F.when(F.lag(gone).over(w), 0).otherwise(1)
     grouped = paragraphs.withColumn("b", begins).withColumn("g", F.sum("b").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     parts = F.array_sort(F.collect_list(F.struct("para_no", F.col(text).alias("t"))))
-    return grouped.groupBy("path", F.col("g").cast("int").alias("para_no")).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("text"))
+    return grouped.groupBy("path", "part_name", F.col("g").cast("int").alias("para_no")).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("text"))

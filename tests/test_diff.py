@@ -126,3 +126,5 @@ def test_moved_revisions(spark):
     assert got == {1: ("Moved", 1, True), 2: ("Inserted", None, None), 3: ("Moved", 1, False), 4: ("Deleted", None, None)}
     text = diff.revision_json(similarity.moved_revisions(revs)).where("rev_no = 1").first()["json"]
     assert list(json.loads(text)) == ["type", "author", "date", "part", "moveGroupId", "isMoveSource", "formatChange", "text"]
+    whole = json.loads(diff.revisions_to_json(similarity.moved_revisions(revs)).first()["json"])
+    assert [x["type"] for x in whole] == ["Moved", "Inserted", "Moved", "Deleted"]

@@ -32,13 +32,20 @@ def test_docx_strict_names_main_part_and_text_boxes(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "s.docx", "w") as z:
         z.writestr("_rels/.rels", rels.format(docx.MAIN_TYPES[1], "word/../main/doc2.xml"))
         z.writestr("main/doc2.xml", f"<w:document {strict}><w:body>{box}</w:body></w:document>")
-        z.writestr("main/_rels/doc2.xml.rels", rels.format("image", "../media/i.png"))
+        z.writestr("main/_rels/doc2.xml.rels", rels.format("http://a/header", "../word/h1.xml"))
+        z.writestr("word/h1.xml", f"<w:hdr {strict}><w:p><w:ins><w:r><w:t>head</w:t></w:r></w:ins></w:p></w:hdr>")
     with zipfile.ZipFile(tmp_path / "x.docx", "w") as z:
         z.writestr("word/document.xml", "<no xml")
     rows = docx.read_paragraphs(spark, str(tmp_path)).orderBy("path", "para_no").collect()
     assert [(r["path"][-6:], r["para_no"], r["text"]) for r in rows] == [("s.docx", 0, "outer"), ("s.docx", 1, "inner"), ("x.docx", -1, None)]
     found = docx.read_relationships(docx.read_parts(spark, str(tmp_path))).collect()
-    assert {(r["source_part"], r["target_part"]) for r in found} == {("/", "/main/doc2.xml"), ("/main/doc2.xml", "/media/i.png")}
+    assert {(r["source_part"], r["target_part"]) for r in found} == {("/", "/main/doc2.xml"), ("/main/doc2.xml", "/word/h1.xml")}
+
+
+    whole = docx.read_paragraphs(spark, str(tmp_path), stories=True)
+    assert {(r["part_name"], r["text"]) for r in docx.resolved_text(whole, False).where("text <> ''").collect()} == {("/main/doc2.xml", "outer"), ("/main/doc2.xml", "inner")}
+    assert ("/word/h1.xml", "head") in {(r["part_name"], r["text"]) for r in docx.resolved_text(whole, True).collect()}
+    assert {r["name"] for r in docx.list_files(spark, str(tmp_path)).where("size > 0").collect()} == {"s.docx", "x.docx"}
 
 
 def test_ledgers(spark, tmp_path):
