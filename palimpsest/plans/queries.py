@@ -532,7 +532,7 @@ def preview_runs(spark, sf_dir):
     g = islands.group_adjacent(marked, ["doc_id"], ["line_no"], "is_table", "run")
     # of a run's lines only those that begin within the preview are gathered
     g = islands.running_offset(g, ["doc_id", "run"], ["line_no"], F.length("line") + 1, "at")
-    head = F.collect_list(F.when(F.col("at") < 200, F.struct("line_no", F.left("line", F.lit(200)).alias("line"))))
+    head = F.collect_list(F.when(F.col("at") <= 200, F.struct("line_no", F.left("line", F.lit(200)).alias("line"))))
     text = F.array_join(F.transform(F.array_sort(head), lambda x: x["line"]), "\n")
     return g.groupBy("doc_id", "run").agg(F.bool_and("is_table").alias("is_table"), F.count("*").alias("n"), F.left(text, F.lit(200)).alias("preview"))
 
