@@ -26,7 +26,7 @@ END_ID = 0
 SHARD = 4000
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 6
+POPULATION = 4
 GENERATIONS = 20
 PATIENCE = 4  # generations without a better packing
 EXCHANGES = 200  # bins of a child that take part
