@@ -38,7 +38,7 @@ HOT = 1 << 18
 MERGE = 1_500_000
 FAN = 16
 RATE = 0.08
-BLOCK = 256
+BLOCK = 1024
 FIRST_ROUND = 8
 LARGE = 60.0
 END = "\n"  # never part of a word
