@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from . import licenses
+from . import hard_negatives, licenses
 
 _QUERIES = {
     "op7_html_text": "html_text",
@@ -17,8 +17,11 @@ _QUERIES = {
     "op10_best_fit_packing": "packing",
     "op3_ngram_join": "ngram_join",
     "op6_substring_dedup": "substring_dedup",
+    "op11_tokenizer_fertility": "fertility",
+    "op12_periodic_runs": "periodic_runs",
+    "op13_hard_negatives": "hard_negatives",
 }
-_SQL: dict[str, str] = {"op5_license_scan": licenses.SQL}
+_SQL: dict[str, str] = {"op5_license_scan": licenses.SQL, "op13_hard_negatives": hard_negatives.SQL}
 
 
 def queries() -> dict:
