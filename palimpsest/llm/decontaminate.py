@@ -2,9 +2,10 @@
 
 Texts and items are compared as bytes with ASCII and Latin-1 letters in lower case and all white space as spaces. An item of
 m bytes that lies in a text with at most k edits shares at least T = m - q + 1 - k q of its q-grams with it, on
-diagonals (place in the text less place in the item) that differ by at most k. Stretches of a text where enough
-positions hold a q-gram of any item are kept; in them, shared q-grams are counted for each item in overlapping
-bands of diagonals; bands reaching T are verified by an alignment of width 2 k + 1.
+diagonals (place in the text less place in the item) that differ by at most k. Of its rarest q-grams that do not
+overlap, k + 3 are looked up in the texts; where 3 of them lie in a band of diagonals, all shared q-grams are counted
+in that band (bands overlap by half); bands reaching T are verified by an alignment of width 2 k + 1. Texts are
+looked at in stretches, and what they hit in parts, so memory has a bound whatever the items and texts are.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ Q = 8
 EDIT_SHARE = 0.06
 BLOCK_BYTES = 4 << 20
 SIEVE_BITS = 22
+TOGETHER = 3  # probes that have to lie in a band, if an item has room for as many
+STRETCH = 1 << 20
+MOST_HITS = 1 << 20
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
 
 
@@ -66,7 +70,11 @@ def edits_allowed(m: int, q: int = Q, share: float = EDIT_SHARE) -> int:
 
 
 class Items:
-    """The items of one block: their bytes, q-grams (sorted, with item and place) and a sieve of hash bits."""
+    """The items of one block: their bytes, and for each its probes, some of its rarest q-grams that do not overlap.
+
+    k edits change at most k of k + s q-grams that do not overlap, so an occurrence holds s of an item's probes, on
+    diagonals that differ by at most k. Only where they are found together are all q-grams counted.
+    """
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [i for i, _ in rows]
@@ -74,42 +82,91 @@ class Items:
         self.size = np.array([len(x) for x in self.data], np.int64)
         self.edits = np.array([edits_allowed(int(m)) for m in self.size], np.int64)
         self.needed = np.maximum(self.size - Q + 1 - self.edits * Q, 1)
-        keys = [grams(x) for x in self.data]
-        item = np.repeat(np.arange(len(rows)), [len(x) for x in keys])
-        place = np.concatenate([np.arange(len(x)) for x in keys]) if keys else np.empty(0, np.int64)
-        keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.item, self.place = keys[order], item[order], place[order]
+        self.together = np.clip(self.size // Q - self.edits, 1, TOGETHER)
+        keys = np.concatenate([np.empty(0, np.uint64), *map(grams, self.data)])
+        _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+        often = count[which]  # in the items, which stands for how often a q-gram is in texts like them
+        item, place = [], []
+        end = np.cumsum(np.maximum(self.size - Q + 1, 0))
+        for i, m in enumerate(self.size.tolist()):
+            if m >= Q:
+                found = self._probes(often[end[i] - m + Q - 1 : end[i]], int(self.edits[i] + self.together[i]), m)
+                place.append(found)
+                item.append(np.full(len(found), i))
+        self.item = np.concatenate(item) if item else np.empty(0, np.int64)
+        self.place = np.concatenate(place) if place else np.empty(0, np.int64)
+        keys = keys[(end - np.maximum(self.size - Q + 1, 0))[self.item] + self.place]
+        order = np.lexsort((self.item, keys))
+        self.keys, self.item, self.place = keys[order], self.item[order], self.place[order]
+        first = np.concatenate((np.ones(min(len(keys), 1), bool), self.keys[1:] != self.keys[:-1]))
+        self.distinct, self.rank = self.keys[first], np.cumsum(first) - 1
         self.sieve = np.zeros(1 << SIEVE_BITS, bool)
-        self.sieve[slots(self.keys)] = True
-        usable = self.size >= Q
-        # an occurrence spans m + k bytes at most; of its parts as long as the shortest item, one has this many hits
-        self.reach = int((self.size + self.edits).max()) if len(rows) else 0
-        self.window = int(self.size[usable].min()) if usable.any() else 0
-        parts = -(-(self.size + self.edits)[usable] // max(self.window, 1))
-        self.least = int((-(-self.needed[usable] // parts)).min()) if usable.any() else 1
+        self.sieve[slots(self.distinct)] = True
+        self.reach = int((self.size + 3 * self.edits).max()) + 2 if len(rows) else 0
+
+    @staticmethod
+    def _probes(often: np.ndarray, probes: int, m: int) -> np.ndarray:
+        """In each of so many equal parts of an item, the place of its rarest q-gram."""
+        part = m // probes
+        starts = np.arange(probes) * part
+        return starts + often[starts[:, None] + np.arange(part - Q + 1)].argmin(axis=1)
 
     def search(self, data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, distance, start, end) of the items found in rows of folded bytes."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        # rows go together as long as they are short; a long one is looked at in pieces that overlap by an item's reach
+        for low, high in self._stretches(edges):
+            for r, i, b in self._candidates(data[low:high], np.clip(edges - low, 0, high - low)):
+                k = int(self.edits[i])
+                text, item = data[edges[r] : edges[r + 1]], self.data[i]
+                # the band's smallest diagonal, in the row
+                first = (b - 1) * (k + 1) - len(item) + max(low - int(edges[r]), 0)
+                if self._shared(text, i, first) < self.needed[i]:
+                    continue
+                a = max(0, first - k)
+                z = min(len(text), first + 2 * (k + 1) + len(item) + k)
+                got = banded(item, text[a:z], k, first - a)
+                if got and ((r, i) not in best or (got[0], got[1] + a) < best[r, i][:2]):
+                    best[r, i] = (got[0], got[1] + a, got[2] + a)
+        for (r, i), (distance, start, end) in sorted(best.items()):
+            yield r, i, distance, start, end
+
+    def _stretches(self, edges: np.ndarray) -> Iterator[tuple[int, int]]:
+        at, n = 0, len(edges) - 1
+        while at < n:
+            upto = max(at + 1, int(np.searchsorted(edges, edges[at] + STRETCH, side="right")) - 1)
+            low, high = int(edges[at]), int(edges[upto])
+            while high - low > STRETCH + self.reach:
+                yield low, low + STRETCH + self.reach
+                low += STRETCH
+            yield low, high
+            at = upto
+
+    def _candidates(self, data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, item, band) where enough of an item's probes lie in a band of diagonals of width 2 k + 2."""
         keys = grams(data)
-        if not len(keys) or not self.window:
+        if not len(keys) or not len(self.distinct):
             return
-        # dense stretches: hits with enough others within a window of them, and all hits within an item's reach
-        hit = self.sieve[slots(keys)]
-        upto = np.concatenate((np.zeros(1, np.int32), np.cumsum(hit, dtype=np.int32)))
-        at = np.flatnonzero(hit)
-        core = at[upto[np.minimum(at + self.window, len(keys))] - upto[np.maximum(at - self.window, 0)] >= self.least]
-        at = at[np.searchsorted(core, at + self.reach, side="right") > np.searchsorted(core, at - self.reach)]
-        low = np.searchsorted(self.keys, keys[at], side="left")
-        same = self.keys[np.minimum(low, len(self.keys) - 1)] == keys[at]
-        at, low = at[same], low[same]
+        at = np.flatnonzero(self.sieve[slots(keys)])
+        rank = np.minimum(np.searchsorted(self.distinct, keys[at]), len(self.distinct) - 1)
+        same = self.distinct[rank] == keys[at]
+        at, rank = at[same], rank[same]
         row = np.searchsorted(edges, at, side="right") - 1
         inside = at + Q <= edges[row + 1]
-        at, low, row = at[inside], low[inside], row[inside]
+        at, rank, row = at[inside], rank[inside], row[inside]
         if not len(at):
             return
-        many = np.searchsorted(self.keys, keys[at], side="right") - low
-        index = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        n, posted = len(self.ids), self.rank * len(self.ids) + self.item
+        total = int((np.searchsorted(self.rank, rank, side="right") - np.searchsorted(self.rank, rank)).sum())
+        parts = min(n, -(-total // MOST_HITS))
+        for low, high in zip(np.arange(parts) * n // parts, np.arange(1, parts + 1) * n // parts):
+            begin, end = np.searchsorted(posted, rank * n + low), np.searchsorted(posted, rank * n + high)
+            yield from self._in_bands(begin, end - begin, at, row, edges)
+
+    def _in_bands(self, begin: np.ndarray, many: np.ndarray, at: np.ndarray, row: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        index = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        if not len(index):
+            return
         item, row = self.item[index], np.repeat(row, many)
         diagonal = np.repeat(at, many) - self.place[index] - edges[row]
         step = self.edits[item] + 1
@@ -119,29 +176,27 @@ class Items:
         for shift in (0, 1):  # bands of width 2 k + 2 that overlap by half
             band = (diagonal + self.size[item]) // step + shift
             group = (row * len(self.ids) + item) * span + band
-            # a q-gram of the item counts once in a band
+            # a probe of the item counts once in a band
             order = np.lexsort((self.place[index], group))
             g, p = group[order], self.place[index][order]
             fresh = np.concatenate(([True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])))
             found.append(g[fresh])
-        every = np.sort(np.concatenate(found))
-        cut = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-        count = np.diff(np.concatenate((cut, [len(every)])))
-        which = every[cut]
-        item, row, band = which // span % len(self.ids), which // span // len(self.ids), which % span
-        good = count >= self.needed[item]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for i, r, b in zip(item[good].tolist(), row[good].tolist(), band[good].tolist()):
-            k = int(self.edits[i])
-            first = (b - 1) * (k + 1) - int(self.size[i])  # the band's smallest diagonal
-            text = data[edges[r] : edges[r + 1]]
-            a = max(0, first - k)
-            z = min(len(text), first + 2 * (k + 1) + int(self.size[i]) + k)
-            got = banded(self.data[i], text[a:z], k, first - a)
-            if got and ((r, i) not in best or (got[0], got[1] + a) < best[r, i][:2]):
-                best[r, i] = (got[0], got[1] + a, got[2] + a)
-        for (r, i), (distance, start, end) in best.items():
-            yield r, i, distance, start, end
+        which, count = np.unique(np.concatenate(found), return_counts=True)
+        item = which // span % len(self.ids)
+        good = count >= self.together[item]
+        yield from zip((which[good] // span // len(self.ids)).tolist(), item[good].tolist(), (which[good] % span).tolist())
+
+    def _shared(self, text: np.ndarray, i: int, first: int) -> int:
+        """How many q-grams of item i the text holds on the diagonals from first to first + 2 k + 1."""
+        own, width = grams(self.data[i]), 2 * int(self.edits[i]) + 2
+        a, z = max(0, first), min(len(text), first + width - 1 + len(self.data[i]))
+        there = grams(text[a:z])
+        shared = np.zeros(len(own), bool)
+        for d in range(first, first + width):
+            low, high = max(0, a - d), min(len(own), len(there) + a - d)
+            if low < high:
+                shared[low:high] |= own[low:high] == there[low + d - a : high + d - a]
+        return int(shared.sum())
 
 
 def banded(item: np.ndarray, text: np.ndarray, k: int, first: int) -> tuple[int, int, int] | None:
