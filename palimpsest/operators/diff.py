@@ -6,149 +6,165 @@ pairs to tasks. A text is a list of paragraphs (its visible lines); a paragraph
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
+from functools import cached_property, lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import SEPARATORS
+from palimpsest.operators.sequences import heaviest_run, subsequence
+from palimpsest.sources.scratch import written
 
 MARK = "\n"
 THRESHOLD = 0.15
+LONG, PIECE = 2000, 500  # lines of both sides of a pair that is dealt in pieces, and about those of a piece
+# How many lines both windows need, and from how many characters on a run of one line, of up to three, splits them.
+LEAST_UNITS, MANY_UNITS, ATOMS_OF_ONE, ATOMS_OF_FEW = 3, 3, 16, 32
 SCHEMA = "a_id long, b_id long, seq_no int, status string, text string"
 
 
+@lru_cache(maxsize=1)
+def _unit_pattern() -> re.Pattern:
+    digit = "".join(chr(c) for c in range(0x110000) if chr(c).isdigit())
+    alone = re.escape(SEPARATORS) + ".,\u4e00-\u9fff"
+    return re.compile(f"(?:[^{alone}]|(?<=[{digit}])[.,]|[.,](?=[{digit}]))+|.", re.DOTALL)
+
+
 def words(line: str) -> list[str]:
     """Separators and CJK characters alone, a full stop or comma beside a digit inside its word, else runs; spans of text."""
-    out: list[str] = []
-    run = ""
-    for k, c in enumerate(line):
-        before, after = line[k - 1 : k], line[k + 1 : k + 2]
-        glued = c in ".," and (before.isdigit() or after.isdigit())
-        alone = not glued and (c in SEPARATORS or c in ".," or "一" <= c <= "鿿")
-        if alone:
-            if run:
-                out.append(run)
-            out.append(c)
-            run = ""
-        else:
-            run += c
-    return out + [run] if run else out
+    return _unit_pattern().findall(line)
 
 
 def paragraphs(text: str) -> list[str]:
     return [s for s in (text or "").split("\n") if s.strip(" ")]
 
 
-def longest_run(a: list[str], b: list[str]) -> tuple[int, int, int]:
-    """(start in a, start in b, length) of the longest common run; of equal ones the first in a, then in b."""
-    at = defaultdict(list)
-    for j, x in enumerate(b):
-        at[x].append(j)
-    best, ends = (0, 0, 0), {}
-    for i, x in enumerate(a):
-        now = {}
-        for j in at.get(x, ()):
-            n = now[j] = ends.get(j - 1, 0) + 1
-            first = (i - n + 1, j - n + 1)
-            if n > best[2] or n == best[2] and first < best[:2]:
-                best = (*first, n)
-        ends = now
-    return best
-
-
+@lru_cache(maxsize=1 << 16)
 def _content(unit: str) -> int:
     return 0 if unit == MARK else sum(c not in SEPARATORS and not c.isspace() for c in unit)
 
 
-def richest_run(a: list[str], b: list[str]) -> tuple[int, int, int]:
-    """(start in a, start in b, length) of the common run of most content, then most units; of equal ones the first found.
+class Units:
+    """Both sides of a pair as numbers, with what its units weigh.
 
-    Runs are sought from units with content; a run is walked once, from the first of these in it, so that blanks and
-    repeated words cost no more than the runs they are in.
+    Lines weigh their characters and one for their mark. Words weigh their content first and count second.
     """
-    value = [_content(x) for x in a]
-    at = defaultdict(list)
-    for j, x in enumerate(b):
-        at[x].append(j)
-    best, chosen, walked = (0, 0), (0, 0, 0), {}
-    for i, x in enumerate(a):
-        if not value[i]:
-            continue
-        for j in at.get(x, ()):
-            if walked.get(i - j, -1) >= i:
-                continue
-            p, q = i, j
-            while p and q and a[p - 1] == b[q - 1]:
-                p, q = p - 1, q - 1
-            end, last, total = i, j, 0
-            while end < len(a) and last < len(b) and a[end] == b[last]:
-                total += value[end]
-                end, last = end + 1, last + 1
-            walked[i - j] = end - 1
-            if (total, end - p) > best or (total, end - p) == best and (p, q) < chosen[:2]:
-                best, chosen = (total, end - p), (p, q, end - p)
-    return chosen
-
-
-def _ends(a: list[str], b: list[str], threshold: float) -> tuple[int, int]:
+
+    def __init__(self, a: list[str], b: list[str], size=None):
+        number: dict[str, int] = {}
+        self.a, self.b = ([number.setdefault(x, len(number)) for x in side] for side in (a, b))
+        self.units, self.size, self.mark = list(number), size, number.get(MARK, -1)
+
+    @cached_property
+    def atoms(self) -> list[int]:
+        size = [(len(x) if self.size is None else self.size[x]) + 1 for x in self.units]
+        return [0, *accumulate(size[x] for x in self.a)]
+
+    @cached_property
+    def rich(self) -> list[int]:
+        weight = [(_content(x) << 32) + 1 for x in self.units]
+        return [0, *accumulate(weight[x] for x in self.a)]
+
+    def only_separators(self, run: list[int]) -> bool:
+        return all(x in SEPARATORS or x == MARK or ("一" <= x <= "鿿" and len(x) == 1) for x in (self.units[k] for k in run))
+
+    def longest(self, i0: int, i1: int, j0: int, j1: int) -> tuple[int, int, int]:
+        return heaviest_run(self.a, self.b, range(len(self.a) + 1), i0, i1, j0, j1)[:3]
+
+    def richest(self, i0: int, i1: int, j0: int, j1: int) -> tuple[int, int, int]:
+        i, j, n, weight = heaviest_run(self.a, self.b, self.rich, i0, i1, j0, j1)
+        return (i, j, n) if weight >> 32 else (0, 0, 0)
+
+    def correlated(self, i0: int, i1: int, j0: int, j1: int) -> tuple[int, int, int]:
+        """The run of most characters of two windows of LEAST_UNITS lines or more, if it is large enough; else (0, 0, 0)."""
+        if min(i1 - i0, j1 - j0) < LEAST_UNITS:
+            return 0, 0, 0
+        i, j, n, atoms = heaviest_run(self.a, self.b, self.atoms, i0, i1, j0, j1)
+        return (i, j, n) if large_enough(n, atoms) else (0, 0, 0)
+
+
+def large_enough(n: int, atoms: int) -> bool:
+    return n > MANY_UNITS or (n > 1 and atoms > ATOMS_OF_FEW) or (n == 1 and atoms > ATOMS_OF_ONE)
+
+
+def longest_run(a: list[str], b: list[str]) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the longest common run; of equal ones the first in a, then in b."""
+    return Units(a, b).longest(0, len(a), 0, len(b))
+
+
+def richest_run(a: list[str], b: list[str]) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the common run of most content, then most units; of equal ones the first."""
+    return Units(a, b).richest(0, len(a), 0, len(b))
+
+
+def _ends(u: Units, i0: int, i1: int, j0: int, j1: int, threshold: float) -> tuple[int, int]:
     """Lengths of the common beginning and, without one, of the common end; 0 below the threshold."""
-    least = min(len(a), len(b))
+    a, b, least = u.a, u.b, min(i1 - i0, j1 - j0)
     p = 0
-    while p < least and a[p] == b[p]:
+    while p < least and a[i0 + p] == b[j0 + p]:
         p += 1
     if p and p / least >= threshold:
         return p, 0
     s = 0
-    while s < least and a[-1 - s] == b[-1 - s]:
+    while s < least and a[i1 - 1 - s] == b[j1 - 1 - s]:
         s += 1
-    while s > 1 and a[len(a) - s] == MARK:
+    while s > 1 and a[i1 - s] == u.mark:
         s -= 1
-    if s <= 2 and a and a[-1] == MARK and s == 1:
+    if s == 1 and a[i1 - 1] == u.mark:
         s = 0
     return (0, s) if s and s / least >= threshold else (0, 0)
 
 
-def _only_separators(run: list[str]) -> bool:
-    return all(x in SEPARATORS or x == MARK or ("一" <= x <= "鿿" and len(x) == 1) for x in run)
-
+def spans(u: Units, block: bool, threshold: float = THRESHOLD) -> list[tuple[str, int, int, int, int]]:
+    """(status, start and end in a, start and end in b) in order: Equal, Deleted, Inserted or, for blocks, Unknown.
 
-def align(a: list[str], b: list[str], block: bool, threshold: float = THRESHOLD) -> list[tuple[str, list[str], list[str]]]:
-    """(status, units of a, units of b) in order: Equal, Deleted, Inserted or, for blocks, Unknown."""
-    out, work = [], [(a, b)]
+    Blocks (lines) are first split at their correlated runs. What these leave, and words, are split at common ends, and
+    else at the longest run of lines or the run of words with most content.
+    """
+    out: list[tuple[str, int, int, int, int]] = []
+    work = [("", 0, len(u.a), 0, len(u.b))]
     while work:
-        a, b = work.pop()
-        if not a or not b:
-            if a:
-                out.append(("Deleted", a, []))
-            if b:
-                out.append(("Inserted", [], b))
+        status, i0, i1, j0, j1 = work.pop()
+        if status:
+            out.append((status, i0, i1, j0, j1))
             continue
-        p, s = _ends(a, b, threshold)
-        if p:
-            out.append(("Equal", a[:p], b[:p]))
-            work.append((a[p:], b[p:]))
+        if i0 == i1 or j0 == j1:
+            out += [("Deleted", i0, i1, j0, j0)] * (i0 < i1) + [("Inserted", i1, i1, j0, j1)] * (j0 < j1)
             continue
-        if s:
-            out += align(a[: len(a) - s], b[: len(b) - s], block, threshold)
-            out.append(("Equal", a[len(a) - s :], b[len(b) - s :]))
-            continue
-        i, j, n = longest_run(a, b) if block else richest_run(a, b)
-        while n > 1 and a[i] == MARK:
-            i, j, n = i + 1, j + 1, n - 1
-        void = not n or (not block and (n <= 3 and _only_separators(a[i : i + n]) or a[i : i + n] != [MARK] and n / max(len(a), len(b)) < threshold or a[i : i + n] == [MARK]))
-        if void:
-            out += [("Unknown", a, b)] if block else [("Deleted", a, []), ("Inserted", [], b)]
-            continue
-        out += align(a[:i], b[:j], block, threshold)
-        out.append(("Equal", a[i : i + n], b[j : j + n]))
-        work.append((a[i + n :], b[j + n :]))
+        i, j, n = u.correlated(i0, i1, j0, j1) if block else (0, 0, 0)
+        if not n:
+            p, s = _ends(u, i0, i1, j0, j1, threshold)
+            if p:
+                i, j, n = i0, j0, p
+            elif s:
+                i, j, n = i1 - s, j1 - s, s
+            else:
+                i, j, n = u.longest(i0, i1, j0, j1) if block else u.richest(i0, i1, j0, j1)
+                while n > 1 and u.a[i] == u.mark:
+                    i, j, n = i + 1, j + 1, n - 1
+                run = u.a[i : i + n]
+                few = not block and (n <= 3 and u.only_separators(run) or run == [u.mark] or n / max(i1 - i0, j1 - j0) < threshold)
+                if not n or few:
+                    out += [("Unknown", i0, i1, j0, j1)] if block else [("Deleted", i0, i1, j0, j0), ("Inserted", i1, i1, j0, j1)]
+                    continue
+        work += [("", i + n, i1, j + n, j1), ("Equal", i, i + n, j, j + n), ("", i0, i, j0, j)]
     return out
 
 
+def align(a: list[str], b: list[str], block: bool, threshold: float = THRESHOLD, size=None) -> list[tuple[str, list[str], list[str]]]:
+    """(status, units of a, units of b) in order; size: what the lines weigh, if not their characters."""
+    return [(status, a[i0:i1], b[j0:j1]) for status, i0, i1, j0, j1 in spans(Units(a, b, size), block, threshold)]
+
+
 def aligned(a_text: str, b_text: str, detail: bool) -> list[tuple[str, str]]:
     """(status, text) of a pair in order, neighbours of one status merged; detail: words inside changed paragraphs."""
+    return aligned_lines(paragraphs(a_text), paragraphs(b_text), detail)
+
+
+def aligned_lines(a: list[str], b: list[str], detail: bool) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
 
     def put(status: str, text: str) -> None:
@@ -158,7 +174,7 @@ def aligned(a_text: str, b_text: str, detail: bool) -> list[tuple[str, str]]:
             out.append((status, text))
 
     full = lambda x: "".join(s + MARK for s in x)
-    for status, x, y in align(paragraphs(a_text), paragraphs(b_text), True):
+    for status, x, y in align(a, b, True):
         if status == "Unknown" and detail:
             unit = lambda side: [w for s in side for w in [*words(s), MARK]]
             for inner, p, q in align(unit(x), unit(y), False):
@@ -184,12 +200,45 @@ def _pair_diff(detail: bool):
     return run
 
 
-def diff(pairs: DataFrame, docs: DataFrame, detail: bool = True) -> DataFrame:
-    """(a_id, b_id, seq_no, status, text): Equal, Deleted and Inserted stretches; joined, either side's text comes back."""
-    text = docs.select("doc_id", "text")
-    both = pairs.select("a_id", "b_id").join(text.select(F.col("doc_id").alias("a_id"), F.col("text").alias("ta")), "a_id")
-    both = both.join(text.select(F.col("doc_id").alias("b_id"), F.col("text").alias("tb")), "b_id").select("a_id", "b_id", "ta", "tb")
-    return both.mapInArrow(_pair_diff(detail), SCHEMA)
+def piece_diff(detail: bool):
+    """Rows a_id, b_id, i0, j0, matched, la, lb (lines of a piece) -> its stretches, numbered by k."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for a_id, b_id, i0, j0, matched, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                done = [("Equal", "".join(s + MARK for s in a))] if matched else aligned_lines(a or [], b or [], detail)
+                out += [(a_id, b_id, i0, j0, k, *x) for k, x in enumerate(done)]
+            cols = list(zip(*out)) or [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["a_id", "b_id", "i0", "j0", "k", "status", "text"])
+
+    return run
+
+
+def diff(pairs: DataFrame, docs: DataFrame, detail: bool = True, long: int = LONG, piece: int = PIECE) -> DataFrame:
+    """(a_id, b_id, seq_no, status, text): Equal, Deleted and Inserted stretches; joined, either side's text comes back.
+
+    A pair is aligned by one task, unless both sides have over `long` lines in all: then it is split at its correlated
+    runs into windows of about `piece` lines, which tasks align one by one. The result is the same.
+    """
+    from palimpsest.operators import windows
+    from palimpsest.sources.tables import hashed_lines
+
+    text = docs.select("doc_id", "text", F.size(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")).alias("n"))
+    both = pairs.select("a_id", "b_id").join(text.select(F.col("doc_id").alias("a_id"), F.col("text").alias("ta"), F.col("n").alias("na")), "a_id")
+    both = both.join(text.select(F.col("doc_id").alias("b_id"), F.col("text").alias("tb"), F.col("n").alias("nb")), "b_id")
+    size = F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0))
+    whole = both.where(size <= long).select("a_id", "b_id", "ta", "tb").mapInArrow(_pair_diff(detail), SCHEMA)
+    count = text.select("doc_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") * 2 > long)  # one side at least is half as long
+    some = count.select("doc_id")
+    either = pairs.select("a_id", "b_id").join(some, F.col("a_id") == F.col("doc_id"), "left_semi").union(pairs.select("a_id", "b_id").join(some, F.col("b_id") == F.col("doc_id"), "left_semi")).distinct()
+    n = text.select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+    large = either.join(n.select(F.col("doc_id").alias("a_id"), F.col("n").alias("na")), "a_id").join(n.select(F.col("doc_id").alias("b_id"), F.col("n").alias("nb")), "b_id").where(F.col("na") + F.col("nb") > long)
+    large = written(large.select("a_id", "b_id"), "diff-long")
+    if not large.take(1):
+        return whole
+    return whole.union(windows.diff_in_pieces(large, hashed_lines(docs), detail, piece))
 
 
 def revisions(diffs: DataFrame, author: str = "Redline", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -221,22 +270,10 @@ def resolve(diffs: DataFrame, accept: bool) -> DataFrame:
 
 
 def _row_lcs(a: list[str], b: list[str]) -> list[tuple[str, int | None, int | None]]:
-    """Classic longest common subsequence; going back, an insertion is taken before a deletion when both are as good."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            best[i][j] = best[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(best[i - 1][j], best[i][j - 1])
-    i, j, met = len(a), len(b), []
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            met.append((i, j))
-        elif best[i][j - 1] >= best[i - 1][j]:
-            j -= 1
-        else:
-            i -= 1
+    """Longest common subsequence; going back, an insertion is taken before a deletion when both are as good."""
+    met = subsequence(a, b, gone_first=False)
     out, i, j = [], 0, 0
-    for p, q in [*met[::-1], (len(a), len(b))]:
+    for p, q in [*met, (len(a), len(b))]:
         out += [("Deleted", k, None) for k in range(i, p)] + [("Inserted", None, k) for k in range(j, q)]
         if p < len(a) or q < len(b):
             out.append(("Equal", p, q))
