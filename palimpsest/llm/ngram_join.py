@@ -12,8 +12,8 @@ Plan, with sizes n and threshold t = num/den:
 5. Every list whose posters are not all connected goes to a T-occurrence search over the posted shingles: short lists
    are merged with a heap, long ones probed by binary search. Sets found on k lists, not connected, and near enough
    by their bitmaps are compared as a whole, until all are connected, so that there are fewer links than sets. Lists
-   of one leader are searched together; those of over PART sets are split by ids, and only the sets outside the
-   leader's component are looked up in every part.
+   of one leader are searched together; the sets they list are dealt to parts of PART, those outside the leader's
+   component, which ask, to blocks of PART, and each block meets each part: no task holds more than 2 PART of a group.
 """
 
 from __future__ import annotations
@@ -113,6 +113,17 @@ def _scan(n: int):
     return run
 
 
+def _scan_texts(n: int):
+    """As _scan, with the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, col in text_chunks(batches):
+            known = np.array([_named(x) for x in _shingles(col, n)], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(known[:, i]) for i in range(3)), batch.column(1)], names=[*names(SCAN), "text"])
+
+    return run
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, col in text_chunks(batches):
@@ -315,9 +326,9 @@ def _shares_enough(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def _spanning_links(ids: list[int], listed: np.ndarray, comp: np.ndarray, base: int, posted: list[np.ndarray], bits: list[bytes], items: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
-    """Links between queries (sets outside the component `base`) and listed sets that join what no link before joined."""
-    asks, there = np.flatnonzero(comp != base), np.flatnonzero(listed)
+def _spanning_links(ids: list[int], listed: np.ndarray, asking: np.ndarray, comp: np.ndarray, posted: list[np.ndarray], bits: list[bytes], items: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between asking sets and listed sets that join what no link before joined."""
+    asks, there = np.flatnonzero(asking), np.flatnonzero(listed)
     if not len(asks) or not len(there):
         return []
     lengths = np.array([len(p) for p in posted])
@@ -354,7 +365,7 @@ def _spanning_links(ids: list[int], listed: np.ndarray, comp: np.ndarray, base:
 
 
 def _search(num: int, den: int):
-    """Rows sorted by group: leader, band, part, id, listed, comp, base, posted, bits, items; a group may span batches."""
+    """Rows sorted by group: leader, band, part, block, id, listed, asking, comp, posted, bits, items; a group may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -373,7 +384,7 @@ def _search(num: int, den: int):
 
 
 def _group_cuts(rows: pa.Table) -> list[int]:
-    keys = [rows[c].to_numpy() for c in ("leader", "band", "part")]
+    keys = [rows[c].to_numpy() for c in ("leader", "band", "part", "block")]
     new = np.zeros(rows.num_rows, bool)
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
@@ -384,18 +395,23 @@ def _compared(rows: pa.Table, cuts: list[int], num: int, den: int) -> pa.RecordB
     out = []
     if rows.num_rows:
         ids, bits, items = (rows[c].to_pylist() for c in ("id", "bits", "items"))
-        listed, comp, base = (rows[c].to_numpy() for c in ("listed", "comp", "base"))
+        listed, asking, comp = (rows[c].to_numpy() for c in ("listed", "asking", "comp"))
         lists = rows["posted"].combine_chunks()
         at, values = lists.offsets.to_numpy(), lists.flatten().to_numpy()
         at = at - at[0]
         posted = [values[x:y] for x, y in zip(at, at[1:])]
         for a, b in zip(cuts, cuts[1:]):
-            out += _spanning_links(ids[a:b], listed[a:b], comp[a:b], int(base[a]), posted[a:b], bits[a:b], items[a:b], num, den)
+            out += _spanning_links(ids[a:b], listed[a:b], asking[a:b], comp[a:b], posted[a:b], bits[a:b], items[a:b], num, den)
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
-def similar_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, group: int = GROUP, part: int = PART) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles (its set's size) and component_id.
+def similar_groups(docs: DataFrame, *options, **named) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles (its set's size) and component_id; see grouped_rows() for the rest."""
+    return grouped_rows(docs, *options, **named).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped_rows(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, group: int = GROUP, part: int = PART) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles (its set's size), s1 and s2 (which name its set with it) and component_id.
 
     Documents link when den * intersection >= num * union of their sets of n-word shingles of ASCII-lower-cased
     words; component_id is the smallest doc_id reachable by links. docs needs doc_id (rows without one take no part)
@@ -422,7 +438,7 @@ def similar_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, grou
     of_class = classes.join(comp.join(least, "component").select("id", "component_id"), "id", "left")
     of_class = stored(of_class.select(*KEY, F.coalesce("component_id", "doc_id").alias("component_id")), "ngram-named")
     drop_stored(links, found, comp, classes)
-    return scan.join(of_class, KEY, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return scan.join(of_class, KEY, "left").select("doc_id", *KEY, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _posted(src: DataFrame, scan: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -499,14 +515,19 @@ def _searched_links(sets: DataFrame, posted: DataFrame, lists: DataFrame, comp:
     rows = lists.join(comp, "id", "left").select("shingle", "band", "leader", "id", F.coalesce("component", "id").alias("comp"))
     open_ = rows.groupBy("shingle", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle", "band")
     live = stored(rows.join(open_, ["shingle", "band"], "left_semi").select("leader", "band", "id", "comp").distinct(), "ngram-live")
-    size = live.groupBy("leader", "band").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"), F.min_by("comp", "id").alias("base"))
-    live = live.join(size, ["leader", "band"])
-    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
-    live = live.withColumn("own", mine).withColumn("part", F.explode(F.when(F.col("comp") == F.col("base"), F.array("own")).otherwise(everywhere)))
-    live = live.select("leader", "band", "part", "id", (F.col("part") == F.col("own")).alias("listed"), "comp", "base")
-    live = live.join(posted.select("id", "posted").join(sets, "id"), "id").select("leader", "band", "part", "id", "listed", "comp", "base", "posted", "bits", "items")
-    key = ["leader", "band", "part"]
+    size = live.groupBy("leader", "band").agg(F.count("*").alias("n"), F.min_by("comp", "id").alias("base"))
+    asks = live.join(size, ["leader", "band"]).where("comp <> base").groupBy("leader", "band").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
+    size = stored(size.join(asks, ["leader", "band"]).withColumn("parts", F.ceil(F.col("n") / group).cast("int")), "ngram-sizes")
+    own = lambda c, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(c)).cast("int")
+    live = live.join(size, ["leader", "band"]).withColumn("part", own("parts", 1)).withColumn("block", F.when(F.col("comp") != F.col("base"), own("blocks", 2)))
+    # a set is listed in its part, for every block that asks there, and asks from its block in every part
+    cell = lambda part, block, listed, asking: F.struct(part.alias("part"), block.alias("block"), listed.alias("listed"), asking.alias("asking"))
+    listed = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: cell(F.col("part"), b, F.lit(True), F.coalesce(b == F.col("block"), F.lit(False))))
+    asking = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part")), lambda p: cell(p, F.col("block"), F.lit(False), F.lit(True)))
+    cells = F.explode(F.when(F.col("block").isNull(), listed).otherwise(F.concat(listed, asking))).alias("cell")
+    live = live.select("leader", "band", "id", "comp", cells).select("leader", "band", "cell.*", "id", "comp")
+    live = live.join(posted.select("id", "posted").join(sets, "id"), "id").select("leader", "band", "part", "block", "id", "listed", "asking", "comp", "posted", "bits", "items")
+    key = ["leader", "band", "part", "block"]
     return stored(live.repartition(*key).sortWithinPartitions(*key).mapInArrow(_search(num, den), "a long, b long"), "ngram-links")
 
 
@@ -517,12 +538,21 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, 0.8): the one with the smallest doc_id.
 
-    Of rows with the same doc_id one stays. Rows without a doc_id, which no link can name, stay. Null, empty and
-    blank texts are near copies of nothing and stay; an empty table gives an empty one; other columns pass unchanged.
+    Of rows with the same doc_id one stays: of those that are not near copies of a smaller doc_id the one with the
+    smallest text, of equal texts the one with the smallest other columns. Rows without a doc_id, which no link can
+    name, stay. Null, empty and blank texts are near copies of nothing and stay; an empty table gives an empty one;
+    other columns pass unchanged.
     """
-    kept = similar_groups(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = stored(grouped_rows(docs), "ngram-rows")
+    kept = rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(F.col("doc_id") == F.col("component_id")).alias("n")).where("n > 0")
     kept = stored(kept, "ngram-kept")
-    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi").select(*docs.columns)
-    again = kept.where("n > 1").select("doc_id")
-    several = prune_by_ids(docs, again, "doc_id").join(again, "doc_id", "left_semi").select(*docs.columns)
-    return once.union(several.dropDuplicates(["doc_id"])).union(docs.where("doc_id is null"))
+    once = docs.join(kept.where("rows = 1"), "doc_id", "left_semi").select(*docs.columns)
+    again = kept.where("rows > 1").select("doc_id")
+    several = prune_by_ids(docs, again, "doc_id").join(again, "doc_id", "left_semi")
+    # texts of repeated ids are cut into sets once more, which tells which of them stays
+    texts = several.select("doc_id", F.col("text").cast("string").alias("text")).distinct().mapInArrow(_scan_texts(5), f"{SCAN}, text string")
+    stays = texts.join(rows.where("doc_id = component_id").select("doc_id", *KEY).distinct(), ["doc_id", *KEY])
+    stays = stays.groupBy("doc_id").agg(F.min("text").alias("__text"), F.count_if(F.col("text").isNull()).alias("__nulls"))
+    several = several.join(stays, "doc_id").where("(__nulls > 0 and text is null) or (__nulls = 0 and text = __text)").select(*docs.columns)
+    first = several.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("r")).select("r.*")
+    return once.union(first.select(*docs.columns)).union(docs.where("doc_id is null"))

@@ -255,6 +255,38 @@ def test_ngram_join_repeated_ids_with_other_texts(spark):
     assert got == collections.Counter((i % len(texts), n, least[c]) if n else (i % len(texts), 0, i % len(texts)) for i, (n, c) in force.items())
 
 
+def test_near_duplicate_stage_keeps_rows_by_id_and_text(spark, sf):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(2, a), (5, a + " z"), (5, b), (7, c), (7, None), (8, b + " z"), (9, c), (9, c), (None, a), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    got = sorted(((r["doc_id"], r["text"]) for r in ngram_join.near_duplicate_stage(spark, docs, sf).collect()), key=repr)
+    # a null text is a near copy of nothing, and the smallest of its doc_id
+    assert got == sorted([(2, a), (5, b), (7, None), (None, a), (None, None)], key=repr)
+
+
+def test_ngram_join_groups_that_share_without_linking_are_searched_in_cells(spark, monkeypatch):
+    rng = random.Random(11)
+    blocks = [" ".join(f"b{k}w{x}" for x in range(12)) for k in range(30)]
+    texts = [" ".join(blocks[k] for k in sorted(rng.sample(range(30), 20))) for _ in range(1500)]
+    texts += [t + " end" for t in texts[:40]]
+    seen = []
+    search = ngram_join._compared
+    sizes = spark.sparkContext.accumulator(0)
+
+    def compared(rows, cuts, num, den):
+        for x, y in zip(cuts, cuts[1:]):
+            sizes.add(int(y - x > 2 * 64 + 64))  # hashes deal parts of about 64
+        return search(rows, cuts, num, den)
+
+    monkeypatch.setattr(ngram_join, "_compared", compared)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_groups(docs_of(spark, texts), n=3, num=9, den=10, part=64).collect()}
+    assert sizes.value == 0 and not seen
+    assert [got[1500 + k] for k in range(40)] == [got[k] for k in range(40)]
+    assert len(set(got.values())) == len({frozenset(zip(w, w[1:], w[2:])) for w in word_lists(texts[:1500])})
+
+
 def test_t_occurrence():
     rng = random.Random(1)
     for _ in range(200):
