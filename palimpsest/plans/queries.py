@@ -549,4 +549,4 @@ def revenue_by_nation(spark, sf_dir):
     return joined.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-from palimpsest.plans import inventory  # noqa: E402, F401  (registers its queries)
+from palimpsest.plans import inventory, structure  # noqa: E402, F401  (register their queries)
