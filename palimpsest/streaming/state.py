@@ -49,3 +49,42 @@ def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day
     from pyspark.sql import functions as F
 
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", "event_type", "n", "total")
+
+
+def upsert_batch(batch: DataFrame, batch_id: int, path: str, key: list[str], version: list[str]) -> None:
+    """Merges a batch into the keyed table under path: of each key the row of the greatest version stays.
+
+    Every batch writes a table of its own, made of the one before it and of the batch alone, so that a batch that comes
+    again, after a failure say, writes the same rows in the same place. For use in foreachBatch.
+    """
+    from pyspark.sql import functions as F
+
+    spark = batch.sparkSession
+    rows = batch
+    done = [b for b in _batches(spark, path) if b < batch_id]
+    if done:
+        rows = spark.read.schema(batch.schema).parquet(f"{path}/batch={max(done)}").unionByName(batch)
+    order = F.struct(*version, *[c for c in rows.columns if c not in version])
+    newest = rows.groupBy(*key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+    newest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def _batches(spark, path: str) -> list[int]:
+    """Numbers of the batches whose tables are complete."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    tables = [s.getPath() for s in files.listStatus(folder)]
+    return [int(p.getName().split("=")[1]) for p in tables if p.getName().startswith("batch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def current_table(spark, path: str, schema) -> DataFrame:
+    """The keyed table as the last complete batch left it; empty before the first."""
+    done = _batches(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/batch={max(done)}") if done else spark.createDataFrame([], schema)
+
+
+def upsert_stream(rows: DataFrame, path: str, key: list[str], version: list[str], checkpoint: str):
+    """A stream writer that keeps the keyed table under path up to date; start() it."""
+    return rows.writeStream.foreachBatch(lambda batch, k: upsert_batch(batch, k, path, key, version)).option("checkpointLocation", checkpoint)
