@@ -1,7 +1,7 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page becomes blocks: runs of text between the tags that begin or end one. A linear classifier over a block's
-surroundings and its own look gives two costs, which are the capacities of its edges to the terminals "content" and
+A page becomes blocks: runs of text between the tags that begin or end one. A logistic classifier over a block's
+surroundings and its own look, fitted to pages whose article is marked, gives two costs, which are the capacities of its edges to the terminals "content" and
 "boilerplate". Blocks that follow each other, and the next block of the same parent, are joined by smoothness edges,
 the stronger the more of their ancestors they share. The minimum cut, found by maximum flow, labels the blocks.
 """
@@ -42,11 +42,17 @@ HEADER_WORDS = {"header", "head", "top"}
 MAIN_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
 BESIDE = set("site page web global main primary secondary top bottom left right side inner outer mobile desktop wrapper wrap container box block area section list item items links link bar content text widget module unit slot col column row fixed sticky article post entry blog to policy thread".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+ASIDE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
-# The classifier: what speaks for content (positive) and against it.
-WEIGHTS = {"away": -6.0, "header": -5.0, "inside": 2.5, "main": 1.0, "links": -1.5, "long": 1.5, "sentence": 0.5, "short": -1.5, "heading": 0.75, "base": -0.25}
+# The classifier: what speaks for content (positive) and against it. Fitting starts from these and stays near them where
+# pages say nothing; the last two are the marks of an article, which tell the labels and so are no part of the fit.
+WEIGHTS = {"base": -0.25, "away": -6.0, "header": -5.0, "links": -1.5, "long": 1.5, "sentence": 0.5, "short": -1.5, "heading": 0.75, "inside": 2.5, "main": 1.0}
+MARKS = 2
+FIT_PAGES, FIT_BLOCKS = 1000, 200  # pages whose article is marked, and of each the first blocks, that weights are fitted to
+TRUST = 0.02  # of the pull towards WEIGHTS, a labelled block
 NEAR, SIBLING, SEAM = 2.2, 0.75, 0.4
 
 
@@ -79,6 +85,29 @@ def _is_away(words: list[list[str]]) -> bool:
     return any(any(w in AWAY_WORDS for w in one) and all(w in AWAY_WORDS or w in BESIDE for w in one) for one in words)
 
 
+class Tags:
+    """The ends of a page's tags: the next > that no quotes hold, or the next > at all where quotes are not closed."""
+
+    def __init__(self, page: str):
+        self.page, self.open_ended = page, set()  # quotes of which no other one follows
+
+    def end(self, at: int) -> tuple[int, int]:
+        """(where the attributes from `at` on end, where the tag ends)."""
+        pos = at
+        while True:
+            m = STOP.search(self.page, pos)
+            if not m:
+                return len(self.page), len(self.page)
+            if m[0] == ">":
+                return m.start(), m.end()
+            close = -1 if m[0] in self.open_ended else self.page.find(m[0], m.end())
+            if close < 0:
+                self.open_ended.add(m[0])
+                stop = self.page.find(">", m.end())
+                return (stop, stop + 1) if stop >= 0 else (len(self.page), len(self.page))
+            pos = close + 1
+
+
 class Block:
     __slots__ = ("linked", "name", "node", "text", "what")
 
@@ -98,7 +127,7 @@ def blocks_of(page: str) -> list[Block]:
     endless: set[str] = set()  # names with no end tag further on
     parts: list[tuple[str, bool]] = []
     plain = (False, False, False, False)
-    linked, at, n = 0, 0, len(page)
+    linked, at, n, tags = 0, 0, len(page), Tags(page)
 
     def flush() -> None:
         if parts:
@@ -126,17 +155,19 @@ def blocks_of(page: str) -> list[Block]:
             parts.append((page[at:start], linked > 0))
         if start == n:
             break
-        m = TOKEN.match(page, start)
+        m = ASIDE.match(page, start)
+        if m:
+            at = m.end()
+            continue
+        m = TAG.match(page, start)
         if not m:
             parts.append(("<", linked > 0))
             at = start + 1
             continue
-        at = m.end()
-        if m[2] is None:
-            continue
-        name, closing = m[2].lower(), bool(m[1])
+        stop, at = tags.end(m.end())
+        name, closing, given = m[2].lower(), bool(m[1]), page[m.end() : stop]
         if name in SILENT:
-            if not closing and not m[3].rstrip().endswith("/"):
+            if not closing and not given.rstrip().endswith("/"):
                 end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 if end:
                     at = end.end()
@@ -153,7 +184,7 @@ def blocks_of(page: str) -> list[Block]:
         if name == "br":
             parts.append((" ", False))
             continue
-        raw = "" if closing else m[3]
+        raw = "" if closing else given
         if name in BLOCK:
             flush()
         elif closing or name in VOID or not ("hidden" in raw or "class" in raw or "id" in raw or "role" in raw or "style" in raw or name in AWAY):
@@ -190,15 +221,33 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def preference(b: Block) -> float:
-    """How strongly the classifier takes a block for content (negative: for boilerplate)."""
+def features(b: Block) -> list[float]:
+    """What the classifier sees of a block, in the order of WEIGHTS."""
     away, header, inside, main = b.what
     words = b.text.count(" ") + 1
-    w = WEIGHTS
-    return (
-        w["base"] + w["away"] * away + w["header"] * header + w["inside"] * inside + w["main"] * main + w["links"] * (b.linked / len(b.text))
-        + w["long"] * min(words / 25, 2) + w["sentence"] * (b.text[-1] in ".!?…") + w["short"] * (words < 4) + w["heading"] * (b.name in HEADINGS)
-    )
+    return [1.0, away, header, b.linked / len(b.text), min(words / 25, 2), b.text[-1] in ".!?…", words < 4, b.name in HEADINGS, inside, main]
+
+
+def preference(b: Block, weights=tuple(WEIGHTS.values())) -> float:
+    """How strongly the classifier takes a block for content (negative: for boilerplate)."""
+    return sum(w * float(x) for w, x in zip(weights, features(b)))
+
+
+def fitted(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Weights of a logistic classifier of blocks (features without the marks; 1: content) that stays near WEIGHTS.
+
+    Newton's method on the log-likelihood less half the squared distance from WEIGHTS, TRUST of it for each block, so
+    that what many pages agree on moves the weights, and without pages they are WEIGHTS.
+    """
+    prior = np.array(list(WEIGHTS.values()))
+    w, pull = prior[:-MARKS].copy(), TRUST * max(len(x), 1)
+    for _ in range(30 if len(x) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), x.T @ (y - p) - pull * (w - prior[:-MARKS]))
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return [*w.tolist(), *prior[-MARKS:].tolist()]
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -281,28 +330,55 @@ def _flow(nodes: list[int], prefer: list[float], near: list[dict[int, float]]) -
             room[b][a] += push
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, weights=tuple(WEIGHTS.values())) -> str:
     blocks = blocks_of(page)
-    kept = minimum_cut([preference(b) for b in blocks], edges_of(blocks))
+    kept = minimum_cut([preference(b, weights) for b in blocks], edges_of(blocks))
     return "\n\n".join(b.text for b, k in zip(blocks, kept) if k)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features without the marks, and labels, of the blocks of pages that mark an article and have more than it."""
     for batch, col in text_chunks(batches, "html"):
-        texts = [main_text(page) for page in col.to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["page_id", "url", "text", "n_chars"]
-        )
+        rows = []
+        for page in col.to_pylist():
+            blocks = blocks_of(page)
+            inside = [b.what[2] for b in blocks]
+            if any(inside) and not all(inside):
+                rows += [[*map(float, features(b)[:-MARKS]), float(b.what[2] and not b.what[0])] for b in blocks[:FIT_BLOCKS]]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["x"])
+
+
+def fit_weights(pages: DataFrame) -> list[float]:
+    """Weights fitted to FIT_PAGES pages that mark their article, those of smallest hash; without any, WEIGHTS."""
+    marked = pages.where(F.rlike("html", F.lit("(?i)<(article|main)[\\s>]")))
+    rows = [r["x"] for r in marked.orderBy(F.xxhash64("page_id"), "page_id").limit(FIT_PAGES).select("html").mapInArrow(_labelled, "x array<double>").collect()]
+    rows = sorted(map(tuple, rows))  # sums do not depend on the order in which tasks end
+    if not rows:
+        return list(WEIGHTS.values())
+    x = np.array(rows)
+    return fitted(x[:, :-1], x[:, -1])
+
+
+def _extract(weights: list[float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, col in text_chunks(batches, "html"):
+            texts = [main_text(page, weights) for page in col.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["page_id", "url", "text", "n_chars"]
+            )
+
+    return run
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """Per row of pages: page_id, url, text (blocks of content joined by an empty line) and n_chars (code points).
 
     pages needs page_id, url and html; other columns are ignored. A null, empty or tag-only page has an empty text;
-    repeated rows are each extracted; broken markup is read as far as it goes; nothing is capped.
+    repeated rows are each extracted; broken markup is read as far as it goes; nothing is capped. The classifier's
+    weights are fitted to pages that mark their article (see fit_weights), which pages without marks gain from.
     """
     src = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return src.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return src.mapInArrow(_extract(fit_weights(src)), "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
