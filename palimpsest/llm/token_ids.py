@@ -7,6 +7,7 @@ characters, and on both sides of a single newline between them. The ids of the p
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +18,7 @@ TOKENIZER = "byte_bpe_50k.json"
 NEWLINE = "\n"
 BATCH_PIECES = 512
 MOST_KNOWN = 1_500_000
+PLAIN = re.compile(r" ?\S(?:[^\n]*\S)?")  # visible at both ends, without a newline
 
 
 @lru_cache(maxsize=4)
@@ -65,8 +67,8 @@ def _encode(pieces: list[str], tok) -> tuple[np.ndarray, np.ndarray]:
     values, lengths = [], np.zeros(len(pieces), np.int64)
     for a in range(0, len(pieces), BATCH_PIECES):
         part = pieces[a : a + BATCH_PIECES]
-        if len(newline) == 1 and all(map(_plain, part)):
-            ids = np.array(tok.encode(NEWLINE.join(part), add_special_tokens=False).ids, np.int32)
+        if len(newline) == 1 and all(map(PLAIN.fullmatch, part)):
+            ids = np.array(tok.encode_batch_fast([NEWLINE.join(part)], add_special_tokens=False)[0].ids, np.int32)
             line = ids == newline[0]
             ends = np.flatnonzero(line)
             if len(ends) == len(part) - 1:
@@ -79,11 +81,6 @@ def _encode(pieces: list[str], tok) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values) if values else np.empty(0, np.int32), lengths
 
 
-def _plain(piece: str) -> bool:
-    body = piece.removeprefix(" ")
-    return bool(body) and not body[0].isspace() and not body[-1].isspace() and NEWLINE not in body
-
-
 class Known:
     """Pieces that this process has encoded, by hash: sorted keys, and where their ids are in one array."""
 
