@@ -26,10 +26,10 @@ END_ID = 0
 SHARD = 4000
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 4
+POPULATION = 6
 GENERATIONS = 20
 PATIENCE = 4  # generations without a better packing
-EXCHANGES = 60  # bins of a child that take part
+EXCHANGES = 200  # bins of a child that take part
 WELL_FILLED = 0.995
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -827,6 +827,16 @@ def test_genetic_packing_beats_best_fit():
     assert plain.max() + 1 >= 45 and best.max() + 1 <= 42
 
 
+@pytest.mark.parametrize("n", [250, 1000, 4000])
+def test_genetic_packing_gains_at_every_size(n):
+    rng = np.random.default_rng(n)
+    length = np.sort(rng.integers(410, 1024, n))[::-1].copy()
+    first = packing.evolve(length, packing.CAPACITY, 1, [])
+    again = packing.evolve(length, packing.CAPACITY, 2, first[:2])
+    bins = [int(x.max()) + 1 for x in (packing._fresh(length, packing.CAPACITY, rng, 0.0), again[0])]
+    assert bins[0] - bins[1] >= 0.5 * (bins[0] - packing.least_bins(length, packing.CAPACITY))
+
+
 def test_least_bins():
     rng = random.Random(6)
     assert packing.least_bins(np.array([], np.int64), 10) == 0 and packing.least_bins(np.array([6, 6, 6]), 10) == 3
