@@ -7,8 +7,9 @@ P(word | class, history) for its own words and P(tail class | other, history); w
 add-one unigram shares.
 
 Training covers every training text once, in two rounds: each task trains a replica from the round's common start
-by truncated backpropagation over windows of STEPS words in LANES texts side by side; replicas are averaged,
-weighted by their words, in a tree of groups of FAN. In training and scoring the state is carried across windows, so a
+by truncated backpropagation over windows of STEPS words in LANES texts side by side (of more, up to LONGEST_WINDOW,
+where fewer texts are left); replicas are averaged, weighted by their words, in a tree of groups of FAN. A round has
+no more replicas than give each REPLICA_WORDS words (or FEW_REPLICAS), so that averaging many that learnt little does not cost the gain. In training and scoring the state is carried across windows, so a
 text has its whole likelihood. Counts of words beyond the HOT most frequent come by a join.
 """
 
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import split_words, stored, table, text_chunks
+from .common import drop_stored, split_words, stored, table, text_chunks
 
 VOCABULARY = 2048
 CLASS_WORDS = 32
@@ -40,6 +41,7 @@ FAN = 16
 RATE = 0.08
 BLOCK = 1024
 FIRST_ROUND = 8
+REPLICA_WORDS, FEW_REPLICAS = 400_000, 4  # a replica sees so many words at least, unless replicas are few, whose mean is steadier than one
 LARGE = 60.0
 END = "\n"  # never part of a word
 
@@ -370,9 +372,11 @@ def averaged(replicas: DataFrame, fallback: bytes) -> bytes:
     now = stored(replicas, "lm-replicas")
     top = now.agg(F.max("replica")).first()[0]
     while top is not None and top > 0:
-        now = stored(now.groupBy(F.floor(F.col("replica") / FAN).alias("k")).applyInArrow(_mean, schema), "lm-replicas")
+        before, now = now, stored(now.groupBy(F.floor(F.col("replica") / FAN).alias("k")).applyInArrow(_mean, schema), "lm-replicas")
+        drop_stored(before)
         top //= FAN
     row = now.select("weights").first()
+    drop_stored(now)
     return bytes(row[0]) if row else fallback
 
 
@@ -477,8 +481,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
     lexicon = spark.sparkContext.broadcast(lex)
     weights = Model.start(lex.class_mass, lex.word_mass).pack()
     early = F.pmod(F.xxhash64("doc_id"), F.lit(FIRST_ROUND)) == 0
-    for part in (train.where(early), train.where(~early)):
-        replicas = part.mapInArrow(_train(lexicon, spark.sparkContext.broadcast(weights)), "replica long, n double, weights binary")
+    for part, words in ((train.where(early), n // FIRST_ROUND), (train.where(~early), n - n // FIRST_ROUND)):
+        # fewer and larger parts where they are small; parts of a large table stay as they are
+        replicas = part.coalesce(max(FEW_REPLICAS, words // REPLICA_WORDS)).mapInArrow(_train(lexicon, spark.sparkContext.broadcast(weights)), "replica long, n double, weights binary")
         weights = averaged(replicas, weights)
     scored = src.mapInArrow(_score(lexicon, spark.sparkContext.broadcast(weights)), "doc_id long, n_tokens long, n_known long, base double, score double, open array<string>")
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")  # doc_ids can repeat; a written row's number stays

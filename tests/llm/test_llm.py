@@ -171,6 +171,15 @@ def test_language_model_trains_long_texts_in_one_carried_state(monkeypatch):
     assert all(len(x) == 1 and (k == 0 or x.any()) for k, x in enumerate(starts))
 
 
+def test_language_model_gain_does_not_fall_with_partitions(spark):
+    docs = common.table(spark, "/root/testdata/sf0.1", "documents")
+    gains = {}
+    for parts in (1, 8, 64):
+        r = language_model.score_texts(docs.repartition(parts, "doc_id")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        gains[parts] = (r[0] - r[1]) / r[2]
+    assert min(gains.values()) > 0.3 and gains[64] > 0.9 * gains[8] and gains[8] > 0.9 * gains[1], gains
+
+
 def test_language_model_empty(spark):
     assert language_model.score_texts(docs_of(spark, [])).count() == 0
     r = language_model.score_texts(docs_of(spark, [None])).collect()
