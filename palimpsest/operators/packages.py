@@ -52,10 +52,16 @@ def unique_part_names(df: DataFrame, name: str, digest: str, order: str, out: st
     return df.join(named, [name, digest])
 
 
+# Start and factor of the 32-bit FNV-1a hash.
+FNV_START, FNV_FACTOR = 2166136261, 16777619
+
+
 def group_id_of(name: Column) -> Column:
-    """A 32-bit FNV-1a hash of an ASCII name, without its sign: which move a range belongs to."""
-    step = lambda h, c: F.shiftright(F.shiftleft((h.bitwiseXOR(F.ascii(c).cast("long"))) * 16777619, 32), 32).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.aggregate(F.filter(F.split(name, ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step).bitwiseAND(F.lit(0x7FFFFFFF))
+    """The FNV-1a hash of a name's UTF-8 bytes, without its sign: which move a range belongs to."""
+    bits = F.hex(F.encode(name, "utf-8"))
+    octets = F.transform(F.sequence(F.lit(1), F.length(bits), F.lit(2)), lambda k: F.conv(F.substring(bits, k, F.lit(2)), 16, 10).cast("long"))
+    step = lambda h, c: (h.bitwiseXOR(c) * FNV_FACTOR).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.aggregate(F.when(F.length(name) > 0, octets).otherwise(F.array().cast("array<long>")), F.lit(FNV_START).cast("long"), step).bitwiseAND(F.lit(0x7FFFFFFF))
 
 
 def fingerprint(*parts: Column) -> Column:

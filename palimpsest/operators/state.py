@@ -34,10 +34,22 @@ def peek(events: DataFrame, key: str, visitors: DataFrame, visitor: str, limit:
     return visitors.join(used, visitor, "left").select(visitor, F.least(F.coalesce("n", F.lit(0)), F.lit(limit)).cast("int").alias("used"))
 
 
-def released(events: DataFrame, key: str, release: Column, limit: int) -> DataFrame:
-    """(key, used): reservations, limit at most, less releases; never below nothing."""
-    used = F.least(F.count_if(~release), F.lit(limit)) - F.count_if(release)
-    return events.groupBy(key).agg(F.greatest(F.lit(0), used).cast("int").alias("used"))
+def released(events: DataFrame, key: str, order: list[str], release: Column, limit: int, stretch: str = "stretch") -> DataFrame:
+    """(key, used): reservations, limit at most, and releases, which take back one of them, in their order.
+
+    A reservation beyond the limit and a release of nothing change nothing. What a stretch of events does to a counter
+    is to add a number and to keep the result between two others, so stretches of a key (the column `stretch`, which
+    grows with order) are folded one by one and then one after the other; no task holds all events of a key.
+    """
+    step = events.select(key, stretch, F.struct(*order).alias("o"), F.when(release, -1).otherwise(1).alias("d"))
+    # x becomes least(greatest(x + add, low), high)
+    start = F.struct(F.lit(0).alias("add"), F.lit(0).alias("low"), F.lit(limit).alias("high"))
+    bounded = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(limit))
+    one = lambda s, e: F.struct((s["add"] + e["d"]).alias("add"), bounded(s["low"] + e["d"]).alias("low"), bounded(s["high"] + e["d"]).alias("high"))
+    parts = step.groupBy(key, stretch).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("o", "d"))), start, one).alias("s"))
+    through = lambda x, p: F.least(F.greatest(x + p["s"]["add"], p["s"]["low"]), p["s"]["high"])
+    used = F.aggregate(F.array_sort(F.collect_list(F.struct(stretch, "s"))), F.lit(0), through)
+    return parts.groupBy(key).agg(used.cast("int").alias("used"))
 
 
 def subscription_state(transaction: Column, renewal: Column) -> list[Column]:

@@ -5,32 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.sources.scratch import written
 
 BINS = 1024
+OCTAVE = 64  # bins for each doubling
+NARROWER = 1  # times that bins are cut again
+
+
+def _running(df: DataFrame, by: list[str], bin_: str) -> DataFrame:
+    """Adds before: how many values lie in the bins of a group (or of a bin that is cut again) before each."""
+    w = Window.partitionBy(*by).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
     """Per group: n and q, the exact percentiles (linear between neighbours) in the order of shares.
 
-    Two passes: counts of BINS equal bins of each group's range, from which the bins of the wanted ranks follow, then
-    the distinct values of those bins alone. No task holds a group's values; nulls do not count.
+    Counts of bins on a logarithmic scale, the same for all groups, tell in which bins the wanted ranks lie. Those bins
+    are cut into BINS equal ones of the range that they really have, NARROWER times, and of what is left the distinct
+    values are counted. Neither far values nor many equal ones put a group's values together; nulls do not count.
     """
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
-    span = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    width = F.col("high") - F.col("low")
-    place = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width * BINS), F.lit(BINS - 1))).otherwise(0)
-    binned = rows.join(span, by).select(*by, "v", place.cast("int").alias("bin"))
-    bins = binned.groupBy(*by, "bin").agg(F.count("*").alias("c"))
-    before = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))  # BINS rows of a group at most
+    size = F.lit(1) + F.floor((F.log2(F.abs("v")) + 1100) * OCTAVE)
+    rows = rows.withColumn("b0", F.when(F.col("v") == 0, 0).when(F.col("v") > 0, size).otherwise(-size).cast("long"))
+    counted = lambda r, key: r.groupBy(*key).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+    bins = _running(counted(rows, [*by, "b0"]), by, "b0")
+    total = bins.groupBy(*by).agg(F.sum("c").alias("n"))
     # the ranks on both sides of each percentile
     at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(s) * (F.col("n") - 1)).alias("rank")) for k, s in enumerate(shares)])).alias("w")
-    wanted = span.select(*by, "n", at).select(*by, "n", "w.k", "w.rank", F.explode(F.array(F.floor("w.rank"), F.ceil("w.rank"))).alias("r")).distinct()
-    inside = wanted.join(bins, by).where("r >= before and r < before + c").select(*by, "n", "k", "rank", "r", "bin", "before")
-    values = binned.join(inside.select(*by, "bin").distinct(), [*by, "bin"], "left_semi").groupBy(*by, "bin", "v").agg(F.count("*").alias("c"))
-    lower = Window.partitionBy(*by, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    values = values.withColumn("lower", F.coalesce(F.sum("c").over(lower), F.lit(0)))
-    met = inside.join(values, [*by, "bin"]).where("r >= before + lower and r < before + lower + c")
+    wanted = total.select(*by, "n", at).select(*by, "n", "w.k", "w.rank", F.explode(F.array(F.floor("w.rank"), F.ceil("w.rank"))).alias("r")).distinct()
+    key = [*by, "b0"]
+    inside = wanted.withColumn("base", F.lit(0).cast("long")).join(bins, by)
+    for level in range(1, NARROWER + 2):
+        # a row for each wanted rank; written, so that a pass over the values does not hold the passes before it
+        inside = written(inside.where("r - base >= before and r - base < before + c").withColumn("base", F.col("base") + F.col("before")).drop("before", "c"), "ranks")
+        chosen = inside.select(*key, "low", "high").distinct()
+        inside = inside.drop("low", "high")
+        last = level > NARROWER
+        place = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
+        rows = rows.join(chosen, key).withColumn(f"b{level}", F.col("v") if last else F.when(F.col("high") > F.col("low"), place).otherwise(0).cast("int")).drop("low", "high")
+        cut = _running(counted(rows, [*key, f"b{level}"]), key, f"b{level}")
+        inside = inside.join(cut, key)
+        key = [*key, f"b{level}"]
+    met = written(inside.where("r - base >= before and r - base < before + c").withColumn("v", F.col("low")), "ranks")
     one = met.groupBy(*by, "n", "k", "rank").agg(F.min("v").alias("a"), F.max("v").alias("b"))
     one = one.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank")))
     return one.groupBy(*by, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda x: x["q"]).alias("q"))

@@ -63,7 +63,7 @@ def next_free_ids(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg((F.max("c_custkey") + 1).alias("next_id"), (F.max("c_custkey") - F.count("*")).alias("gaps"))
 
 
-@query("select s_suppkey, list_reduce(list_prepend(cast(2166136261 as bigint), list_transform(string_split(s_name, ''), lambda c: cast(ord(c) as bigint))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) & 2147483647 as move_group_id from supplier")
+@query("select s_suppkey, list_reduce(list_prepend(cast(2166136261 as bigint), list_transform(generate_series(1, octet_length(encode(s_name))), lambda k: cast('0x' || substr(hex(encode(s_name)), 2 * k - 1, 2) as bigint))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) & 2147483647 as move_group_id from supplier")
 def move_group_ids(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", packages.group_id_of(F.col("s_name")).alias("move_group_id"))
 
@@ -277,9 +277,10 @@ def quota_peek(spark, sf_dir):
     return state.peek(table(spark, sf_dir, "events"), "user_id", table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 5)
 
 
-@query("select user_id, cast(greatest(0, least(count(*) filter (event_type <> 'click'), 5) - count(*) filter (event_type = 'click')) as int) as used from events group by 1")
+@query("select user_id, cast(list_reduce(list_prepend(0, list(case when event_type = 'click' then -1 else 1 end order by ts, event_id)), lambda used, d: least(greatest(used + d, 0), 5)) as int) as used from events group by 1")
 def quota_release(spark, sf_dir):
-    return state.released(table(spark, sf_dir, "events"), "user_id", F.col("event_type") == "click", 5)
+    e = table(spark, sf_dir, "events").withColumn("stretch", F.to_date("ts"))
+    return state.released(e, "user_id", ["ts", "event_id"], F.col("event_type") == "click", 5)
 
 
 @query(

@@ -504,10 +504,12 @@ def _context(n: int) -> str:
     f" select doc_id, line_no, cast(coalesce({_context(40)}, {_context(20)}, {_context(10)}, {_context(0)}, 0) as bigint) as at from w"
 )
 def context_locate(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    before = F.concat(F.coalesce(F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_no")), F.lit("")), F.lit("\n"))
-    w = lines(docs).withColumn("before", before).join(docs.select("doc_id", "text"), "doc_id")
-    return w.select("doc_id", "line_no", relations.locate_in_context(F.col("text"), F.col("before"), F.col("line")).cast("long").alias("at"))
+    # a text is there once, and its lines are looked for in it where it is
+    visible = F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")
+    before = lambda k: F.concat(F.coalesce(F.try_element_at("l", F.when(k > 0, k).cast("int")), F.lit("")), F.lit("\n"))
+    docs = docs_of(spark, sf_dir).select("doc_id", "text", visible.alias("l"))
+    places = F.transform("l", lambda line, k: relations.locate_in_context(F.col("text"), before(k), line).cast("long"))
+    return docs.select("doc_id", F.posexplode(places).alias("line_no", "at"))
 
 
 @query(

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -20,33 +21,69 @@ MAIN_TYPES = ["http://schemas.openxmlformats.org/officeDocument/2006/relationshi
 RELATIONSHIP = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
 STORIES = ["header", "footer", "footnotes", "endnotes", "comments"]  # the last words of their relationship types
 BROKEN = "!broken"  # the part name of a file that is no package
+TYPES = "/[Content_Types].xml"
 
 PARTS = "path string, part_name string, bytes binary"
 PARAGRAPHS = "path string, part_name string, para_no int, text string, accepted string, rejected string, mark_deleted boolean, mark_inserted boolean"
 GONE, COME = {"del", "moveFrom"}, {"ins", "moveTo"}
 
 
+def _member(package: zipfile.ZipFile, name: str) -> bytes | None:
+    try:
+        return package.read(name)
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, ValueError):  # corrupt, encrypted or of an unknown method
+        return None
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(*(c.to_pylist() for c in batch.columns)):
             try:
                 package = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile:
+                names = [n for n in package.namelist() if not n.endswith("/")]
+            except (zipfile.BadZipFile, ValueError, NotImplementedError):
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([BROKEN]), pa.array([None], pa.binary())], names=["path", "part_name", "bytes"])
                 continue
-            names = [n for n in package.namelist() if not n.endswith("/")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path] * len(names), pa.string()), pa.array(["/" + n.lstrip("/") for n in names], pa.string()), pa.array([package.read(n) for n in names], pa.binary())],
-                names=["path", "part_name", "bytes"],
-            )
+            for name in names:  # one after the other: a package may be large
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array(["/" + name.lstrip("/")]), pa.array([_member(package, name)], pa.binary())], names=["path", "part_name", "bytes"])
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, part_name, bytes) of every part of the packages below path; a file that is no package gives one row, BROKEN."""
+    """(path, part_name, bytes) of every part of the packages below path.
+
+    A file that is no package gives one row, BROKEN; a part that can't be read has null bytes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path)
     return files.select("path", "content").mapInArrow(_parts, PARTS)
 
 
+def _content_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+            try:
+                rows = list(ElementTree.fromstring(content or b""))
+            except ElementTree.ParseError:
+                out.append((path, None, None, None))
+                continue
+            for r in rows:
+                extension, name = r.get("Extension"), r.get("PartName")
+                out.append((path, extension and extension.lower(), name and "/" + name.lstrip("/"), r.get("ContentType")))
+        cols = list(zip(*out)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["path", "extension", "part_name", "content_type"])
+
+
+def part_types(parts: DataFrame) -> DataFrame:
+    """(path, part_name, content_type): what the package's list of content types says of each part, by name or else by extension."""
+    from pyspark.sql import functions as F
+
+    listed = parts.where(F.col("part_name") == TYPES).select("path", "bytes").mapInArrow(_content_types, "path string, extension string, part_name string, content_type string")
+    own = listed.where("part_name is not null").dropDuplicates(["path", "part_name"]).select("path", "part_name", F.col("content_type").alias("own"))
+    usual = listed.where("extension is not null").dropDuplicates(["path", "extension"]).select("path", "extension", F.col("content_type").alias("usual"))
+    rows = parts.where(F.col("part_name") != TYPES).select("path", "part_name", F.lower(F.regexp_extract("part_name", r"\.([^./]*)$", 1)).alias("extension"))
+    return rows.join(own, ["path", "part_name"], "left").join(usual, ["path", "extension"], "left").select("path", "part_name", F.coalesce("own", "usual").alias("content_type"))
+
+
 def _read(p: ElementTree.Element) -> tuple[str, str, str]:
     """Text of a paragraph: with all revisions in place, accepted, and rejected."""
     every, accepted, rejected = [], [], []
@@ -75,7 +112,7 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for path, part, content in zip(*(c.to_pylist() for c in batch.columns)):
             try:
-                root = ElementTree.fromstring(content)
+                root = ElementTree.fromstring(content or b"")
             except ElementTree.ParseError:
                 out.append((path, part, -1, None, None, None, None, None))
                 continue
@@ -98,8 +135,9 @@ def _relationships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             folder, _, file = name.rpartition("/_rels/")
             source = f"{folder}/{file.removesuffix('.rels')}" if file != ".rels" else "/"
             try:
-                rows = list(ElementTree.fromstring(content).iter(RELATIONSHIP))
+                rows = list(ElementTree.fromstring(content or b"").iter(RELATIONSHIP))
             except ElementTree.ParseError:
+                out.append((path, source, None, None, None, BROKEN))
                 continue
             out += [(path, source, r.get("Id"), r.get("Type"), r.get("Target"), r.get("TargetMode", "Internal")) for r in rows]
         cols = list(zip(*out)) or [[]] * 6
@@ -107,7 +145,10 @@ def _relationships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def read_relationships(parts: DataFrame) -> DataFrame:
-    """(path, source_part, rid, rel_type, target, target_mode, target_part) of parts' relationship files; '/' is the package."""
+    """(path, source_part, rid, rel_type, target, target_mode, target_part) of parts' relationship files; '/' is the package.
+
+    A file that can't be read gives one row of the mode BROKEN.
+    """
     from pyspark.sql import functions as F
 
     from palimpsest.operators.packages import resolved_target

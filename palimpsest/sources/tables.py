@@ -31,10 +31,19 @@ def first_holder_pairs(hashed: DataFrame) -> DataFrame:
     return holders.join(first, "h").where("doc_id > a_id").groupBy("a_id", F.col("doc_id").alias("b_id")).agg(F.count("*").alias("shared"))
 
 
-def neighbour_pairs(docs: DataFrame) -> DataFrame:
-    """(a_id, b_id): each document and the next one of its source and language."""
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    return docs.select(F.col("doc_id").alias("a_id"), F.lead("doc_id").over(w).alias("b_id")).where("b_id is not null")
+def neighbour_pairs(docs: DataFrame, width: int = 65_536) -> DataFrame:
+    """(a_id, b_id): each document and the next one of its source and language.
+
+    Groups are sorted in stretches of `width` ids, and a stretch's last document meets the first of the next one that
+    has any, so that no task sorts a source with a share of all documents.
+    """
+    key = ["source", "lang"]
+    rows = docs.select(*key, "doc_id", F.floor(F.col("doc_id") / width).alias("stretch"))
+    first = rows.groupBy(*key, "stretch").agg(F.min("doc_id").alias("first"))
+    first = first.withColumn("next", F.lead("first").over(Window.partitionBy(*key).orderBy("stretch")))
+    ours = rows.withColumn("b", F.lead("doc_id").over(Window.partitionBy(*key, "stretch").orderBy("doc_id")))
+    same = [ours[c].eqNullSafe(first[c]) for c in (*key, "stretch")]
+    return ours.join(first, same, "left").select(F.col("doc_id").alias("a_id"), F.coalesce("b", "next").alias("b_id")).where("b_id is not null")
 
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:

@@ -48,6 +48,29 @@ def test_docx_strict_names_main_part_and_text_boxes(spark, tmp_path):
     assert {r["name"] for r in docx.list_files(spark, str(tmp_path)).where("size > 0").collect()} == {"s.docx", "x.docx"}
 
 
+def test_corrupt_members_and_content_types(spark, tmp_path):
+    types = (
+        "<Types xmlns='http://schemas.openxmlformats.org/package/2006/content-types'><Default Extension='XML' ContentType='application/xml'/>"
+        "<Default Extension='png' ContentType='image/png'/><Override PartName='/word/document.xml' ContentType='main'/></Types>"
+    )
+    with zipfile.ZipFile(tmp_path / "c.docx", "w") as z:
+        z.writestr("[Content_Types].xml", types)
+        z.writestr("word/document.xml", f"<w:document {NS}><w:body><w:p><w:r><w:t>fine</w:t></w:r></w:p></w:body></w:document>")
+        z.writestr("word/a.xml", "spoilt content")
+        z.writestr("word/b.PNG", "x")
+        z.writestr("word/none", "x")
+        z.writestr("word/_rels/document.xml.rels", "<no xml")
+    spoilt = (tmp_path / "c.docx").read_bytes().replace(b"spoilt content", b"spoilt kontent")
+    (tmp_path / "c.docx").write_bytes(spoilt)
+    parts = docx.read_parts(spark, str(tmp_path))
+    held = {r["part_name"]: r["bytes"] for r in parts.collect()}
+    assert held["/word/a.xml"] is None and held["/word/b.PNG"] == b"x" and len(held) == 6
+    got = {r["part_name"]: r["content_type"] for r in docx.part_types(parts).collect()}
+    assert got == {"/word/document.xml": "main", "/word/a.xml": "application/xml", "/word/b.PNG": "image/png", "/word/none": None, "/word/_rels/document.xml.rels": None}
+    assert [r["target_mode"] for r in docx.read_relationships(parts).collect()] == [docx.BROKEN]
+    assert [r["text"] for r in docx.read_paragraphs(spark, str(tmp_path)).collect()] == ["fine"]
+
+
 def test_ledgers(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("pair\tscore\na\t1.5\nb\t2\n")
     (tmp_path / "a.csv").write_text("a,1.5\nb,2\n")
