@@ -203,9 +203,12 @@ def least_bins(length: np.ndarray, capacity: int) -> int:
 def evolve(length: np.ndarray, capacity: int, seed: int, arrived: list[np.ndarray]) -> list[np.ndarray]:
     """One island's epoch: its population, best first."""
     rng = np.random.default_rng(seed)
-    people = arrived + [_fresh(length, capacity, rng, 0.0 if i == 0 and not arrived else 0.15) for i in range(POPULATION - len(arrived))]
     rank = lambda x: fitness(x, length, capacity)
     least, still, best = least_bins(length, capacity), 0, None
+    people = list(arrived)
+    # a packing that meets the bound can't be bettered, so no more are made beside it
+    while len(people) < POPULATION and all(-rank(x)[0] > least for x in people):
+        people.append(_fresh(length, capacity, rng, 0.0 if not people else 0.15))
     people.sort(key=rank, reverse=True)
     for _ in range(GENERATIONS):
         if -rank(people[0])[0] <= least or still >= PATIENCE:
