@@ -70,15 +70,36 @@ def common_ends(pairs: DataFrame, hashed: DataFrame, threshold: float = 0.15) ->
     return both.select("a_id", "b_id", enough(F.coalesce("front", "shorter")).alias("prefix"), enough(F.coalesce("back", "shorter")).alias("suffix"), "shorter")
 
 
+def _short(hashed: DataFrame) -> DataFrame:
+    """(doc_id, line_no, h1, h2, s): digests as two numbers and content scores, without the lines."""
+    return hashed.select("doc_id", "line_no", F.xxhash64("h").alias("h1"), F.xxhash64("h", F.lit(1)).alias("h2"), T.content_score(F.col("line")).alias("s"))
+
+
 def common_runs(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
     """(a_id, b_id, i, j, n, score): every maximal run of lines common to both sides, by diagonals of the join on digests."""
-    a, b = sides(pairs, hashed)
-    met = a.join(b.withColumnRenamed("hb", "ha"), ["a_id", "b_id", "ha"]).select("a_id", "b_id", "i", "j", (F.col("i") - F.col("j")).alias("d"), T.content_score(F.col("line_a")).alias("s"))
+    ids, held = pairs.select("a_id", "b_id"), _short(hashed)
+    a = ids.join(held.withColumnsRenamed({"doc_id": "a_id", "line_no": "i"}), "a_id")
+    b = ids.join(held.drop("s").withColumnsRenamed({"doc_id": "b_id", "line_no": "j"}), "b_id")
+    met = a.join(b, ["a_id", "b_id", "h1", "h2"]).select("a_id", "b_id", "i", "j", (F.col("i") - F.col("j")).alias("d"), "s")
     w = Window.partitionBy("a_id", "b_id", "d").orderBy("i")
     met = met.withColumn("island", F.col("i") - F.row_number().over(w))
     return met.groupBy("a_id", "b_id", "d", "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").alias("n"), F.sum("s").alias("score")).drop("d", "island")
 
 
+def has_common_run(pairs: DataFrame, hashed: DataFrame, least: int = 3) -> DataFrame:
+    """(a_id, b_id, has_run): whether both sides hold the same `least` lines in a row; by their digests, no runs are made."""
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    ahead = lambda c: [F.lead(c, k).over(w) for k in range(1, least)]
+    grams = hashed.select("doc_id", "line_no", "h").select("doc_id", F.col("h"), *[c.alias(f"h{k}") for k, c in enumerate(ahead("h"), 1)])
+    last = f"h{least - 1}" if least > 1 else "h"
+    names = ["h", *[f"h{k}" for k in range(1, least)]]
+    grams = grams.where(F.col(last).isNotNull()).select("doc_id", F.xxhash64(*names).alias("g1"), F.xxhash64(*names, F.lit(1)).alias("g2")).distinct()
+    ids = pairs.select("a_id", "b_id")
+    a, b = ids.join(grams.withColumnRenamed("doc_id", "a_id"), "a_id"), ids.join(grams.withColumnRenamed("doc_id", "b_id"), "b_id")
+    found = a.join(b, ["a_id", "b_id", "g1", "g2"], "left_semi").select("a_id", "b_id").distinct().withColumn("has_run", F.lit(True))
+    return ids.join(found, ["a_id", "b_id"], "left").select("a_id", "b_id", F.coalesce("has_run", F.lit(False)).alias("has_run"))
+
+
 def longest_run(pairs: DataFrame, hashed: DataFrame, scored: bool = False) -> DataFrame:
     """The longest common run of each pair; of equal ones the first in a, then in b. Scored: most content first."""
     runs = common_runs(pairs, hashed)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators import align, diff, islands, relations, similarity, state, stats
+from palimpsest.sources.scratch import written
 from palimpsest.sources.tables import hashed_lines, lines, neighbour_pairs, first_holder_pairs, table, turn_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,7 +230,7 @@ def pair_longest_run_scored(spark, sf_dir):
 
 @query(RUNS + " select a_id, b_id, max(n) >= 3 as has_run from runs group by 1, 2")
 def pair_kgram_exists(spark, sf_dir):
-    return align.common_runs(*pairs_of(spark, sf_dir)).groupBy("a_id", "b_id").agg((F.max("n") >= 3).alias("has_run"))
+    return align.has_common_run(*pairs_of(spark, sf_dir))
 
 
 @query(
@@ -303,7 +304,8 @@ def diff_words(spark, sf_dir):
 
 @query(None)
 def revisions(spark, sf_dir):
-    return similarity.moved_revisions(diff.revisions(diff_words(spark, sf_dir)))
+    # aligned once; moves are sought in the written list
+    return similarity.moved_revisions(written(diff.revisions(diff_words(spark, sf_dir)), "revisions"))
 
 
 @query(None)
