@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import SEPARATORS
 from palimpsest.operators.sequences import heaviest_run, subsequence
-from palimpsest.sources.scratch import written
+from palimpsest.sources.scratch import dealt, written
 
 MARK = "\n"
 THRESHOLD = 0.15
@@ -229,7 +229,7 @@ def diff(pairs: DataFrame, docs: DataFrame, detail: bool = True, long: int = LON
     both = pairs.select("a_id", "b_id").join(text.select(F.col("doc_id").alias("a_id"), F.col("text").alias("ta"), F.col("n").alias("na")), "a_id")
     both = both.join(text.select(F.col("doc_id").alias("b_id"), F.col("text").alias("tb"), F.col("n").alias("nb")), "b_id")
     size = F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0))
-    whole = both.where(size <= long).select("a_id", "b_id", "ta", "tb").mapInArrow(_pair_diff(detail), SCHEMA)
+    whole = dealt(both.where(size <= long).select("a_id", "b_id", "ta", "tb"), "a_id", "b_id").mapInArrow(_pair_diff(detail), SCHEMA)
     count = text.select("doc_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") * 2 > long)  # one side at least is half as long
     some = count.select("doc_id")
     either = pairs.select("a_id", "b_id").join(some, F.col("a_id") == F.col("doc_id"), "left_semi").union(pairs.select("a_id", "b_id").join(some, F.col("b_id") == F.col("doc_id"), "left_semi")).distinct()
@@ -296,4 +296,4 @@ def row_lcs(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
     rows = hashed.where(F.contains("line", F.lit(" | "))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "h"))).alias("r"))
     rows = rows.select("doc_id", F.transform("r", lambda x: x["h"]).alias("r"))
     both = pairs.select("a_id", "b_id").join(rows.select(F.col("doc_id").alias("a_id"), F.col("r").alias("ra")), "a_id").join(rows.select(F.col("doc_id").alias("b_id"), F.col("r").alias("rb")), "b_id")
-    return both.select("a_id", "b_id", "ra", "rb").mapInArrow(_rows, "a_id long, b_id long, seq_no int, status string, i int, j int")
+    return dealt(both.select("a_id", "b_id", "ra", "rb"), "a_id", "b_id").mapInArrow(_rows, "a_id long, b_id long, seq_no int, status string, i int, j int")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import diff
-from palimpsest.sources.scratch import written
+from palimpsest.sources.scratch import dealt, written
 
 KEY = ["a_id", "b_id"]
 WINDOW = [*KEY, "i0", "i1", "j0", "j1"]
@@ -82,7 +82,7 @@ def diff_in_pieces(pairs: DataFrame, hashed: DataFrame, detail: bool, piece: int
     """As diff.diff(), with the windows between correlated runs dealt to tasks one by one."""
     pieces = written(correlated_windows(pairs, hashed, piece), "diff-pieces")
     full = pieces.join(_side(pieces, hashed, "a_id", "i0", "i1", "la"), WINDOW, "left").join(_side(pieces.where("not matched"), hashed, "b_id", "j0", "j1", "lb"), WINDOW, "left")
-    full = full.select(*KEY, "i0", "j0", "matched", "la", "lb").repartition(*KEY, "i0", "j0")
+    full = dealt(full.select(*KEY, "i0", "j0", "matched", "la", "lb"), *KEY, "i0", "j0")
     rows = full.mapInArrow(diff.piece_diff(detail), "a_id long, b_id long, i0 int, j0 int, k int, status string, text string")
     # neighbours of one status, of two pieces too, are one stretch
     order = Window.partitionBy(*KEY).orderBy("i0", "j0", "k")
