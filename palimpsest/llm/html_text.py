@@ -51,7 +51,7 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 # pages say nothing; the last two are the marks of an article, which tell the labels and so are no part of the fit.
 WEIGHTS = {"base": -0.25, "away": -6.0, "header": -5.0, "links": -1.5, "long": 1.5, "sentence": 0.5, "short": -1.5, "heading": 0.75, "inside": 2.5, "main": 1.0}
 MARKS = 2
-FIT_PAGES, FIT_BLOCKS = 1000, 200  # pages whose article is marked, and of each the first blocks, that weights are fitted to
+FIT_PAGES, FIT_BLOCKS = 1000, 200  # about so many pages, and of each the first blocks, that weights are fitted to
 TRUST = 0.02  # of the pull towards WEIGHTS, a labelled block
 NEAR, SIBLING, SEAM = 2.2, 0.75, 0.4
 
@@ -349,9 +349,13 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_weights(pages: DataFrame) -> list[float]:
-    """Weights fitted to FIT_PAGES pages that mark their article, those of smallest hash; without any, WEIGHTS."""
-    marked = pages.where(F.rlike("html", F.lit("(?i)<(article|main)[\\s>]")))
-    rows = [r["x"] for r in marked.orderBy(F.xxhash64("page_id"), "page_id").limit(FIT_PAGES).select("html").mapInArrow(_labelled, "x array<double>").collect()]
+    """Weights fitted to the pages that mark their article among about FIT_PAGES chosen by a hash of page_id; without any, WEIGHTS.
+
+    Of rows that repeat a page_id the first page in order counts, so that the sample has its size whatever is repeated.
+    """
+    some = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(max(pages.select("page_id").count(), 1))) < FIT_PAGES)
+    marked = some.where(F.rlike("html", F.lit("(?i)<(article|main)[\\s>]"))).groupBy("page_id").agg(F.min("html").alias("html"))
+    rows = [r["x"] for r in marked.select("html").mapInArrow(_labelled, "x array<double>").collect()]
     rows = sorted(map(tuple, rows))  # sums do not depend on the order in which tasks end
     if not rows:
         return list(WEIGHTS.values())
