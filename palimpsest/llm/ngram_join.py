@@ -512,9 +512,10 @@ def _searched_links(sets: DataFrame, posted: DataFrame, lists: DataFrame, comp:
     Lists of one leader, which near copies have in common, are searched as one group, so a set is there once for each
     leader of its lists, not for each list.
     """
-    rows = lists.join(comp, "id", "left").select("shingle", "band", "leader", "id", F.coalesce("component", "id").alias("comp"))
+    rows = stored(lists.join(comp, "id", "left").select("shingle", "band", "leader", "id", F.coalesce("component", "id").alias("comp")), "ngram-rooted")  # read twice
     open_ = rows.groupBy("shingle", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle", "band")
     live = stored(rows.join(open_, ["shingle", "band"], "left_semi").select("leader", "band", "id", "comp").distinct(), "ngram-live")
+    drop_stored(rows)
     size = live.groupBy("leader", "band").agg(F.count("*").alias("n"), F.min_by("comp", "id").alias("base"))
     asks = live.join(size, ["leader", "band"]).where("comp <> base").groupBy("leader", "band").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
     size = stored(size.join(asks, ["leader", "band"]).withColumn("parts", F.ceil(F.col("n") / group).cast("int")), "ngram-sizes")

@@ -241,6 +241,27 @@ def test_ngram_join_large_lists_in_parts(spark, monkeypatch):
     assert got == by_force(TEXTS, 3, 3, 5)
 
 
+def test_ngram_join_lists_meet_components_once_and_grow_with_the_input(spark, monkeypatch):
+    def rows_of(times):
+        seen, plans = {}, {}
+
+        def noted(df, name):
+            plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+            out = common.stored(df, name)
+            seen.setdefault(name, out.count())
+            return out
+
+        monkeypatch.setattr(ngram_join, "stored", noted)
+        texts = [re.sub(r"(\S+)", rf"\1x{k}", t or "") for k in range(times) for t in TEXTS]
+        ngram_join.similar_groups(docs_of(spark, texts), n=3, num=9, den=10).count()
+        return seen, plans
+
+    (one, plans), (five, _) = rows_of(1), rows_of(5)
+    assert "LeftOuter" in plans["ngram-rooted"] and "LeftOuter" not in plans["ngram-live"]
+    assert one["ngram-rooted"] == one["ngram-lists"] > 0
+    assert five["ngram-rooted"] < 6 * one["ngram-rooted"]  # of equally rare shingles hashes choose the keys
+
+
 def test_ngram_join_passage_that_unlike_texts_share(spark):
     rng = random.Random(4)
     passage = " ".join(f"p{i}" for i in range(40))
