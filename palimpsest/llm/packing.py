@@ -156,35 +156,48 @@ def _exchanged(p: Packing, loose: np.ndarray, rng: np.random.Generator) -> list[
     A bin gets the largest sum that fits where one of its pieces was, so that bins fill up and what is left over gets
     shorter, which is easier to place.
     """
-    loose = loose[np.argsort(p.length[loose], kind="stable")].tolist()
+    loose = loose[np.argsort(p.length[loose], kind="stable")]
+    sizes, loose = p.length[loose], loose.tolist()
+    left, places = len(loose), np.arange(len(loose))
     with_room = [b for b, r in p.room.items() if r]
     for b in rng.permutation(len(with_room))[:EXCHANGES].tolist():
         b = with_room[b]
         if not loose:
             break
-        size = p.length[loose]
+        size = sizes[:left]
         best = None
         for item in p.held[b]:
             n = int(p.length[item])
             room = p.room[b] + n
-            one = int(np.searchsorted(size, room, side="right")) - 1
-            if one >= 0 and size[one] > n and (best is None or size[one] - n > best[0]):
-                best = (int(size[one]) - n, item, [one])
-            two = np.searchsorted(size, room - size, side="right") - 1
-            two = np.where(two == np.arange(len(size)), two - 1, two)
-            total = np.where(two >= 0, size + size[two], 0)
+            one = int(size.searchsorted(room, side="right")) - 1
+            if one < 0:
+                continue
+            if (gain := int(size[one]) - n) > 0 and (best is None or gain > best[0]):
+                best = (gain, item, [one])
+            short = size[: one + 1]  # no pair holds a longer one
+            two = short.searchsorted(room - short, side="right") - 1
+            two -= two == places[: one + 1]
+            total = short + short[two]
+            total[two < 0] = 0
             top = int(total.argmax())
-            if total[top] > n and (best is None or total[top] - n > best[0]):
-                best = (int(total[top]) - n, item, [top, int(two[top])])
+            if (gain := int(total[top]) - n) > 0 and (best is None or gain > best[0]):
+                best = (gain, item, [top, int(two[top])])
         if best is None:
             continue
-        gain, item, places = best
+        gain, item, taken = best
         held = p.remove(b)
         room = p.capacity - int(p.length[held].sum()) - gain
-        p.add([x for x in held if x != item] + [loose[k] for k in places], room)
-        for k in sorted(places, reverse=True):
+        p.add([x for x in held if x != item] + [loose[k] for k in taken], room)
+        for k in sorted(taken, reverse=True):
             del loose[k]
-        loose.insert(int(np.searchsorted(p.length[loose], p.length[item])) if loose else 0, item)
+            sizes[k : left - 1] = sizes[k + 1 : left]
+            left -= 1
+        n = p.length[item]
+        k = int(sizes[:left].searchsorted(n))
+        loose.insert(k, item)
+        sizes[k + 1 : left + 1] = sizes[k:left]
+        sizes[k] = n
+        left += 1
     return loose[::-1]
 
 

@@ -1,13 +1,15 @@
 """Byte-pair token ids of whole texts: each distinct piece of a chunk is encoded once, texts are put together from them.
 
 A text is cut only where the tokenizer's own rule always separates: before a single space between two visible
-characters, and on both sides of a single newline between them. The ids of the pieces, joined, are those of the text.
+characters, on both sides of a single newline between them, and between an ASCII letter and an ASCII mark after it. The
+ids of the pieces, joined, are those of the text.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -43,10 +45,12 @@ def _visible() -> np.ndarray:
 
 
 _SEEN = _visible()
+_LETTER = np.array([chr(i).isalpha() for i in range(128)] + [False] * 128)
+_MARK = _SEEN & np.array([not chr(i).isalnum() for i in range(256)])
 
 
 def _cuts(data: np.ndarray) -> np.ndarray:
-    """Marks the byte positions at which a text may be cut: white space with a sure visible character on both sides."""
+    """Marks the byte positions at which a text may be cut: white space with a sure visible character on both sides, and marks after a letter."""
     sure = _SEEN[data]
     # a two-byte letter other than those led by 0xC2, where no-break space and next-line are
     lead = (data >= 0xC3) & (data <= 0xDF)
@@ -58,6 +62,7 @@ def _cuts(data: np.ndarray) -> np.ndarray:
     line = inner[:-1] & (data == 0x0A)
     inner[:-1] &= (data == 0x20) | (data == 0x0A)
     inner[1:] |= line
+    inner[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
     return inner
 
 
@@ -92,26 +97,29 @@ class Known:
         self.keys = np.empty(0, np.uint64)
         self.begin, self.length, self.values = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
-    def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ids_of(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each piece begin in self.values, and how many there are."""
         if len(self.keys) > MOST_KNOWN:
             self.clear()
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces))
-        at = np.searchsorted(self.keys, hashes)
+        order = np.argsort(hashes)  # sought in order, neighbours lie close together
+        sought = hashes[order]
+        at = np.searchsorted(self.keys, sought)
         old = np.zeros(len(pieces), bool)
         if len(self.keys):
-            old = self.keys[np.minimum(at, len(self.keys) - 1)] == hashes
+            old = self.keys[np.minimum(at, len(self.keys) - 1)] == sought
         new = np.flatnonzero(~old)
         if len(new):
-            values, lengths = _encode([pieces[i] for i in new.tolist()], self.tok)
-            order = np.argsort(hashes[new])
-            begin = len(self.values) + np.cumsum(lengths) - lengths
-            place = at[new][order]
-            self.keys = np.insert(self.keys, place, hashes[new][order])
-            self.begin = np.insert(self.begin, place, begin[order])
-            self.length = np.insert(self.length, place, lengths[order])
+            values, lengths = _encode([pieces[i] for i in order[new].tolist()], self.tok)
+            place = at[new]
+            self.keys = np.insert(self.keys, place, sought[new])
+            self.begin = np.insert(self.begin, place, len(self.values) + np.cumsum(lengths) - lengths)
+            self.length = np.insert(self.length, place, lengths)
             self.values = np.concatenate((self.values, values))
-            at = np.searchsorted(self.keys, hashes)
+            at += np.cumsum(~old) - ~old  # each stands behind the new ones before it
+        where = np.empty(len(pieces), np.int64)
+        where[order] = at
+        at = where
         return self.begin[at], self.length[at]
 
 
@@ -132,7 +140,7 @@ def encode_texts(col: pa.Array, name: str = TOKENIZER) -> tuple[np.ndarray, np.n
     cuts = np.flatnonzero(mark)
     pieces = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
     cache = known(name)
-    begin, length = cache.ids_of(pieces.dictionary.to_pylist())
+    begin, length = cache.ids_of(pieces.dictionary.to_numpy(zero_copy_only=False))
     at = pieces.indices.to_numpy(zero_copy_only=False)
     n = length[at]
     ends = np.cumsum(n)

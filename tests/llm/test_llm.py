@@ -793,6 +793,23 @@ def test_encoding_is_that_of_the_library():
         assert ids[offsets[i] : offsets[i + 1]].tolist() == x.ids
 
 
+def test_encoding_knows_a_word_whatever_marks_follow(monkeypatch):
+    rng = random.Random(2)
+    signs = [*"aZé×ñ1 .,!&$'-_\"漢\n\u0301\u0640", "'s", "don't", "word", "<|endoftext|>", "a'", "'ll."]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += [f"a {word}{mark} a" for word in ("cider", "ELM") for mark in ("", ".", ",", "!!", "&&&")]
+    fresh = token_ids.Known(token_ids.TOKENIZER)
+    monkeypatch.setattr(token_ids, "known", lambda name: fresh)
+    seen = []
+    monkeypatch.setattr(token_ids, "_encode", lambda pieces, tok, f=token_ids._encode: (seen.extend(pieces), f(pieces, tok))[1])
+    ids, offsets = token_ids.encode_texts(pa.array(texts, pa.large_string()))
+    for i, x in enumerate(fresh.tok.encode_batch_fast(texts, add_special_tokens=False)):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == x.ids
+    assert [x for x in seen if "cider" in x] == [" cider"] and len(seen) == len(set(seen))
+    again, _ = token_ids.encode_texts(pa.array(texts, pa.large_string()))
+    assert (again == ids).all()
+
+
 def expected_ids(end):
     tok = token_ids.tokenizer(token_ids.TOKENIZER)
     return [[*x.ids, end] for x in tok.encode_batch_fast([t or "" for t in TEXTS], add_special_tokens=False)]
