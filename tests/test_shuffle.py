@@ -45,3 +45,8 @@ def texts(spark):
 def test_residual_candidates_shuffle_no_tokens(spark, texts):
     pairs, docs, chars = texts
     assert shuffled(spark, lambda: pairing.residual_candidates(pairs, hashed_lines(docs))) < 3 * chars
+
+
+def test_residual_pairs_shuffle_no_tokens(spark, texts):
+    pairs, docs, chars = texts
+    assert shuffled(spark, lambda: pairing.residual_pairs(pairs, hashed_lines(docs))) < 3 * chars
