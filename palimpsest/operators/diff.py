@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import SEPARATORS
+from palimpsest.operators.align import beside
 from palimpsest.operators.sequences import heaviest_run, subsequence
 from palimpsest.sources.scratch import dealt, written
 
@@ -30,7 +31,8 @@ SCHEMA = "a_id long, b_id long, seq_no int, status string, text string"
 def _unit_pattern() -> re.Pattern:
     digit = "".join(chr(c) for c in range(0x110000) if chr(c).isdigit())
     alone = re.escape(SEPARATORS) + ".,\u4e00-\u9fff"
-    return re.compile(f"(?:[^{alone}]|(?<=[{digit}])[.,]|[.,](?=[{digit}]))+|.", re.DOTALL)
+    # first what needs no look at digits: spaces, and runs beside no full stop or comma
+    return re.compile(f" |[^{alone}]++(?![.,])|(?:[^{alone}]++|[.,](?:(?<=[{digit}].)|(?=[{digit}])))+|.", re.DOTALL)
 
 
 def words(line: str) -> list[str]:
@@ -44,6 +46,8 @@ def paragraphs(text: str) -> list[str]:
 
 @lru_cache(maxsize=1 << 16)
 def _content(unit: str) -> int:
+    if unit.isascii() and unit.isalnum():
+        return len(unit)
     return 0 if unit == MARK else sum(c not in SEPARATORS and not c.isspace() for c in unit)
 
 
@@ -225,20 +229,26 @@ def diff(pairs: DataFrame, docs: DataFrame, detail: bool = True, long: int = LON
     from palimpsest.operators import windows
     from palimpsest.sources.tables import hashed_lines
 
-    text = docs.select("doc_id", "text", F.size(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")).alias("n"))
-    both = pairs.select("a_id", "b_id").join(text.select(F.col("doc_id").alias("a_id"), F.col("text").alias("ta"), F.col("n").alias("na")), "a_id")
-    both = both.join(text.select(F.col("doc_id").alias("b_id"), F.col("text").alias("tb"), F.col("n").alias("nb")), "b_id")
-    size = F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0))
-    whole = dealt(both.where(size <= long).select("a_id", "b_id", "ta", "tb"), "a_id", "b_id").mapInArrow(_pair_diff(detail), SCHEMA)
-    count = text.select("doc_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") * 2 > long)  # one side at least is half as long
-    some = count.select("doc_id")
-    either = pairs.select("a_id", "b_id").join(some, F.col("a_id") == F.col("doc_id"), "left_semi").union(pairs.select("a_id", "b_id").join(some, F.col("b_id") == F.col("doc_id"), "left_semi")).distinct()
-    n = text.select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+    pairs, large = by_size(pairs, docs, long)
+    whole = beside(pairs, docs, "text").mapInArrow(_pair_diff(detail), SCHEMA)
+    if large is None:
+        return whole
+    return whole.union(windows.diff_in_pieces(large, hashed_lines(docs), detail, piece))
+
+
+def by_size(pairs: DataFrame, docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs whose sides have up to `long` lines in all, and the others, None if there are none; both are written."""
+    n = docs.select("doc_id", F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "")), F.lit(0)).alias("n"))
+    pairs = written(pairs.select("a_id", "b_id"), "diff-pairs")
+    some = n.where(F.col("n") * 2 > long).select("doc_id")  # one side at least is half as long
+    if not some.take(1):
+        return pairs, None
+    either = pairs.join(some, F.col("a_id") == F.col("doc_id"), "left_semi").union(pairs.join(some, F.col("b_id") == F.col("doc_id"), "left_semi")).distinct()
     large = either.join(n.select(F.col("doc_id").alias("a_id"), F.col("n").alias("na")), "a_id").join(n.select(F.col("doc_id").alias("b_id"), F.col("n").alias("nb")), "b_id").where(F.col("na") + F.col("nb") > long)
     large = written(large.select("a_id", "b_id"), "diff-long")
     if not large.take(1):
-        return whole
-    return whole.union(windows.diff_in_pieces(large, hashed_lines(docs), detail, piece))
+        return pairs, None
+    return pairs.join(large, ["a_id", "b_id"], "left_anti"), large
 
 
 def revisions(diffs: DataFrame, author: str = "Redline", date: str = "1970-01-01T00:00:00Z") -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators import align, diff, islands, relations, similarity, state, stats
-from palimpsest.sources.scratch import written
 from palimpsest.sources.tables import hashed_lines, lines, neighbour_pairs, first_holder_pairs, table, turn_pairs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,10 +301,13 @@ def diff_words(spark, sf_dir):
     return diff.diff(pairs_of(spark, sf_dir)[0], docs_of(spark, sf_dir))
 
 
+def revised(spark, sf_dir):
+    return similarity.revised(pairs_of(spark, sf_dir)[0], docs_of(spark, sf_dir))
+
+
 @query(None)
 def revisions(spark, sf_dir):
-    # aligned once; moves are sought in the written list
-    return similarity.moved_revisions(written(diff.revisions(diff_words(spark, sf_dir)), "revisions"))
+    return similarity.revision_rows(revised(spark, sf_dir))
 
 
 @query(None)
@@ -320,7 +322,7 @@ def revision_json(spark, sf_dir):
 
 @query(None)
 def revisions_array(spark, sf_dir):
-    return diff.revisions_to_json(revisions(spark, sf_dir))
+    return similarity.revision_arrays(revised(spark, sf_dir))
 
 
 def _canonical(side: str) -> str:

@@ -1,11 +1,12 @@
 """What queries over pairs of texts shuffle: each text a few times, not once for each of its words."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import pairing
+from palimpsest.operators import diff, pairing, similarity
 from palimpsest.sources.tables import hashed_lines
 
 
@@ -50,3 +51,35 @@ def test_residual_candidates_shuffle_no_tokens(spark, texts):
 def test_residual_pairs_shuffle_no_tokens(spark, texts):
     pairs, docs, chars = texts
     assert shuffled(spark, lambda: pairing.residual_pairs(pairs, hashed_lines(docs))) < 3 * chars
+
+
+def test_revisions_shuffle_each_text_twice(spark, texts):
+    pairs, docs, chars = texts
+    assert shuffled(spark, lambda: similarity.revision_rows(similarity.revised(pairs, docs))) < 3 * chars
+
+
+def moving(seed, n):
+    """Pairs of texts of which some lines are moved, some with a word changed, some with odd spaces; (pairs' texts)."""
+    rng = random.Random(seed)
+    line = lambda: " ".join(rng.choice("alpha beta; gamma delta, epsilon的 zeta\u3000eta theta iota\tkappa lambda mu nu xi".split(" ")) + str(rng.randrange(40)) for _ in range(rng.choice([3, 6, 12, 30])))
+    for _ in range(n):
+        a = [line() for _ in range(rng.randint(1, 8))]
+        b = [x.replace(" ", "\u00a0", 1) if rng.random() < 0.2 else x + " more" if rng.random() < 0.3 else x for x in a if rng.random() < 0.9] + [line()]
+        rng.shuffle(b)
+        yield "\n".join(a), "\n".join(b)
+
+
+@pytest.fixture(scope="module")
+def moved(spark):
+    rows = [x for k, ab in enumerate(moving(5, 150)) for x in ((2 * k, ab[0]), (2 * k + 1, ab[1]))]
+    return spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(150)], "a_id long, b_id long"), spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("long", [2000, 6])
+def test_lists_of_revisions_are_those_of_the_moved_rows(spark, moved, long):
+    pairs, docs = moved
+    want = similarity.moved_revisions(diff.revisions(diff.diff(pairs, docs)))
+    got = similarity.revision_rows(similarity.revised(pairs, docs, long=long, piece=4))
+    assert sorted(got.schema.names) == sorted(want.schema.names)
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    assert rows == sorted(map(tuple, want.select(*got.columns).collect()), key=repr) and sum(r[3] == "Moved" for r in rows) > 40
