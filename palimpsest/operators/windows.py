@@ -120,3 +120,22 @@ def promote_skip_ahead(rows: DataFrame, most: int = 3) -> DataFrame:
     same = F.array(version(F.col("run"), 1, F.col("status"), F.col("i"), F.col("j")))
     out = rows.select(*KEY, "rank", "in_table", F.explode(F.when(F.col("rank") <= F.col("taken"), both).otherwise(same)).alias("v")).select(*KEY, "rank", "in_table", "v.*")
     return out.withColumn("seq_no", F.row_number().over(Window.partitionBy(*KEY).orderBy("run", "part", "rank")) - 1).select(*KEY, "seq_no", "status", "i", "j", "in_table")
+
+
+def turned_runs(kinds: list[str], in_table, most: int = 3) -> list[tuple[int, int]]:
+    """(number of a run of equal lines, how many of its first lines are turned): as promote_skip_ahead(), of one pair's runs in order.
+
+    in_table: from a run's number to whether each of its lines is one of a table.
+    """
+    out, linked = [], None  # the run that a chain goes on with, and whether the one before it turned
+    for k in range(len(kinds) - 1):
+        if kinds[k] != "Deleted" or kinds[k + 1] != "Equal" or (k and kinds[k - 1] not in ("Equal", "Inserted")):
+            continue
+        lines = [*in_table(k + 1)]
+        n = lines.index(True) + 1 if True in lines else most + 1
+        if n <= most:
+            turns = not (linked and linked[0] == k and linked[1])
+            if turns:
+                out.append((k + 1, n))
+            linked = (k + 2, turns) if n == len(lines) else None
+    return out

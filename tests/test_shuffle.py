@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import diff, pairing, similarity
+from palimpsest.operators import diff, pairing, similarity, windows
 from palimpsest.sources.tables import hashed_lines
 
 
@@ -83,3 +83,29 @@ def test_lists_of_revisions_are_those_of_the_moved_rows(spark, moved, long):
     assert sorted(got.schema.names) == sorted(want.schema.names)
     rows = sorted(map(tuple, got.collect()), key=repr)
     assert rows == sorted(map(tuple, want.select(*got.columns).collect()), key=repr) and sum(r[3] == "Moved" for r in rows) > 40
+
+
+def test_moves_shuffle_each_text_twice(spark, texts):
+    pairs, docs, chars = texts
+    # lines of two copies in another order, so that they are deleted and inserted
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.array_join(F.reverse(F.split("text", "\n")), "\n")).otherwise(F.col("text")))
+    assert shuffled(spark, lambda: similarity.detect_moves(pairs, hashed_lines(docs))) < 3 * chars
+
+
+def test_turned_runs_are_those_of_the_rows(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for pair in range(200):
+        status = [rng.choice(["Equal", "Equal", "Deleted", "Deleted", "Inserted"]) for _ in range(rng.randint(1, 24))]
+        table = [rng.random() < 0.5 for _ in status]
+        rows += [(pair, 0, k, s, None if s == "Inserted" else k, None if s == "Deleted" else k, t) for k, (s, t) in enumerate(zip(status, table))]
+        runs = [[k for k in range(len(status)) if status[k] == s and sum(status[x] != status[x - 1] for x in range(1, k + 1)) == r] for r, s in enumerate(s for k, s in enumerate(status) if not k or status[k - 1] != s)]
+        turned = windows.turned_runs([status[r[0]] for r in runs], lambda r: (table[k] for k in runs[r]))
+        want[pair] = sorted(k for r, n in turned for k in runs[r][:n])
+    df = spark.createDataFrame(rows, "a_id long, b_id long, seq_no int, status string, i int, j int, in_table boolean")
+    got = {pair: [] for pair in want}
+    equal = {(pair, k) for pair, _, k, s, *_ in rows if s == "Equal"}
+    for r in windows.promote_skip_ahead(df).where("status = 'Deleted'").collect():
+        if (r["a_id"], r["i"]) in equal:
+            got[r["a_id"]].append(r["i"])
+    assert {p: sorted(x) for p, x in got.items()} == want and sum(map(len, want.values())) > 50
