@@ -1,12 +1,12 @@
 """What queries over pairs of texts shuffle: each text a few times, not once for each of its words."""
 
-import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import diff, pairing, similarity, windows
+from palimpsest.plans.queries import REGISTRY
 from palimpsest.sources.tables import hashed_lines
 
 
@@ -109,3 +109,15 @@ def test_turned_runs_are_those_of_the_rows(spark):
         if (r["a_id"], r["i"]) in equal:
             got[r["a_id"]].append(r["i"])
     assert {p: sorted(x) for p, x in got.items()} == want and sum(map(len, want.values())) > 50
+
+
+@pytest.fixture(scope="module")
+def folder(texts, tmp_path_factory):
+    """A folder with the texts as its table of documents."""
+    path = str(tmp_path_factory.mktemp("tables"))
+    texts[1].write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_revision_counts_shuffle_each_text_twice(spark, texts, folder):
+    assert shuffled(spark, lambda: REGISTRY["revision_counts"][0](spark, folder)) < 3 * texts[2]
