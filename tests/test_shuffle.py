@@ -121,3 +121,7 @@ def folder(texts, tmp_path_factory):
 
 def test_revision_counts_shuffle_each_text_twice(spark, texts, folder):
     assert shuffled(spark, lambda: REGISTRY["revision_counts"][0](spark, folder)) < 3 * texts[2]
+
+
+def test_revision_json_shuffles_each_text_twice(spark, texts, folder):
+    assert shuffled(spark, lambda: REGISTRY["revision_json"][0](spark, folder)) < 3 * texts[2]
