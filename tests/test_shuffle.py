@@ -125,3 +125,14 @@ def test_revision_counts_shuffle_each_text_twice(spark, texts, folder):
 
 def test_revision_json_shuffles_each_text_twice(spark, texts, folder):
     assert shuffled(spark, lambda: REGISTRY["revision_json"][0](spark, folder)) < 3 * texts[2]
+
+
+def test_revisions_array_shuffles_each_text_twice(spark, texts, folder):
+    assert shuffled(spark, lambda: REGISTRY["revisions_array"][0](spark, folder)) < 3 * texts[2]
+
+
+def test_arrays_are_those_of_the_moved_rows(spark, moved):
+    pairs, docs = moved
+    want = diff.revisions_to_json(similarity.moved_revisions(diff.revisions(diff.diff(pairs, docs))))
+    got = similarity.revision_arrays(similarity.revised(pairs, docs))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
